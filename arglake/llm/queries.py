@@ -6,16 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arglake.llm import exact_dedup
+from arglake.llm import exact_dedup, piece_coding, token_blocks
 from arglake.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public vocabulary file on the machine that runs this."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks.token_table(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_coding.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), keep_ids=False, digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_blocks": op1_token_blocks,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_piece_coding": op9_piece_coding,
 }
 
 ORACLE_SQL: dict[str, str] = {
