@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -20,9 +22,18 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it (local runs; clusters install it or use --py-files)."""
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if _ROOT not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, _ROOT) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set here only where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
