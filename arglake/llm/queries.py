@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arglake.llm import exact_dedup, main_text, piece_coding, quality_rules, token_blocks, toxicity
+from arglake.llm import exact_dedup, main_text, maxent_lm, mixing, piece_coding, quality_rules, token_blocks, toxicity
 from arglake.llm.common import table
 
 
@@ -25,6 +25,12 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = mixing.labelled_domains(docs, table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labelled).drop("row")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +44,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.language_model(table(spark, sf_dir, "documents"))
+
+
 def op9_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_coding.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), keep_ids=False, digests=True)
 
@@ -45,9 +55,11 @@ def op9_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op3_main_text": op3_main_text,
+    "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_maxent_lm": op8_maxent_lm,
     "op9_piece_coding": op9_piece_coding,
 }
 
