@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arglake.llm import exact_dedup, main_text, maxent_lm, mixing, piece_coding, quality_rules, token_blocks, toxicity
+from arglake.llm import exact_dedup, jaccard_join, main_text, maxent_lm, mixing, piece_coding, quality_rules, token_blocks, toxicity
 from arglake.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op9_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_coding.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), keep_ids=False, digests=True)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op3_main_text": op3_main_text,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_maxent_lm": op8_maxent_lm,
     "op9_piece_coding": op9_piece_coding,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
