@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arglake.llm import exact_dedup, jaccard_join, main_text, maxent_lm, mixing, piece_coding, quality_rules, token_blocks, toxicity
+from arglake.llm import exact_dedup, jaccard_join, main_text, maxent_lm, mixing, piece_coding, quality_rules, suffix_dedup, token_blocks, toxicity
 from arglake.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.token_table(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
@@ -58,6 +62,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_main_text": op3_main_text,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
