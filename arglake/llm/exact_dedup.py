@@ -168,6 +168,17 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     return out.select(F.col("doc").alias("doc_id"), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def distinct_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of equal texts the row with the smallest id."""
+    found = exact_duplicates(docs, **options)
+    keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_keep"))
+    rows = docs.withColumn("_sha", F.sha2(normalised().cast("binary"), 256))
+    out = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_keep")), "left_semi")
+    if found.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).limit(1).count():
+        out = out.dropDuplicates(["doc_id", "_sha"])  # rows that repeat id and text
+    return out.select(docs.columns)
+
+
 ORACLE = r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,

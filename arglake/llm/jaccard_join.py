@@ -432,3 +432,10 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     out = rows.join(named, "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of their component (rows that share an id stay if one of them does)."""
+    found = link_components(docs)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")

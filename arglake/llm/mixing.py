@@ -144,11 +144,34 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, column: str = "lang") -
     return docs.select("doc_id", F.col(column).alias("domain")).join(listed, "doc_id", "left_semi")
 
 
-def take(docs: DataFrame, rated: DataFrame, seed: int = 17) -> DataFrame:
-    """``docs`` with each row as often as its rate says: the whole part, and once more with the chance of the rest (by a hash of the id)."""
-    rates = rated.groupBy("doc_id").agg(F.max("rate").alias("_rate"))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    copies = (F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("int")).cast("int")
-    out = docs.join(rates, docs["doc_id"].eqNullSafe(rates["doc_id"]), "left").drop(rates["doc_id"])
-    out = out.withColumn("_copies", F.coalesce(copies, F.lit(1))).where("_copies > 0")
+def smoothed_shares(table: DataFrame, domains: list[str], power: float) -> tuple[list[float], list[float]]:
+    """(own, target): the domains' expected token totals, and shares proportional to their ``power``."""
+    own = list(table.agg(*(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p_{i}")), F.lit(0.0)) for i in range(len(domains)))).first())
+    raised = [max(x, 0.0) ** power for x in own]
+    total = sum(raised) or 1.0
+    return own, [x / total for x in raised]
+
+
+def mix_rows(docs: DataFrame, labelled: DataFrame, power: float = 0.7, seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, all columns, repeated to smoothed domain shares (token shares to the ``power``).
+
+    The total is the least at which no domain shrinks, and every row is there once at least: mixing repeats documents of
+    small domains and drops none.  A row comes as often as the whole part of its rate says, and once more with the chance
+    of the rest (by a hash of its id).
+    """
+    domains, priors, weights = fit_classifier(docs, labelled)
+    table = materialise(posteriors(docs, domains, priors, weights), "mixing-posteriors")
+    own, shares = smoothed_shares(table, domains, power)
+    total = max((o / s for o, s in zip(own, shares) if s > 0), default=0.0)
+    rated, _ = fit_rates(table, domains, [total * s for s in shares])
+    return take(docs, rated, least=1, seed=seed)
+
+
+def take(docs: DataFrame, rated: DataFrame, least: int = 0, seed: int = 17) -> DataFrame:
+    """The rows of ``docs``, all columns, as often as the rates of their ids say (the largest of a repeated id), ``least`` times at least."""
+    rates = rated.groupBy("doc_id").agg(F.max("rate").alias("_rate")).withColumnRenamed("doc_id", "_id")
+    chance = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    copies = F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("int")
+    counted = rates.select("_id", F.greatest(copies.cast("int"), F.lit(least)).alias("_copies")).where("_copies > 0")
+    out = docs.join(counted, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)

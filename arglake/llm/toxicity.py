@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -314,9 +315,26 @@ def score(docs: DataFrame, lexicon: Lexicon, spans: bool = True) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, ddl)
 
 
+def clean_rows(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; one pass without a shuffle."""
+
+    @F.pandas_udf("double")
+    def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = lexicon.matcher()
+        for t in texts:
+            yield pd.Series([m.score(x or "") for x in t], dtype="float64")
+
+    return docs.where(scores(F.col("text")) < threshold)
+
+
+def training_rows(folds: int = 4, held: int = 2):
+    """Whether a row's labels may be learned: crc32(doc_id as text) mod ``folds`` is not ``held``."""
+    return F.pmod(crc_of_id(), F.lit(folds)) != held
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted; labels are learned only from rows that are not held out."""
     fold_of = F.pmod(crc_of_id(), F.lit(folds))
-    lexicon = learn(docs, labels, fold_of != held)
+    lexicon = learn(docs, labels, training_rows(folds, held))
     out = score(docs, lexicon, spans=False)
     return out.select("doc_id", F.coalesce(fold_of == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
