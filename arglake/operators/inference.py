@@ -21,13 +21,13 @@ Generator = Callable[[str, str], dict]
 
 
 def stub_classifier(labels: tuple[str, ...]) -> Callable[[], Classifier]:
-    """A deterministic classifier for tests: the label is chosen by a hash of the text."""
+    """A deterministic classifier for tests: the label is chosen by a hash of the text (or pair of texts)."""
 
     def make() -> Classifier:
         def classify(texts):
             out = []
             for t in texts:
-                h = int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=4).digest(), "little")
+                h = int.from_bytes(hashlib.blake2b("\0".join(x or "" for x in (t if isinstance(t, tuple) else (t,))).encode(), digest_size=4).digest(), "little")
                 out.append((labels[h % len(labels)], round(0.5 + h % 1000 / 2000, 6)))
             return out
 

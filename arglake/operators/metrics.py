@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arglake.functions.text import fuzzy_ratio, ratio_bound
+from arglake.session import arrow_function
 
 THRESHOLD = 0.7
 
@@ -34,22 +35,26 @@ def best_matches(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return good.groupBy("map_id", "gold", "gold_pos").agg(F.max_by("pred", F.struct("score", -F.col("pred_pos"))).alias("pred"))
 
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    used, matched = set(), 0
-    for _, own in pairs.sort_values(["gold_pos", "score", "pred_pos"], ascending=[True, False, True]).groupby("gold_pos", sort=True):
-        for pred in own["pred"]:
-            if pred not in used:
-                used.add(pred)
-                matched += 1
-                break
-    return pd.DataFrame({"map_id": [pairs["map_id"].iloc[0]], "matched": [matched]})
+def greedy_matches(pairs: list) -> int:
+    """How many gold nodes, in order, find a predicted node that no earlier one has taken; the best score first, the first of equals."""
+    used: set = set()
+    matched, at = 0, None
+    for p in sorted(pairs, key=lambda p: (p["gold_pos"], -p["score"], p["pred_pos"])):
+        if p["gold_pos"] != at and p["pred"] not in used:
+            used.add(p["pred"])
+            matched, at = matched + 1, p["gold_pos"]
+    return matched
+
+
+@arrow_function("long")
+def _greedy(pairs: pd.Series) -> pd.Series:
+    return pairs.map(greedy_matches)
 
 
 def node_f1(gold: DataFrame, pred: DataFrame, scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(map_id, matched, precision, recall, f1): greedy one-to-one matching in gold order."""
-    kind = dict(gold.dtypes)["map_id"]
-    good = scores.where(F.col("score") >= threshold).select("map_id", "gold_pos", "pred", "pred_pos", "score")
-    matched = good.groupBy("map_id").applyInPandas(_greedy, f"map_id {kind}, matched long")
+    good = scores.where(F.col("score") >= threshold).groupBy("map_id").agg(F.collect_list(F.struct("gold_pos", "pred", "pred_pos", "score")).alias("pairs"))
+    matched = good.select("map_id", _greedy("pairs").alias("matched"))
     g, p = gold.groupBy("map_id").agg(F.count("*").alias("n_gold")), pred.groupBy("map_id").agg(F.count("*").alias("n_pred"))
     out = g.join(p, "map_id", "left").join(matched, "map_id", "left").na.fill(0)
     precision = F.when(F.col("n_pred") > 0, F.col("matched") / F.col("n_pred")).otherwise(0.0)

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arglake.operators.catalog import is_topic
+from arglake.functions.text import contains_any
+from arglake.operators.catalog import TOPIC
 
 
 def tfidf(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -129,15 +130,16 @@ def suggestions(rest: DataFrame, taken: DataFrame, shortage: int, no_repeat: lis
     return left.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(2 * shortage)
 
 
-def fill_ratio(sample: DataFrame, frame: DataFrame, key: str, text: str, least: float = 0.5) -> DataFrame:
+def fill_ratio(sample: DataFrame, frame: DataFrame, key: str, text: str, least: float = 0.5, stems: list[str] = TOPIC) -> DataFrame:
     """``sample`` with so many of its first rows off topic replaced by the frame's first rows on topic that the share of topic rows is at least ``least``."""
-    flagged = sample.withColumn("_t", is_topic(text))
+    on_topic = contains_any(F.coalesce(F.col(text), F.lit("")), stems)
+    flagged = sample.withColumn("_t", on_topic)
     n, on = flagged.agg(F.count("*"), F.coalesce(F.sum(F.col("_t").cast("long")), F.lit(0))).first()
     need = max(0, -int(-least * n // 1) - on)
     if need == 0:
         return sample
     out = flagged.where("not _t").orderBy(key).limit(need).select(key)
-    new = frame.where(is_topic(text)).join(sample.select(key), key, "left_anti").orderBy(key).limit(need)
+    new = frame.where(on_topic).join(sample.select(key), key, "left_anti").orderBy(key).limit(need)
     return sample.join(out, key, "left_anti").unionByName(new.select(sample.columns))
 
 

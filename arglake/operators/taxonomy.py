@@ -12,7 +12,7 @@ def parent_names(categories: DataFrame) -> DataFrame:
     flat = categories.select("category_id", F.posexplode_outer("parent_ids").alias("pos", "pid"))
     named = flat.join(names, "pid", "left").where("pid is not null")
     label = F.coalesce("pname", F.concat(F.lit("[Unknown ID: "), F.col("pid").cast("string"), F.lit("]")))
-    lists = named.groupBy("category_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", label.alias("n")))), lambda x: x.n).alias("parent_names"))
+    lists = named.groupBy("category_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", label.alias("n")))), lambda x: x["n"]).alias("parent_names"))
     primary = names.select(F.col("pid").alias("primary_parent"), F.col("pname").alias("primary_parent_name"))
     out = categories.join(lists, "category_id", "left").join(primary, "primary_parent", "left")
     return out.select(*categories.columns, F.coalesce("parent_names", F.array()).alias("parent_names"), "primary_parent_name")
@@ -22,7 +22,7 @@ def ordered_names(assignments: DataFrame, categories: DataFrame, key: str = "pap
     """(key, category_names): names in the order of the ids, unknown ids dropped."""
     flat = assignments.select(key, F.posexplode("category_ids").alias("pos", "category_id"))
     named = flat.join(categories.select("category_id", "name"), "category_id")
-    return named.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x.name).alias("category_names"))
+    return named.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("category_names"))
 
 
 def paths(categories: DataFrame, depth: int = 10, separator: str = " > ") -> DataFrame:
@@ -54,7 +54,7 @@ def combine(papers: DataFrame, assignments: DataFrame, categories: DataFrame, hi
         return out
     flat = ids.select("identifier", F.posexplode("category_ids").alias("pos", "category_id")).join(paths(categories), "category_id")
     found = flat.groupBy("identifier").agg(F.array_sort(F.collect_list(F.struct("pos", "path"))).alias("p"))
-    found = found.select("identifier", F.when(F.col("p")[0]["pos"] == 0, F.col("p")[0]["path"]).alias("primary_category_hierarchy"), F.array_join(F.transform("p", lambda x: x.path), " | ").alias("all_category_hierarchies"))
+    found = found.select("identifier", F.when(F.col("p")[0]["pos"] == 0, F.col("p")[0]["path"]).alias("primary_category_hierarchy"), F.array_join(F.transform("p", lambda x: x["path"]), " | ").alias("all_category_hierarchies"))
     return out.join(found, "identifier", "left")
 
 

@@ -12,6 +12,16 @@ def stream_table(spark: SparkSession, path: str, files_per_batch: int = 16, glob
     return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
 
+def stream_file(spark: SparkSession, path: str) -> DataFrame:
+    """One Parquet file or folder as a stream: a single file is found by its name in its folder."""
+    schema = spark.read.parquet(path).schema
+    folder, _, name = path.rstrip("/").rpartition("/")
+    is_file = "." in name and spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder).limit(1).count() > 0
+    if is_file:
+        return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return spark.readStream.schema(schema).parquet(path)
+
+
 def running_latency(events: DataFrame, *by: str, value: str = "value") -> DataFrame:
     """n, mean and most of a value so far, for complete mode."""
     return events.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("most"))
