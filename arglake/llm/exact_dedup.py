@@ -171,11 +171,11 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
 def distinct_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that stay: of equal texts the row with the smallest id."""
     found = exact_duplicates(docs, **options)
-    keep = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_keep"))
-    rows = docs.withColumn("_sha", F.sha2(normalised().cast("binary"), 256))
-    out = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_keep")), "left_semi")
+    keep = found.where("kept").select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
+    rows = docs.withColumn("__sha", F.sha2(normalised().cast("binary"), 256))
+    out = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
     if found.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_sha"])  # rows that repeat id and text
+        out = out.dropDuplicates(["doc_id", "__sha"])  # rows that repeat id and text
     return out.select(docs.columns)
 
 

@@ -169,9 +169,9 @@ def mix_rows(docs: DataFrame, labelled: DataFrame, power: float = 0.7, seed: int
 
 def take(docs: DataFrame, rated: DataFrame, least: int = 0, seed: int = 17) -> DataFrame:
     """The rows of ``docs``, all columns, as often as the rates of their ids say (the largest of a repeated id), ``least`` times at least."""
-    rates = rated.groupBy("doc_id").agg(F.max("rate").alias("_rate")).withColumnRenamed("doc_id", "_id")
-    chance = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    copies = F.floor("_rate") + (chance < F.col("_rate") - F.floor("_rate")).cast("int")
-    counted = rates.select("_id", F.greatest(copies.cast("int"), F.lit(least)).alias("_copies")).where("_copies > 0")
-    out = docs.join(counted, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    rates = rated.groupBy("doc_id").agg(F.max("rate").alias("__rate")).withColumnRenamed("doc_id", "__rated_id")
+    chance = F.pmod(F.xxhash64("__rated_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    copies = F.floor("__rate") + (chance < F.col("__rate") - F.floor("__rate")).cast("int")
+    counted = rates.select("__rated_id", F.greatest(copies.cast("int"), F.lit(least)).alias("__copies")).where("__copies > 0")
+    out = docs.join(counted, F.col("doc_id").cast("long").eqNullSafe(F.col("__rated_id")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
