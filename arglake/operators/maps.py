@@ -128,7 +128,7 @@ def parse_responses(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_response(t) for t in texts], columns=["adus", "relations", "error"])
 
 
-_JSON = "struct<ADUs:map<string,struct<type:string,text:string,quote:string,isImplicit:boolean>>,relations:array<struct<src:string,tgt:string,type:string>>,_corrupt_record:string>"
+_JSON = "struct<ADUs:map<string,struct<type:string,text:string,quote:string,isImplicit:string>>,relations:array<struct<src:string,tgt:string,type:string>>,_corrupt_record:string>"
 
 
 def parse_strict(df: DataFrame, id_column: str, json_column: str) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +136,7 @@ def parse_strict(df: DataFrame, id_column: str, json_column: str) -> tuple[DataF
     parsed = df.select(F.col(id_column).alias("map_id"), F.from_json(json_column, _JSON, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("m")).where(F.col("m._corrupt_record").isNull())
     nodes = parsed.select("map_id", F.posexplode("m.ADUs").alias("pos", "id", "x")).where("x.text is not null")
     kind = F.when(F.col("x.type").isin(*ADU_TYPES), F.col("x.type")).otherwise("Claim")
-    nodes = nodes.select("map_id", "pos", "id", kind.alias("type"), F.col("x.text").alias("text"), F.col("x.quote").alias("quote"), F.coalesce("x.isImplicit", F.lit(False)).alias("isImplicit"))
+    nodes = nodes.select("map_id", "pos", "id", kind.alias("type"), F.col("x.text").alias("text"), F.col("x.quote").alias("quote"), F.coalesce(F.lower("x.isImplicit") == "true", F.lit(False)).alias("isImplicit"))
     ids = F.map_keys("m.ADUs")
     edges = parsed.select("map_id", ids.alias("ids"), F.posexplode("m.relations").alias("pos", "r"))
     edges = edges.where(F.array_contains("ids", F.col("r.src")) & F.array_contains("ids", F.col("r.tgt")) & F.lower("r.type").isin(*RELATION_TYPES))
