@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
@@ -14,26 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from arglake.session import table  # noqa: F401
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = re.compile("[^\x20\x09-\x0d]+")
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    _importable(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _importable(spark: SparkSession) -> None:
-    """Python workers find this package where the driver found it (local runs; clusters install it or use --py-files)."""
-    environment = spark.sparkContext.environment
-    known = environment.get("PYTHONPATH", "")
-    if _ROOT not in known.split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(x for x in (known, _ROOT) if x)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set here only where the session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -77,16 +64,17 @@ def py_crc_of_id(doc_id) -> int:
 
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-_LOWER = {i: i + 32 for i in range(65, 91)}
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+    if text.isascii():
+        return text.lower()
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def words(text: str) -> list[str]:
     """All words of a text; the same as ``WORD.findall`` and several times faster on ordinary text."""
-    found = text.translate(_SPACES).split(" ")
+    for c in "\n\t\r\x0b\x0c":
+        if c in text:
+            text = text.replace(c, " ")
+    found = text.split(" ")
     return [w for w in found if w] if "" in found else found
 
 
@@ -103,24 +91,23 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-class WordHasher:
-    """64-bit hashes of words, kept in a dictionary of at most ``limit`` words (then begun anew)."""
-
-    def __init__(self, limit: int = 1_000_000):
-        self.limit, self.known = limit, {}
+class WordHasher(dict):
+    """64-bit hashes of words, of which at most about ``limit`` are remembered (then begun anew)."""
 
-    def __call__(self, found: list[str]) -> np.ndarray:
+    def __init__(self, limit: int = 150_000):
         import xxhash
 
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-        except KeyError:
-            for w in set(found).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+        super().__init__()
+        self.limit, self.digest = limit, xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = self.digest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+    def __call__(self, found: list[str]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

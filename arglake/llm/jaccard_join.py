@@ -43,13 +43,13 @@ THETA = 1 - SIMILAR / 100
 #: so that two linked sets always share a space).
 FULL, PART_FROM, PART = 320, 256, 0.4
 #: Pairs that a task holds before it passes them on.
-HELD_PAIRS = 4_000_000
+HELD_PAIRS = 1_500_000
 #: Sets, and shingles, of a region that one task joins.
 REGION_SETS, REGION_SHINGLES = 20_000, 12_000_000
 #: Pivots that split a larger region; and how often a region may be split before it is joined as it is.
 PIVOTS, LEVELS = 16, 6
 
-_hasher = WordHasher(600_000)
+_hasher = WordHasher()
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -307,42 +307,51 @@ def _join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _split_region(members: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """Voronoi cells of PIVOTS pivots for each region of ``members`` (region, key, items): (members of the cells, links to pivots).
 
-    A region's rows are dealt over slices; each slice gets the pivots' sets.
+    A region's rows are dealt over slices; each slice gets the pivots' sets, before its own.
     """
     slices = 8 * partitions(members.sparkSession)
     order = F.xxhash64("key", F.lit(level))
     chosen = members.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("p")).agg(F.min(F.struct(order.alias("o"), "key", "items")).alias("x"))
-    chosen = chosen.groupBy("region").agg(F.collect_list(F.struct(F.col("x.key").alias("key"), F.col("x.items").alias("items"))).alias("pivots"))  # PIVOTS sets a region
-    chosen = chosen.select("region", "pivots", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    rows = members.withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")).join(chosen, ["region", "slice"])
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    chosen = chosen.select("region", everywhere, F.lit(0).alias("member"), F.col("x.key").alias("key"), F.col("x.items").alias("items"))
+    rows = members.select("region", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("member"), "key", "items")
+    rows = chosen.unionByName(rows).repartition(partitions(members.sparkSession), "region", "slice").sortWithinPartitions("region", "slice", "member", "key")
     schema = pa.schema([("region", pa.int64()), ("cell", pa.int32()), ("native", pa.bool_()), ("distance", pa.float64()), ("pivot", pa.int64()), ("key", pa.int64()), ("items", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivots = None, []  # a slice's pivots come before its sets
         for b in batches:
             out = []
-            for region, key, items, pivots in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for region, slice_, member, key, items in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4)):
+                if (region, slice_) != at:
+                    at, pivots = (region, slice_), []
+                items = items.as_buffer().to_pybytes()
                 x = np.frombuffer(items, np.uint64)
+                if not member:
+                    pivots.append((key, x))
+                    continue
                 d = np.ones(len(pivots))
-                for i, p in enumerate(sorted(pivots, key=lambda p: p["key"])):
-                    y = np.frombuffer(p["items"], np.uint64)
+                for i, (_, y) in enumerate(pivots):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     d[i] = 1 - both / (len(x) + len(y) - both)
-                ranked = sorted(p["key"] for p in pivots)
                 c = int(d.argmin())
                 if d[c] >= 1:
                     out.append((region, PIVOTS, True, 1.0, None, key, items))
                     continue
-                out.append((region, c, True, float(d[c]), ranked[c], key, items))
+                out.append((region, c, True, float(d[c]), pivots[c][0], key, items))
                 for i in range(c):  # windows of the cells before
                     if d[i] < 1 and d[i] <= d[c] + 2 * THETA + 1e-9:
-                        out.append((region, i, False, float(d[i]), ranked[i], key, items))
+                        out.append((region, i, False, float(d[i]), pivots[i][0], key, items))
                 if d[c] >= 1 - THETA - 1e-9:
                     out.append((region, PIVOTS, False, 1.0, None, key, items))
+                if len(out) > 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     ddl = "region long, cell int, native boolean, distance double, pivot long, key long, items binary"
-    cells = materialise(rows.select("region", "key", "items", "pivots").mapInArrow(work, ddl), "jaccard-cells")
+    cells = materialise(rows.mapInArrow(work, ddl), "jaccard-cells")
     links = cells.where(F.col("pivot").isNotNull() & (F.col("distance") <= THETA + 1e-9)).select(F.col("key").alias("a"), F.col("pivot").alias("b"), "distance")
     # What is nearer to its pivot than the next set outside the threshold allows is connected to it, and done.
     edge = cells.where(F.col("distance") > THETA + 1e-9).groupBy("region", "cell").agg(F.min("distance").alias("edge"))
@@ -437,5 +446,5 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose id is the smallest of their component (rows that share an id stay if one of them does)."""
     found = link_components(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep_id")).distinct()
+    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__keep_id")), "left_semi")
