@@ -118,10 +118,31 @@ def centroid_ranking(vectors: DataFrame, id_column: str = "vec_id", column: str
     return vectors.join(F.broadcast(centroid(vectors, column))).select(id_column, cosine(F.col(column), F.col("centroid")).alias("similarity"))  # one row
 
 
-def bottom_share(df: DataFrame, key: str, score: str, share: float = 0.03) -> DataFrame:
-    """The rows with the lowest scores: max(1, floor(share * n)) of them, ties by key."""
-    n = max(1, int(share * df.count()))
-    return df.orderBy(score, key).limit(n)
+def bottom_share(df: DataFrame, key: str, score: str, share: float = 0.03, small: int = 10_000, buckets: int = 1024) -> DataFrame:
+    """The rows with the lowest scores: max(1, floor(share * n)) of them, ties by key; null scores are left out.
+
+    The cut is found by counting scores in buckets, and again inside the bucket that holds it, until that is ``small`` or
+    all its scores are equal: only that bucket's rows are sorted and limited, all lower ones are filtered.
+    """
+    rows = df.where(F.col(score).isNotNull())
+    n, low, high = rows.agg(F.count("*"), F.min(score), F.max(score)).first()
+    need = max(1, int(share * n))
+    inside, lower = rows, rows.where("false")
+    x = F.col(score).cast("double")
+    while n > small and low < high:
+        place = F.least(F.floor((x - float(low)) * buckets / (float(high) - float(low))), F.lit(buckets - 1))
+        counts = sorted(inside.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min(score).alias("lo"), F.max(score).alias("hi")).collect())  # at most ``buckets`` rows
+        taken = 0
+        for _, k, lo, hi in counts:
+            if taken + k >= need:
+                break
+            taken += k
+        if (k, lo, hi) == (n, low, high):
+            break
+        lower = lower.unionByName(inside.where(F.col(score) < lo))
+        inside = inside.where(F.col(score).between(lo, hi))
+        need, n, low, high = need - taken, k, lo, hi
+    return lower.unionByName(inside.orderBy(score, key).limit(need))
 
 
 def hash_embedding(text: str, size: int = 64) -> list[float]:

@@ -153,7 +153,7 @@ def _gold_pred(spark, sf_dir):
 
 
 @query(f"""
-WITH RECURSIVE {_GRAPH}, t AS (SELECT DISTINCT text AS a FROM n WHERE map_id <= 40), p AS (SELECT x.a AS a, y.a AS b FROM t x JOIN t y ON x.a < y.a AND x.a[1] = y.a[1]),
+WITH RECURSIVE {_GRAPH}, t AS (SELECT DISTINCT text AS a FROM n), p AS (SELECT x.a AS a, y.a AS b FROM t x JOIN t y ON x.a < y.a AND x.a[1] = y.a[1]),
 r AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS row FROM p
   UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, CASE WHEN a[i + 1] = b[j] THEN row[j] + 1 ELSE greatest(row[j + 1], acc[j]) END), [0]) FROM r WHERE i < length(a))
 SELECT a, b, round(2.0 * row[length(b) + 1] / (length(a) + length(b)), 6) AS score FROM r WHERE i = length(a)
@@ -161,7 +161,7 @@ SELECT a, b, round(2.0 * row[length(b) + 1] / (length(a) + length(b)), 6) AS sco
 def fuzzy_ratio_matrix(spark, sf_dir):
     from arglake.functions.text import fuzzy_ratio
 
-    t = nodes(spark, sf_dir).where("map_id <= 40").select(F.col("text").alias("a"), F.substring("text", 1, 1).alias("k")).distinct()
+    t = nodes(spark, sf_dir).select(F.col("text").alias("a"), F.substring("text", 1, 1).alias("k")).distinct()
     pairs = t.join(t.select(F.col("a").alias("b"), F.col("k").alias("kb")), (F.col("k") == F.col("kb")) & (F.col("a") < F.col("b")))
     return pairs.select("a", "b", F.round(fuzzy_ratio("a", "b"), 6).alias("score"))
 

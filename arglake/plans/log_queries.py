@@ -31,7 +31,7 @@ def log_last_entries(spark, sf_dir):
 
 @query()
 def checkpoint_envelope(spark, sf_dir):
-    return runlog.checkpoints(table(spark, sf_dir, "events").where("user_id < 50"), "user_id", "event_id", ["event_id", "event_type", "value"])
+    return runlog.checkpoints(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_id", "event_type", "value"])
 
 
 @query("""

@@ -79,7 +79,7 @@ def test_map_columns(spark):
     assert {(r.id, r.text, r.type) for r in n.collect()} == {("s", "Root", "Major Claim"), ("t", "Ref", "Claim")}
     assert [(r.src, r.type) for r in e.collect()] == [("t", "support")]
     lines = spark.createDataFrame([("d", 0, "+ a"), ("d", 1, "  - b"), ("d", 2, "  - c"), ("d", 3, "    {isImplicit: true}")], "doc string, pos int, line string")
-    assert [r.line for r in maps.standard_argdown(lines).orderBy("pos", "sub").collect()] == ["+ a", "  + b", "    {isImplicit: true}", "  - c", "    {isImplicit: true}"]
+    assert [r.line for r in maps.standard_argdown(lines).orderBy("pos", "sub").collect()] == ["+ a", "  + b", "    {isImplicit: true}", "  + c", "    {isImplicit: true}"]
     tree = maps.argdown_tree("+ root\n  + pro\n  - con\n    + deep")
     assert [(x["src"], x["tgt"], x["type"]) for x in tree["relations"]] == [("a2", "a1", "support"), ("a3", "a1", "attack"), ("a4", "a3", "support")]
 
@@ -129,6 +129,16 @@ def test_chunks_and_search(spark):
     assert [r.id for r in retrieval.top_k(v, v.withColumnRenamed("vec_id", "query_id"), 1, block=3).where("query_id = 19").collect()] == [18]
 
 
+def test_bottom_share(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice([r.gauss(0, 1), 0.5, -3.0, None])) for i in range(2000)]
+    want = sorted((x, i) for i, x in rows if x is not None)
+    df = spark.createDataFrame(rows, "id long, x double")
+    for share in (0.0, 0.03, 0.3, 0.5):
+        got = retrieval.bottom_share(df, "id", "x", share, small=5, buckets=7).collect()
+        assert sorted((g.x, g.id) for g in got) == want[: max(1, int(share * len(want)))]
+
+
 def test_prompts_and_steps(spark):
     t = prompts.parse_template("# System Prompt\n--- 1 ---\n```\nS1\n```\n--- 2 ---\nS2\n# User Prompt\nU <a.txt> <b.txt>\n")
     assert t == {"system": ["S1", "S2"], "user": ["U <a.txt> <b.txt>"]}
