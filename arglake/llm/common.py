@@ -1,12 +1,10 @@
-"""Shared helpers: tables, the shared work folder, word hashing and binary scatter."""
+"""Shared helpers: tables, the shared work folder, words and shingles."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
-import zlib
-from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +56,6 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def py_crc_of_id(doc_id) -> int:
-    return zlib.crc32(str(doc_id).encode())
-
-
 def lower_ascii(text: str) -> str:
     """Lower-case A-Z and nothing else."""
     if text.isascii():
@@ -78,14 +72,6 @@ def words(text: str) -> list[str]:
     return [w for w in found if w] if "" in found else found
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
-
-
-def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of a text column, null as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -279,8 +279,9 @@ def test_mixing(spark, shares):
         assert np.allclose(off(rate), 0, atol=1e-5 * n.sum())
     else:
         matrix = np.linalg.pinv((p * n[:, None]).T @ p)
-        best = reference_rates(p, n, targets)
-        assert off(rate) @ matrix @ off(rate) <= 1.05 * off(best) @ matrix @ off(best) + 1e-6
+        cost = lambda x: off(x) @ matrix @ off(x)
+        # the target cannot be met: steps shorten near the bound, and the iterations stop within this of the optimum
+        assert cost(rate) <= cost(reference_rates(p, n, targets)) + 1e-4 * cost(np.ones(len(n)))
     lang = {i: l for i, _, l in rows}
     right = [r.membership[lang[r.doc_id]] for r in got if r.doc_id in lang and r.n_tokens > 20]
     assert sum(x > 0.5 for x in right) > 0.9 * len(right)
