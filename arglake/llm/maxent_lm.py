@@ -45,7 +45,7 @@ PAIR_ROWS, WORD_ROWS = 1 << 13, 1 << 13
 ROUNDS = 3
 RATE, DAMPING, CLIP = 0.5, 4.0, 3.0
 #: Tokens of a numpy batch.
-BATCH = 16_384
+BATCH = 4096
 #: Words that a task counts before it passes them on.
 COUNTED = 400_000
 END = "\n"  # no word has white space
@@ -102,11 +102,18 @@ def heavy_words(counts: DataFrame, most: int = HEAVY) -> list[tuple[str, int]]:
     return sorted(((r[0], r[1]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
+class _Numbers(dict):
+    """-1 for words that are not there."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
 class Lookup:
     """What a worker knows of the heavy words."""
 
     def __init__(self, heavy: list[tuple[str, int]]):
-        self.number = {w: i for i, (w, _) in enumerate(heavy)}
+        self.number = _Numbers((w, i) for i, (w, _) in enumerate(heavy))
         self.counts = np.array([c for _, c in heavy] + [0], np.int64)
         vocabulary = min(VOCABULARY, len(heavy))
         self.target = np.full(len(heavy) + 1, VOCABULARY, np.int32)
@@ -115,8 +122,7 @@ class Lookup:
 
     def __call__(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(heavy number or -1, target, context) of each token."""
-        get = self.number.get
-        h = np.fromiter([get(w, -1) for w in found], np.int32, len(found))
+        h = np.fromiter(map(self.number.__getitem__, found), np.int32, len(found))
         context = self.context[h]
         for i in np.flatnonzero(h < 0).tolist():
             context[i] = VOCABULARY + ending(found[i])
@@ -162,29 +168,31 @@ class Model:
     def word_row(cls: np.ndarray, prev: np.ndarray) -> np.ndarray:
         return (prev * CLASSES + cls) * 2_654_435_761 % 4_294_967_291 % WORD_ROWS
 
-    def forward(self, target: np.ndarray, rows: tuple[np.ndarray, ...]):
-        """log P of each target's class and place, and the distributions."""
+    def forward(self, target: np.ndarray, rows: tuple[np.ndarray, ...], distributions: bool = True):
+        """log P of each target's class and place, and (if asked for) the distributions."""
+        # Biases are log priors and updates are clipped, so exponentials stay far from the limits of float32.
         z = self.rows[rows[0]]
         z += self.rows[rows[1]]
         z += self.rows[rows[2]]
         z += self.class_bias
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        total = p.sum(axis=1)
         cls = target // WIDTH
         at = np.arange(len(target))
-        log_p = (z[at, cls] - np.log(total)).astype(np.float64)
-        p /= total[:, None]
+        log_p = z[at, cls].astype(np.float64)
+        p = np.exp(z, out=z)
+        total = p @ np.ones(p.shape[1], p.dtype)
+        log_p -= np.log(total)
         known = np.flatnonzero(target < VOCABULARY)
         word = self.word_row(cls[known].astype(np.int64), rows[0][known])
         y = self.word[word]
         y += self.word_bias[cls[known]]
-        y -= y.max(axis=1, keepdims=True)
-        q = np.exp(y)
-        total = q.sum(axis=1)
         slot = target[known] % WIDTH
-        log_p[known] += y[np.arange(len(known)), slot] - np.log(total)
-        q /= total[:, None]
+        chosen = y[np.arange(len(known)), slot].astype(np.float64)
+        q = np.exp(y, out=y)
+        inside = q @ np.ones(WIDTH, q.dtype)
+        log_p[known] += chosen - np.log(inside)
+        if distributions:
+            p /= total[:, None]
+            q /= inside[:, None]
         return log_p, cls, p, known, word, slot, q
 
     def gradient(self, target: np.ndarray, rows: tuple[np.ndarray, ...], out: Gradient) -> None:
@@ -229,14 +237,10 @@ class Gradient:
 
 
 def _add_rows(into: np.ndarray, fired: np.ndarray, index: np.ndarray, values: np.ndarray) -> None:
-    """into[index] += values, rows with equal index summed first."""
-    if not len(index):
-        return
-    order = np.argsort(index, kind="stable")
-    ranked = index[order]
-    starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    into[ranked[starts]] += np.add.reduceat(values[order], starts, axis=0)
-    fired[ranked[starts]] += np.diff(np.append(starts, len(ranked)))
+    """into[index] += values for repeated indices too, and how often each row fires."""
+    width = into.shape[1]
+    np.add.at(into.reshape(-1), (index[:, None] * width + np.arange(width)).ravel(), values.ravel())
+    fired += np.bincount(index, minlength=len(fired)).astype(np.float32)
 
 
 _KNOWN: dict = {}
@@ -359,7 +363,7 @@ def score(docs: DataFrame, training, rounds: int = ROUNDS) -> DataFrame:
                     row += 1
                     held.add(target, ctx)
                     lengths.append(len(found))
-                log_p = np.concatenate([m.forward(x, rows)[0] for x, rows in held.take()]) / np.log(10)
+                log_p = np.concatenate([m.forward(x, rows, False)[0] for x, rows in held.take()]) / np.log(10)
                 for o, total in zip(out, np.add.reduceat(log_p, np.concatenate([[0], np.cumsum(lengths)[:-1]])).tolist()):
                     o[5] += total
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
