@@ -4,7 +4,8 @@
 
 * Sieve.  If A links to B, at most a fifth of A's shingles are not in B.  So a set of which more than a
   fifth of the shingles are in no other set has no link.  This is counted on a fixed part of the shingle
-  space (sets of under FULL shingles: on all of it), with shingles as hashes in binary blocks.
+  space (sets of under FULL shingles: on all of it), with shingles as hashes in binary blocks.  A set of
+  both spaces shares perhaps only one of them with its partner, so each space is counted and keyed by itself.
 * Regions.  Of what is left, each set is keyed by its rarest counted shingles, just so many that two linked
   sets must share a key.  Sets that are connected by keys form a region; no link leaves it.
 * Pivots.  A region is joined by pivots: all distances to a pivot are taken; what is within the threshold
@@ -78,11 +79,11 @@ def part_of(s: np.ndarray, share: float) -> np.ndarray:
     return s if share >= 1 else s[: np.searchsorted(s, np.uint64(int(share * 2**64)))]
 
 
-def keyed_parts(s: np.ndarray, share: float) -> list[np.ndarray]:
-    """The counted shingles of a set, in each space that it belongs to."""
-    out = [s] if len(s) < FULL else []
+def keyed_parts(s: np.ndarray, share: float) -> list[tuple[bool, np.ndarray]]:
+    """(whether it is the part, counted shingles of a set) for each space that it belongs to."""
+    out = [(False, s)] if len(s) < FULL else []
     if len(s) >= PART_FROM:
-        out.append(part_of(s, share) ^ _SPACE)
+        out.append((True, part_of(s, share) ^ _SPACE))
     return out
 
 
@@ -107,27 +108,28 @@ def _sets(docs: DataFrame, seed: int, share: float) -> DataFrame:
 
 
 def _pairs(docs: DataFrame, seed: int, share: float, parts: int) -> DataFrame:
-    """(part, block): counted shingles and the keys of their sets, dealt by shingle; a block has all shingles, then all keys."""
-    schema = pa.schema([("part", pa.int32()), ("block", pa.binary())])
+    """(part, in_part, block): counted shingles and the keys of their sets, dealt by shingle; a block is of one space and has all shingles, then all keys."""
+    schema = pa.schema([("part", pa.int32()), ("in_part", pa.bool_()), ("block", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs: list[np.ndarray] = []
-        ks: list[np.ndarray] = []
+        spaces: dict[bool, tuple[list[np.ndarray], list[np.ndarray]]] = {False: ([], []), True: ([], [])}
         held = 0
         seen: set[int] = set()
 
         def out():
-            if not hs:
-                return
-            h, k = np.concatenate(hs), np.concatenate(ks)
-            part = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32)
-            order = np.argsort(part.astype(np.uint32), kind="stable")
-            h, k, part = h[order], k[order], part[order]
-            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
-            for a, z in zip(starts, [*starts[1:], len(h)]):
-                yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([h[a:z].tobytes() + k[a:z].tobytes()], pa.binary())], schema=schema)
-            hs.clear()
-            ks.clear()
+            for in_part, (hs, ks) in spaces.items():
+                if not hs:
+                    continue
+                h, k = np.concatenate(hs), np.concatenate(ks)
+                hs.clear()
+                ks.clear()
+                part = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32)
+                order = np.argsort(part.astype(np.uint32), kind="stable")
+                h, k, part = h[order], k[order], part[order]
+                starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+                for a, z in zip(starts, [*starts[1:], len(h)]):
+                    block = h[a:z].tobytes() + k[a:z].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([in_part]), pa.array([block], pa.binary())], schema=schema)
 
         for b in batches:
             for s in map(shingle_set, strings(b.column(1))):
@@ -138,53 +140,59 @@ def _pairs(docs: DataFrame, seed: int, share: float, parts: int) -> DataFrame:
                     continue
                 if len(seen) < 500_000:
                     seen.add(key)
-                for counted in keyed_parts(s, share):
-                    hs.append(counted)
-                    ks.append(np.full(len(counted), key, np.int64))
+                for in_part, counted in keyed_parts(s, share):
+                    if not len(counted):
+                        continue
+                    spaces[in_part][0].append(counted)
+                    spaces[in_part][1].append(np.full(len(counted), key, np.int64))
                     held += len(counted)
                 if held > HELD_PAIRS:
                     yield from out()
                     held = 0
         yield from out()
 
-    return docs.mapInArrow(work, "part int, block binary")
+    return docs.mapInArrow(work, "part int, in_part boolean, block binary")
 
 
 def _shared(pairs: DataFrame, parts: int) -> DataFrame:
-    """(h, key) of the shingles that are in two sets or more."""
-    schema = pa.schema([("h", pa.int64()), ("key", pa.int64())])
+    """(h, key, in_part) of the shingles that are in two sets of a space or more."""
+    schema = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("in_part", pa.bool_())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, ks = [], []
+        spaces: dict[bool, tuple[list[np.ndarray], list[np.ndarray]]] = {False: ([], []), True: ([], [])}
         for b in batches:
-            for block in b.column(1):
+            for in_part, block in zip(b.column(1).to_pylist(), b.column(2)):
                 x = np.frombuffer(block.as_buffer(), np.int64)
+                hs, ks = spaces[in_part]
                 hs.append(x[: len(x) // 2])
                 ks.append(x[len(x) // 2 :])
-        if not hs:
-            return
-        h, k = np.concatenate(hs), np.concatenate(ks)
-        del hs, ks
-        order = np.argsort(h)
-        h, k = h[order], k[order]
-        again = np.flatnonzero(h[1:] == h[:-1])
-        wanted = np.zeros(len(h), bool)
-        wanted[again] = True
-        wanted[again + 1] = True
-        h, k = h[wanted], k[wanted]
-        order = np.lexsort((k, h))
-        h, k = h[order], k[order]
-        first = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])) if len(h) else np.zeros(0, bool)
-        h, k = h[first], k[first]
-        wanted = np.zeros(len(h), bool)
-        again = np.flatnonzero(h[1:] == h[:-1])
-        wanted[again] = True
-        wanted[again + 1] = True
-        h, k = h[wanted], k[wanted]
-        for i in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 100_000]), pa.array(k[i : i + 100_000])], schema=schema)
-
-    return pairs.repartitionById(parts, F.col("part")).mapInArrow(work, "h long, key long")
+        for in_part in (False, True):
+            hs, ks = spaces.pop(in_part)
+            if not hs:
+                continue
+            h, k = np.concatenate(hs), np.concatenate(ks)
+            del hs, ks
+            order = np.argsort(h)
+            h, k = h[order], k[order]
+            again = np.flatnonzero(h[1:] == h[:-1])
+            wanted = np.zeros(len(h), bool)
+            wanted[again] = True
+            wanted[again + 1] = True
+            h, k = h[wanted], k[wanted]
+            order = np.lexsort((k, h))
+            h, k = h[order], k[order]
+            first = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])) if len(h) else np.zeros(0, bool)
+            h, k = h[first], k[first]
+            wanted = np.zeros(len(h), bool)
+            again = np.flatnonzero(h[1:] == h[:-1])
+            wanted[again] = True
+            wanted[again + 1] = True
+            h, k = h[wanted], k[wanted]
+            for i in range(0, len(h), 100_000):
+                n = len(h[i : i + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + n]), pa.array(k[i : i + n]), pa.array(np.full(n, in_part))], schema=schema)
+
+    return pairs.repartitionById(parts, F.col("part")).mapInArrow(work, "h long, key long, in_part boolean")
 
 
 def components(edges: DataFrame, name: str = "components", most: int = 40) -> DataFrame:
@@ -397,27 +405,24 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     else:
         raise RuntimeError("digests of different sets clash for every seed")
     shared = materialise(_shared(_pairs(docs, seed, share, parts), parts), "jaccard-shared")
-    # the sieve: sets that have too many shingles of their own go
-    both_spaces = (F.col("n") >= PART_FROM) & (F.col("n") < FULL)
-    total = F.when(both_spaces, F.col("n") + F.col("n_part")).when(F.col("n") >= FULL, F.col("n_part")).otherwise(F.col("n"))
+    # the sieve: sets that have too many shingles of their own in a space go from it, as linked sets share all they have in a common space but ``may``
+    total = F.when(F.col("in_part"), F.col("n_part")).otherwise(F.col("n"))
     may = F.floor(F.col("n") * (100 - SIMILAR) / 100)
-    counted = shared.groupBy("key").agg(F.count("*").alias("m"))
-    sieve = counted.join(classes.where("rep is not null"), "key").select("key", "rep", both_spaces.alias("both_spaces"), total.alias("total"), "m", may.alias("may"))
-    # a set of both spaces may have ``may`` of its own in each
-    sieve = sieve.where(F.col("total") - F.col("m") <= F.when(F.col("both_spaces"), 2 * F.col("may")).otherwise(F.col("may")))
-    sieve = materialise(sieve, "jaccard-sieve")
-    keyed = materialise(shared.join(sieve.select("key", "may", "total", "both_spaces"), "key"), "jaccard-keyed")
-    df = keyed.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    own = keyed.join(df, "h")
-    of_set = Window.partitionBy("key")
+    counted = shared.groupBy("key", "in_part").agg(F.count("*").alias("m"))
+    sieve = counted.join(classes.where("rep is not null"), "key").select("key", "rep", "in_part", total.alias("total"), "m", may.alias("may"))
+    sieve = materialise(sieve.where(F.col("total") - F.col("m") <= F.col("may")), "jaccard-sieve")
+    keyed = materialise(shared.join(sieve.select("key", "in_part", "may", "total"), ["key", "in_part"]), "jaccard-keyed")
+    df = keyed.groupBy("h", "in_part").agg(F.count("*").alias("df")).where("df > 1")
+    own = keyed.join(df, ["h", "in_part"])
+    of_set = Window.partitionBy("key", "in_part")
     ranked = own.withColumn("place", F.row_number().over(of_set.orderBy("df", "h"))).withColumn("m", F.count("*").over(of_set))
-    # A set's shingles of its own come first; of the shared ones the rarest complete the prefix.  Sets of both spaces use all.
-    length = F.when(F.col("both_spaces"), F.col("m")).otherwise(F.col("may") + 1 - (F.col("total") - F.col("m")))
+    # A set's shingles of its own come first; of the shared ones the rarest complete the prefix, in each space.
+    length = F.col("may") + 1 - (F.col("total") - F.col("m"))
     prefix = materialise(ranked.where(F.col("place") <= length).select("h", "key"), "jaccard-prefix")
     least = prefix.groupBy("h").agg(F.min("key").alias("least"))
     edges = prefix.join(least, "h").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b"))
     regions = components(edges, "jaccard-regions")
-    survivors = sieve.select("key", "rep").join(regions.select(F.col("node").alias("key"), F.col("label").alias("region")), "key")
+    survivors = sieve.select("key", "rep").distinct().join(regions.select(F.col("node").alias("key"), F.col("label").alias("region")), "key")
     members = materialise(_with_sets(docs, survivors, seed), "jaccard-members")
     links: list[DataFrame] = []
     for level in range(LEVELS):

@@ -177,6 +177,26 @@ def test_jaccard_join(spark, monkeypatch, sets):
     assert Counter(tuple(r) for r in got) == brute_components(rows)
 
 
+#: Shingles of lone pairs whose sizes lie on either side of PART_FROM or FULL, or between them.
+ACROSS = [(300, 330), (316, 336), (319, 320), (252, 296), (255, 256), (250, 310), (260, 315), (256, 319)]
+
+
+def lone_pairs(start=0):
+    """Near copies, one text a beginning of the other, that share no shingle with any third text."""
+    rows = []
+    for i, sizes in enumerate(ACROSS):
+        w = [f"p{start + i}x{j}" for j in range(400)]
+        rows += [(start + 2 * i + k, " ".join(w[: n + 4])) for k, n in enumerate(sizes)]
+    return rows
+
+
+def test_jaccard_links_lone_pairs_across_the_spaces(spark):
+    rows = lone_pairs()
+    got = Counter(tuple(r) for r in jaccard_join.link_components(frame(spark, rows)).collect())
+    assert got == brute_components(rows)
+    assert {c for _, _, c in got} == {2 * i for i in range(len(ACROSS))}
+
+
 def test_jaccard_counts_everything_if_the_part_is_too_small(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PART", 0.01)
     rows = near_rows(4)
