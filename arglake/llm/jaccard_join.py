@@ -14,7 +14,8 @@
   A region too large for a task is first split into the Voronoi cells of several pivots: y is
   replicated to the cell of pivot p if d(y, p) <= d(y, nearest) + 2 * threshold, and the cells are joined
   recursively; sets that touch no pivot form a cell of their own, into which the sets at a distance of at
-  least 1 - threshold from their pivot are replicated.
+  least 1 - threshold from their pivot are replicated, and in place of the cells of pivots that they do not
+  touch also those at a distance of at least 1 - 2 * threshold.
 * Components of all links are then the classes.
 
 Nothing is approximated: every link is decided on whole sets of 64-bit shingle hashes.
@@ -347,10 +348,14 @@ def _split_region(members: DataFrame, level: int) -> tuple[DataFrame, DataFrame]
                     out.append((region, PIVOTS, True, 1.0, None, key, items))
                     continue
                 out.append((region, c, True, float(d[c]), pivots[c][0], key, items))
+                apart = False
                 for i in range(c):  # windows of the cells before
-                    if d[i] < 1 and d[i] <= d[c] + 2 * THETA + 1e-9:
-                        out.append((region, i, False, float(d[i]), pivots[i][0], key, items))
-                if d[c] >= 1 - THETA - 1e-9:
+                    if d[i] <= d[c] + 2 * THETA + 1e-9:
+                        if d[i] < 1:
+                            out.append((region, i, False, float(d[i]), pivots[i][0], key, items))
+                        else:  # a linked set of that cell is at least 1 - THETA from its pivot, so it is in the last cell
+                            apart = True
+                if apart or d[c] >= 1 - THETA - 1e-9:
                     out.append((region, PIVOTS, False, 1.0, None, key, items))
                 if len(out) > 2000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)

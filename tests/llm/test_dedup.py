@@ -3,7 +3,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arglake.llm import common, exact_dedup, jaccard_join, suffix_dedup
 
@@ -197,6 +199,22 @@ def test_jaccard_links_lone_pairs_across_the_spaces(spark):
     assert {c for _, _, c in got} == {2 * i for i in range(len(ACROSS))}
 
 
+def test_jaccard_split_keeps_links_of_sets_that_touch_different_pivots(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    order = F.xxhash64("id", F.lit(0))
+    ranked = spark.range(100).select("id", F.pmod(order, F.lit(2)).alias("p"), order.alias("o")).orderBy("o").collect()
+    first, second = ([r.id for r in ranked if r.p == p] for p in (0, 1))
+    earlier, later = sorted([first[0], second[0]])  # the pivots, in the order of their cells
+    both, x_own, y_own = range(80), range(100, 110), range(200, 210)
+    sets = {earlier: [*y_own], later: [*x_own, *range(10)], first[1]: [*both, *x_own], second[1]: [*both, *y_own]}
+    rows = [(7, key, bytearray(np.sort(np.array(s, np.uint64)).tobytes())) for key, s in sets.items()]
+    cells, _ = jaccard_join._split_region(spark.createDataFrame(rows, "region long, key long, items binary"), 0)
+    found = defaultdict(set)
+    for r in cells.collect():
+        found[r.region].add(r.key)
+    assert any({first[1], second[1]} <= keys for keys in found.values())
+
+
 def test_jaccard_counts_everything_if_the_part_is_too_small(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PART", 0.01)
     rows = near_rows(4)
