@@ -5,7 +5,7 @@ import public_tokenizers
 
 import corpus_pipeline
 from arglake.llm import common, piece_coding, queries, toxicity
-from tests.llm.test_dedup import brute_components
+from tests.llm.test_dedup import brute_components, lone_pairs
 from tests.llm.test_text import toxic_rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -49,6 +49,14 @@ def test_stages(spark, tables):
     assert Counter((r.doc_id, tuple(r.token_ids)) for r in docs.collect()) == want
 
 
+def test_near_copies_go_across_the_shingle_spaces(spark):
+    rows = lone_pairs()
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], SCHEMA)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [d for d, _ in rows[::2]]
+
+
 def test_run_and_registration(spark, tables):
     assert corpus_pipeline.run(spark, tables[0]).count() > 0
     import __spark_entry__
