@@ -33,8 +33,6 @@ from arglake.llm.common import crc_of_id, strings, words
 
 #: Labelled rows that are learned from, about.
 MAX_LABELLED = 20_000
-#: Terms that may be tried, the most frequent in toxic texts first.
-MAX_TERMS = 20_000
 #: Share of a term's texts that must be toxic, the share at which longer terms are not looked for, and how unlikely so many
 #: toxic texts must be by chance (natural logarithm).
 PRECISION, SURE, CHANCE = 0.6, 0.9, 14.0
@@ -228,6 +226,17 @@ def choose_terms(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
     return out
 
 
+def _may_be_chosen(n_toxic: int, n_clean: int):
+    """PRECISION and CHANCE of ``choose_terms`` as a condition on n (toxic) and n0 (clean) texts, a little wider for rounding."""
+    base = n_toxic / max(1, n_toxic + n_clean)
+    if not 0 < base < 1:
+        return F.lit(False)
+    n = F.col("n") + F.col("n0")
+    share = F.col("n") / n
+    far = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    return (share >= PRECISION - 1e-9) & (share > base) & (n * far >= CHANCE - 1e-6)
+
+
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Logistic regression by Newton's method with a small ridge."""
     design = np.column_stack([np.ones(len(x)), x])
@@ -249,11 +258,10 @@ def learn(docs: DataFrame, labels: DataFrame, training, most: int = MAX_LABELLED
     rows = labelled_rows(docs, labels, training, most)
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    frequent = _counted(rows.where("toxic = 1"), _terms_of).where(F.col("n") >= 5).orderBy(F.desc("n"), "term").limit(MAX_TERMS)
-    toxic = {r[0]: r[1] for r in frequent.collect()}
-    wanted = frozenset(toxic)
-    clean = {r[0]: r[1] for r in _counted(rows.where("toxic = 0"), lambda t: _terms_of(t) & wanted).collect()} if toxic else {}
-    chosen = choose_terms(toxic, clean, n_toxic, n_clean)
+    frequent = _counted(rows.where("toxic = 1"), _terms_of).where(F.col("n") >= 5)
+    counts = frequent.join(_counted(rows.where("toxic = 0"), _terms_of).select("term", F.col("n").alias("n0")), "term", "left")
+    found = counts.select("term", "n", F.coalesce("n0", F.lit(0)).alias("n0")).where(_may_be_chosen(n_toxic, n_clean)).collect()
+    chosen = choose_terms({r.term: r.n for r in found}, {r.term: r.n0 for r in found}, n_toxic, n_clean)
     words_ = {fold(t): w for t, w in SEED.items()} | {t[:-1]: w for t, w in chosen.items() if t[-1] == " "}
     lexicon = Lexicon(words_, {t[:-1]: w for t, w in chosen.items() if t[-1] == "-"}, EXCEPTIONS)
     lexicon.exceptions += tuple(_learned_exceptions(rows, lexicon))
@@ -295,7 +303,7 @@ def _learned_exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in n], pa.string()), pa.array([t for _, t in n], pa.int32()), pa.array(list(n.values()), pa.int64())], names=["pair", "toxic", "n"])
 
     found = rows.select("toxic", "text").mapInArrow(pairs, "pair string, toxic int, n long").groupBy("pair").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum("n").alias("all"))
-    return [r[0] for r in found.where("clean >= 5 AND clean >= 0.8 * all").orderBy(F.desc("clean"), "pair").limit(500).collect()]
+    return [r[0] for r in found.where("clean >= 5 AND clean >= 0.8 * all").orderBy(F.desc("clean"), "pair").collect()]
 
 
 def score(docs: DataFrame, lexicon: Lexicon, spans: bool = True) -> DataFrame:

@@ -313,3 +313,14 @@ def test_solve(seed):
     b = r.normal(size=4)
     assert np.allclose(mixing.solve(a.tolist(), b.tolist()), np.linalg.solve(a, b))
     assert mixing.solve([[2.0, 0.0], [0.0, 0.0]], [4.0, 0.0]) == [2.0, 0.0]
+
+
+def test_toxicity_tries_terms_behind_many_more_frequent_ones(spark):
+    r = random.Random(8)
+    common_words = " ".join("".join(r.choice("abcdefghijkmnopqrstuvwxyz") for _ in range(9)) for _ in range(6000))
+    rows = [(i, common_words + " zorgblat" * (i < 11), 1) for i in range(14)] + [(100 + i, common_words if i < 20 else "fine words", 0) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, toxic) for i, _, toxic in rows], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels, F.lit(True))
+    assert lexicon.matcher().matches("a zorgblat b")
+    assert not lexicon.matcher().matches(common_words)
