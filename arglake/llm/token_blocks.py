@@ -2,9 +2,10 @@
 
 File format (little endian), one file to a shard:
 
-    "PFOR0001" | n_ids u64 | n_docs u32 | n_blocks u32
+    "PFOR0002" | n_ids u64 | n_docs u32 | n_blocks u32
     block starts   (n_blocks + 1) x u32   offsets into the body
     doc ids        n_docs x i64
+    null bitmap    (n_docs + 7) / 8 bytes, least bit first: documents without an id
     doc lengths    n_docs x u32           ids of each document, the end id included
     body           the blocks
 
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from arglake.llm.common import partitions, work_path
 
-MAGIC = b"PFOR0001"
+MAGIC = b"PFOR0002"
 BLOCK = 128
 #: The percentile of a block's differences that its width must hold.
 PERCENTILE = 90
@@ -84,8 +85,10 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(len(words), BLOCK)
 
 
-def encode_file(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, percentile: int = PERCENTILE) -> bytes:
+def encode_file(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     """One file for the concatenated ``ids`` of documents."""
+    named = pa.array(doc_ids, pa.int64())
+    nulls = np.packbits(named.is_null().to_numpy(zero_copy_only=False), bitorder="little")
     n = len(ids)
     k = -(-n // BLOCK)
     v = np.empty(k * BLOCK, np.uint32)
@@ -120,7 +123,7 @@ def encode_file(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, perce
         body[base + nth] = c
         high = (v[r, c] >> width[r].astype(np.uint32)).astype("<u4").view(np.uint8).reshape(-1, 4)
         body[(base + n_over[r] + 4 * nth)[:, None] + np.arange(4)] = high
-    return b"".join([MAGIC, struct.pack("<QII", n, len(doc_ids), k), starts.astype("<u4").tobytes(), np.asarray(doc_ids, "<i8").tobytes(), np.asarray(lengths, "<u4").tobytes(), body.tobytes()])
+    return b"".join([MAGIC, struct.pack("<QII", n, len(doc_ids), k), starts.astype("<u4").tobytes(), named.fill_null(0).to_numpy().astype("<i8").tobytes(), nulls.tobytes(), np.asarray(lengths, "<u4").tobytes(), body.tobytes()])
 
 
 class TokenFile:
@@ -133,9 +136,12 @@ class TokenFile:
         at = 24
         self.starts = np.frombuffer(data, "<u4", k + 1, at).astype(np.int64)
         at += 4 * (k + 1)
-        self.doc_ids = np.frombuffer(data, "<i8", n_docs, at)
-        self.lengths = np.frombuffer(data, "<u4", n_docs, at + 8 * n_docs).astype(np.int64)
-        self.body = np.frombuffer(data, np.uint8, -1, at + 12 * n_docs)
+        nulls = np.frombuffer(data, np.uint8, (n_docs + 7) // 8, at + 8 * n_docs)
+        nulls = np.unpackbits(nulls, count=n_docs, bitorder="little").astype(bool)
+        self.doc_ids = pa.array(np.frombuffer(data, "<i8", n_docs, at), pa.int64(), mask=nulls)
+        at += 8 * n_docs + (n_docs + 7) // 8
+        self.lengths = np.frombuffer(data, "<u4", n_docs, at).astype(np.int64)
+        self.body = np.frombuffer(data, np.uint8, -1, at + 4 * n_docs)
 
     def ids(self, first: int = 0, last: int | None = None) -> np.ndarray:
         """Ids of the blocks ``first`` to before ``last``."""
@@ -164,72 +170,146 @@ class TokenFile:
 # --- encoding -------------------------------------------------------------------------------------
 
 
+class _Numbers(dict):
+    """Numbers of pieces; new ones are numbered on from ``next`` and noted.  With ``strict``, pieces that are empty or
+    have white space at an end get -1."""
+
+    def __init__(self, encoder: ChunkEncoder, strict: bool):
+        super().__init__()
+        self.encoder, self.strict, self.new = encoder, strict, []
+
+    def __missing__(self, piece: str) -> int:
+        if self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()):
+            return -1
+        n = self[piece] = self.encoder.next
+        self.encoder.next = n + 1
+        self.new.append(piece)
+        return n
+
+
 class ChunkEncoder:
-    """Ids of a text by the tokenizers library, which sees each distinct chunk once.
+    """Ids of texts by the tokenizers library, which sees each distinct piece once, as long as it is remembered.
 
     The pre-tokenizer of these vocabularies never joins what stands before a single space to it when
-    characters other than white space are on both sides, so texts are cut there.  New chunks go to the
-    library many at a time, in one string; the ids of each begin where a token begins with a space.
+    characters other than white space are on both sides, so texts are cut there.  New pieces go to the
+    library many at a time, in one string; the ids of each begin where a token begins with a space.  A text
+    that holds the string of an added token goes to the library whole.
+
+    Pieces have numbers, and their ids are in one flat array, so a batch of texts is put together by numpy.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, end_id: int = 0, known: int = KNOWN):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.spaced[i] = token.startswith("\u0120")
-        self.after_space: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def learn(self, new: list[str]) -> None:
-        """Ids of each of ``new`` with a space before it."""
+        self.known = known
+        self.after_space, self.plain = _Numbers(self, True), _Numbers(self, False)
+        # Piece i has the ids flat[start[i] : start[i] + length[i]]; number 0 is the end of a text.
+        self.next, self.n_flat = 1, 1
+        self.flat = np.full(1 << 16, end_id, np.uint32)
+        self.start, self.length, self.used = (np.zeros(1 << 14, t) for t in (np.int64, np.int64, np.int32))
+        self.length[0] = 1
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _store(self, first: int, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the pieces numbered on from ``first``."""
+        last = first + len(lengths)
+        while last > len(self.start):
+            self.start, self.length, self.used = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.used))
+        if self.n_flat + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.start[first:last] = self.n_flat + np.cumsum(lengths) - lengths
+        self.length[first:last] = lengths
+        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+        self.n_flat += len(ids)
+
+    def learn(self) -> None:
+        """The library's ids of all new pieces."""
+        new, self.after_space.new = self.after_space.new, []
+        got: dict[int, np.ndarray] = {}
         for i in range(0, len(new), 2000):
             some = new[i : i + 2000]
-            ids = self.encode(" " + " ".join(some))
-            at = np.flatnonzero(self.spaced[ids]).tolist()
-            if len(at) == len(some):
-                raw = ids.tobytes()
-                at.append(len(ids))
-                for w, a, z in zip(some, at, at[1:]):
-                    self.after_space[w] = raw[4 * a : 4 * z]
-            else:
-                for w in some:
-                    self.after_space[w] = self.encode(" " + w).tobytes()
-
-    def __call__(self, texts: list[str], end_id: int) -> list[bytes]:
-        """Little-endian u32 ids of each text, the end id appended."""
-        end = struct.pack("<I", end_id)
-        if len(self.after_space) > KNOWN:
-            self.after_space.clear()
-        if len(self.plain) > KNOWN // 10:
-            self.plain.clear()
+            first, ids = self.after_space[some[0]], self.encode([" " + " ".join(some)])[0]
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) == len(some) and self.after_space[some[-1]] == first + len(some) - 1:
+                self._store(first, np.diff(at, append=len(ids)), ids)
+            else:  # numbers of both kinds alternate, or a piece has a space inside
+                got |= zip(map(self.after_space.__getitem__, some), self.encode([" " + w for w in some]))
+        new, self.plain.new = self.plain.new, []
+        got |= zip(map(self.plain.__getitem__, new), self.encode(new))
+        for number, ids in got.items():
+            self._store(number, np.array([len(ids)]), ids)
+
+    def forget(self) -> None:
+        """Keep the pieces that were used most, half of the limit at most; the use of each is halved."""
+        least, self.used[0] = 2, 0
+        while True:
+            keep = np.flatnonzero(self.used[: self.next] >= least)
+            if len(keep) <= self.known // 2 and self.length[keep].sum() <= 4 * self.known:
+                break
+            least *= 2
+        renumbered = np.zeros(self.next, np.int64)
+        renumbered[keep] = np.arange(1, len(keep) + 1)
+        lengths, starts, used = self.length[keep], self.start[keep], self.used[keep] >> 1
+        ids = self.flat[_places(starts, lengths)]
+        for numbers in (self.after_space, self.plain):
+            left = [(w, renumbered[n]) for w, n in numbers.items() if renumbered[n]]
+            numbers.clear()
+            numbers.update((w, int(n)) for w, n in left)
+        self.next, self.n_flat = 1, 1
+        self._store(1, lengths, ids)
+        self.next = 1 + len(keep)
+        self.used[:] = 0
+        self.used[1 : self.next] = used
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (each with the end id after it), and the length of each."""
+        if self.next > self.known or self.n_flat > 8 * self.known:
+            self.forget()
         after, plain = self.after_space, self.plain
-        cut = [t.split(" ") if _UNEVEN.search(t) is None else None for t in texts]
-        new = set().union(*[c[1:] for c in cut if c]).difference(after)
-        self.learn(list(new))
-        out = []
-        for text, c in zip(texts, cut):
-            if c is None:
-                first, rest = self.chunks(text), []
-            else:
-                first, rest = c[:1], c[1:]
-            for f in first:
-                if f not in plain:
-                    plain[f] = self.encode(f).tobytes()
-            out.append(b"".join([plain[f] for f in first]) + b"".join(map(after.__getitem__, rest)) + end)
-            for f in first:
-                if len(f) > 100:
-                    plain.pop(f, None)
-        for w in new:
-            if len(w) > 100:
-                after.pop(w, None)
-        return out
+        flat, sizes, whole = [], [], set()
+        for i, text in enumerate(texts):
+            if any(a in text for a in self.added):
+                whole.add(i)
+                text = ""
+            pieces = text.split(" ")
+            sizes.append(len(pieces))
+            flat += pieces
+        sizes = np.array(sizes, np.int64)
+        begins = np.cumsum(sizes) - sizes
+        numbers = np.fromiter(map(after.__getitem__, flat), np.int64, len(flat))
+        uneven = np.unique(np.searchsorted(begins, np.flatnonzero(numbers < 0), "right") - 1).tolist()
+        heads = begins.tolist()
+        numbers[begins] = [plain[flat[b]] for b in heads]
+        parts, at = [], 0
+        for i in uneven:
+            pieces = [texts[i]] if i in whole else self.chunks(texts[i])
+            own = [plain[p] for p in pieces[:1]]
+            for p in pieces[1:]:
+                n = after[p[1:]]
+                own.append(n if n >= 0 else plain[p])
+            parts += [numbers[at : heads[i]], np.array(own, np.int64)]
+            at = heads[i] + int(sizes[i])
+            sizes[i] = len(own)
+        numbers = np.concatenate([*parts, numbers[at:]])
+        numbers = np.insert(numbers, np.cumsum(sizes), 0)  # the ends
+        long_ = [(x, p) for x in (after, plain) for p in x.new if len(p) > 100]
+        self.learn()
+        self.used[: self.next] += np.bincount(numbers, minlength=self.next).astype(np.int32)
+        lengths = self.length[numbers]
+        ids = self.flat[_places(self.start[numbers], lengths)]
+        ends = np.cumsum(sizes + 1)
+        totals = np.add.reduceat(lengths, ends - sizes - 1) if len(texts) else np.zeros(0, np.int64)
+        for pieces, p in long_:  # not remembered
+            self.used[pieces.pop(p)] = 0
+        return ids, totals
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -237,15 +317,18 @@ class ChunkEncoder:
         return [c for c in _CUT.split(text) if c]
 
 
-#: A space beside white space, or at an end.
-_UNEVEN = re.compile(r"\A | (?=\s)|\s(?= )| \Z")
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of runs, one run after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 @lru_cache(2)
-def chunk_encoder(tokenizer_file: str) -> ChunkEncoder:
+def chunk_encoder(tokenizer_file: str, end_id: int) -> ChunkEncoder:
     """One for each worker process."""
-    return ChunkEncoder(tokenizer_file)
+    return ChunkEncoder(tokenizer_file, end_id)
 
 
 _FILE = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_ids", pa.int64()), ("bytes", pa.binary())])
@@ -261,25 +344,36 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, id_column
         from pyspark import TaskContext
 
         shard, part = TaskContext.get().partitionId(), 0
-        encode = chunk_encoder(tokenizer_file)
-        docs_: list[int] = []
-        held: list[bytes] = []
+        encode = chunk_encoder(tokenizer_file, end_id)
+        docs_: list[int | None] = []
+        held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         n = 0
 
         def close():
-            data = encode_file(np.frombuffer(b"".join(held), "<u4"), np.array([-1 if d is None else d for d in docs_], np.int64), np.array([len(h) // 4 for h in held]), percentile)
+            data = encode_file(np.concatenate(held), docs_, np.concatenate(lengths), percentile)
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, part, n, data), _FILE)], schema=_FILE)
 
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(ids), 500):
-                for doc, data in zip(ids[i : i + 500], encode(texts[i : i + 500], end_id)):
-                    docs_.append(doc)
-                    held.append(data)
-                    n += len(data) // 4
-                    if n >= file_ids:
-                        yield close()
-                        docs_, held, n, part = [], [], 0, part + 1
+            i = 0
+            while i < len(ids):
+                z, chars = i, 0  # some hundred texts at a time, and few if they are long
+                while z < len(ids) and z < i + 500 and chars < 4_000_000:
+                    chars += len(texts[z])
+                    z += 1
+                tokens, of_each = encode(texts[i:z])
+                a = begun = 0
+                for k, size in enumerate(np.cumsum(of_each).tolist()):
+                    if n + size - begun >= file_ids or k + 1 == len(of_each):
+                        docs_ += ids[i + a : i + k + 1]
+                        held.append(tokens[begun:size])
+                        lengths.append(of_each[a : k + 1])
+                        n, a, begun = n + size - begun, k + 1, size
+                        if n >= file_ids:
+                            yield close()
+                            docs_, held, lengths, n, part = [], [], [], 0, part + 1
+                i = z
         if docs_:
             yield close()
 
@@ -312,7 +406,7 @@ def read_token_files(spark: SparkSession, path: str, keep_ids: bool = True) -> D
                 begins = ends - file.lengths
                 raw = memoryview(ids).cast("B")
                 crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(begins.tolist(), ends.tolist())]
-                columns = [pa.array([None if d == -1 else d for d in file.doc_ids.tolist()], pa.int64()), pa.array(begins + start), pa.array(file.lengths), pa.array(crc, pa.int64())]
+                columns = [file.doc_ids, pa.array(begins + start), pa.array(file.lengths), pa.array(crc, pa.int64())]
                 if keep_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -23,9 +23,9 @@ def test_file_round_trip(n, top):
     ids = r.integers(0, top, n, dtype=np.uint64).astype(np.uint32)
     if n > 20:
         ids[::13] = r.integers(0, 2**32 - 1, len(ids[::13]))
-    f = token_blocks.TokenFile(token_blocks.encode_file(ids, np.array([3, 5]), np.array([n, 0])))
+    f = token_blocks.TokenFile(token_blocks.encode_file(ids, [3, None], np.array([n, 0])))
     assert f.ids().tolist() == ids.tolist()
-    assert f.doc_ids.tolist() == [3, 5] and f.lengths.tolist() == [n, 0]
+    assert f.doc_ids.to_pylist() == [3, None] and f.lengths.tolist() == [n, 0]
     if n > 300:
         assert f.ids(2, 4).tolist() == ids[256:512].tolist()
 
@@ -34,7 +34,7 @@ def test_blocks_are_small_and_patched():
     ids = np.full(1280, 40_000, np.uint32)
     ids += np.arange(1280, dtype=np.uint32) % 16
     ids[5] = 2**31
-    data = token_blocks.encode_file(ids, np.array([1]), np.array([1280]))
+    data = token_blocks.encode_file(ids, [1], np.array([1280]))
     assert len(data) < 1280 and token_blocks.TokenFile(data).ids().tolist() == ids.tolist()
 
 
@@ -42,11 +42,10 @@ def test_token_table(spark):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    rows = [(i * 7 % 1000, t) for i, t in enumerate(EDGES + texts())] + [(None, "null id"), (14, "repeated id"), (14, "repeated id")]
+    rows = [(i * 7 % 1000, t) for i, t in enumerate(EDGES + texts())] + [(-1, "minus one <|endoftext|> x"), (None, "null id"), (14, "repeated id"), (14, "repeated id")]
     docs = spark.createDataFrame([(a, b, 1, "x") for a, b in rows], "doc_id long, text string, start int, shard string")
     got = [r.asDict() for r in token_blocks.token_table(docs, path, keep_ids=True, file_ids=500).collect()]
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start, want = 0, []
     for doc, text in order:
@@ -56,6 +55,22 @@ def test_token_table(spark):
     assert sorted(got, key=lambda r: r["start"]) == want
 
 
+def test_pieces_remembered_and_forgotten_do_not_change_ids():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    some = [t or "" for t in EDGES] + texts(3000, 5) + ["a <|endoftext|> b", "<|endoftext|>", "x\u00a0 y", " \u2003z ", "end\n"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [7] for t in some]
+    for known in (60, 1500, 10**6):
+        e = token_blocks.ChunkEncoder(path, 7, known)
+        for _ in range(2):
+            for i in range(0, len(some), 100):
+                ids, lengths = e(some[i : i + 100])
+                assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want[i : i + 100]
+        assert known > 10_000 or e.next < 10 * known + 5000
+
+
 def test_token_files_export(spark, tmp_path):
     docs = spark.createDataFrame([(1, "some text"), (2, "more")], "doc_id long, text string")
     token_blocks.write_token_files(docs, f"file://{tmp_path}/files", public_tokenizers.path("byte_bpe_50k.json"))
