@@ -9,12 +9,15 @@ where prev is the row of the previous word, pair the hashed row of the two previ
 of the word before the previous one, and word the hashed row of (class, previous word).  Words outside
 the vocabulary have a context number by their last letters.
 
-Word counts are exact, over all training documents.  The weights are trained by ROUNDS synchronous
-gradient updates: every training document is in exactly one round (by a hash of its id); tasks sum the
-gradients (observed less expected feature counts) of their documents in dense blocks, which are added
-up block-wise and applied with a diagonal preconditioner.  Scoring works on sparse batches of tokens in
-numpy.  At most HEAVY words, the most frequent, are broadcast; the counts of all others meet their
-tokens in a join.
+Word counts are exact, over all training documents.  Texts are cut into tokens once more to be coded: a row's
+tokens become context numbers of two bytes, written to the shared folder; training and scoring read these.
+The weights are trained by ROUNDS synchronous gradient updates: every training document is in exactly one
+round (by a hash of its id); each task of the scan sums the gradients (observed less expected feature
+counts) of its documents, and passes on the rows that it touched in blocks, which are added up block by
+block and applied with a diagonal preconditioner.  The hashed tables grow with the number of training
+tokens (a row for each TOKENS_A_ROW, between LEAST_ROWS and MOST_ROWS, which bounds the broadcast).
+Scoring works on sparse batches of tokens in numpy.  At most HEAVY words, the most frequent, are broadcast;
+the counts of all others meet their tokens in a join.
 
 Edge cases: null counts as empty; an empty text is its end token alone; documents with a null id are
 training documents; without training documents all counts are 0 and the model is uniform over classes;
@@ -40,9 +43,9 @@ CLASSES, WIDTH = 64, 64
 HEAVY, LONGEST = 200_000, 64
 #: Context numbers of words outside the vocabulary.
 ENDINGS = 1024
-#: Hashed rows of word pairs, and of (class, previous word).
-PAIR_ROWS, WORD_ROWS = 1 << 13, 1 << 13
-ROUNDS = 3
+#: Hashed rows of word pairs, and of (class, previous word): a power of two that grows with the training tokens.
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 4096, 1 << 13, 1 << 15
+ROUNDS = 6
 RATE, DAMPING, CLIP = 0.5, 4.0, 3.0
 #: Tokens of a numpy batch.
 BATCH = 4096
@@ -52,7 +55,8 @@ END = "\n"  # no word has white space
 
 VOCABULARY = CLASSES * WIDTH
 CONTEXTS = VOCABULARY + ENDINGS + 1  # the last: before the text
-_BLOCKS = 16
+#: Weight rows of a block in which gradients travel.
+BLOCK_ROWS = 2048
 
 
 def tokens(text: str) -> list[str]:
@@ -129,6 +133,12 @@ class Lookup:
         return h, self.target[h], context
 
 
+def hashed_rows(total: int) -> int:
+    """Rows of a hashed table for so many training tokens."""
+    wanted = max(1, total // TOKENS_A_ROW)
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << (wanted - 1).bit_length()))
+
+
 def ending(word: str) -> int:
     return zlib.crc32(word[-3:].encode("utf-8", "surrogatepass")) % ENDINGS
 
@@ -151,25 +161,24 @@ class Model:
         inside[slots.reshape(CLASSES, WIDTH) == 0] = 1e-6  # slots without a word
         self.word_prior = (inside / inside.sum(axis=1, keepdims=True)).astype(np.float32)
         self.word_bias = np.log(self.word_prior)
-        self.rows = np.zeros((2 * CONTEXTS + PAIR_ROWS, CLASSES + 1), np.float32)
-        self.word = np.zeros((WORD_ROWS, WIDTH), np.float32)
+        self.hashed = hashed_rows(total)
+        self.rows = np.zeros((2 * CONTEXTS + self.hashed, CLASSES + 1), np.float32)
+        self.word = np.zeros((self.hashed, WIDTH), np.float32)
 
-    @staticmethod
-    def features(context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def features(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of prev, skip and pair for each place of one text, whose tokens have the context numbers ``context``."""
         n = len(context)
         padded = np.full(n + 2, CONTEXTS - 1, np.int64)
         padded[2:] = context
         prev, skip = padded[1 : n + 1], padded[:n]
-        pair = (prev * 40_503 + skip * 65_599 + 7) % 2_147_483_647 % PAIR_ROWS
+        pair = (prev * 40_503 + skip * 65_599 + 7) % 2_147_483_647 % self.hashed
         return prev, CONTEXTS + skip, 2 * CONTEXTS + pair
 
-    @staticmethod
-    def word_row(cls: np.ndarray, prev: np.ndarray) -> np.ndarray:
-        return (prev * CLASSES + cls) * 2_654_435_761 % 4_294_967_291 % WORD_ROWS
+    def word_row(self, cls: np.ndarray, prev: np.ndarray) -> np.ndarray:
+        return (prev * CLASSES + cls) * 2_654_435_761 % 4_294_967_291 % self.hashed
 
-    def forward(self, target: np.ndarray, rows: tuple[np.ndarray, ...], distributions: bool = True):
-        """log P of each target's class and place, and (if asked for) the distributions."""
+    def forward(self, target: np.ndarray, rows: tuple[np.ndarray, ...], negative: bool = False):
+        """log P of each target's class and place, and what the gradient needs (if ``negative``: less the probabilities)."""
         # Biases are log priors and updates are clipped, so exponentials stay far from the limits of float32.
         z = self.rows[rows[0]]
         z += self.rows[rows[1]]
@@ -190,18 +199,16 @@ class Model:
         q = np.exp(y, out=y)
         inside = q @ np.ones(WIDTH, q.dtype)
         log_p[known] += chosen - np.log(inside)
-        if distributions:
-            p /= total[:, None]
-            q /= inside[:, None]
+        if negative:
+            p *= (-1 / total)[:, None]
+            q *= (-1 / inside)[:, None]
         return log_p, cls, p, known, word, slot, q
 
     def gradient(self, target: np.ndarray, rows: tuple[np.ndarray, ...], out: Gradient) -> None:
         """Add observed less expected feature counts."""
-        log_p, cls, p, known, word, slot, q = self.forward(target, rows)
+        log_p, cls, p, known, word, slot, q = self.forward(target, rows, True)
         out.log_p += float(log_p.sum())
-        np.negative(p, out=p)
         p[np.arange(len(target)), cls] += 1
-        np.negative(q, out=q)
         q[np.arange(len(known)), slot] += 1
         for r in rows:
             _add_rows(out.rows, out.fired, r, p)
@@ -221,19 +228,23 @@ class Gradient:
         self.fired, self.word_fired = np.zeros(len(model.rows), np.float32), np.zeros(len(model.word), np.float32)
         self.log_p, self.tokens = 0.0, 0
 
-    def blocks(self) -> list[bytes]:
-        """The flat gradient in _BLOCKS equal parts, zero-padded."""
-        flat = np.concatenate([a.ravel() for a in (self.rows, self.word, self.fired, self.word_fired)] + [np.array([self.log_p, self.tokens], np.float32)])
-        size = -(-len(flat) // _BLOCKS)
-        flat = np.append(flat, np.zeros(size * _BLOCKS - len(flat), np.float32))
-        return [flat[i * size : (i + 1) * size].tobytes() for i in range(_BLOCKS)]
-
-    def take(self, blocks: list[bytes]) -> None:
-        flat, at = np.frombuffer(b"".join(blocks), np.float32), 0
-        for a in (self.rows, self.word, self.fired, self.word_fired):
-            a[...] = flat[at : at + a.size].reshape(a.shape)
-            at += a.size
-        self.log_p, self.tokens = float(flat[at]), int(flat[at + 1])
+    def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """(block, rows touched in it, their values and how often each fired), for all blocks of the class-level rows and then of the others."""
+        first = 0
+        for values, fired in ((self.rows, self.fired), (self.word, self.word_fired)):
+            for at in range(0, len(values), BLOCK_ROWS):
+                touched = np.flatnonzero(fired[at : at + BLOCK_ROWS])
+                if len(touched):
+                    yield first, touched.astype(np.int32).tobytes(), np.column_stack([values[at + touched], fired[at + touched]]).tobytes()
+                first += 1
+
+    def add_block(self, block: int, touched: bytes, values: bytes) -> None:
+        of_rows = -(-len(self.rows) // BLOCK_ROWS)
+        into, fired, at = (self.rows, self.fired, block) if block < of_rows else (self.word, self.word_fired, block - of_rows)
+        rows = np.frombuffer(touched, np.int32) + at * BLOCK_ROWS
+        x = np.frombuffer(values, np.float32).reshape(len(rows), -1)
+        into[rows] += x[:, :-1]
+        fired[rows] += x[:, -1]
 
 
 def _add_rows(into: np.ndarray, fired: np.ndarray, index: np.ndarray, values: np.ndarray) -> None:
@@ -257,11 +268,11 @@ def _once(key, make):
 class _Batches:
     """Gathers the tokens of texts into numpy batches of about BATCH."""
 
-    def __init__(self):
-        self.parts, self.n = [], 0
+    def __init__(self, model: Model):
+        self.model, self.parts, self.n = model, [], 0
 
-    def add(self, target, context) -> bool:
-        rows = Model.features(context)
+    def add(self, context: np.ndarray) -> bool:
+        target, rows = np.minimum(context, VOCABULARY), self.model.features(context)
         for i in range(0, len(target), 8 * BATCH):
             self.parts.append((target[i : i + 8 * BATCH], *(r[i : i + 8 * BATCH] for r in rows)))
         self.n += len(target)
@@ -278,101 +289,141 @@ class _Batches:
                 yield p[0][i : i + BATCH], tuple(r[i : i + BATCH] for r in p[1:])
 
 
-def train(docs: DataFrame, heavy: list[tuple[str, int]], total: int, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
-    """Gradient updates over ``docs``, each in one round; returns the model and the mean log10 P of each round's tokens before its update."""
-    spark: SparkSession = docs.sparkSession
+def _contexts(column: pa.Array) -> Iterator[np.ndarray]:
+    for x in column:
+        yield np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64)
+
+
+_CODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("learned", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("inside", pa.float64()), ("contexts", pa.binary()), ("tail", pa.list_(pa.string()))])
+_CODED_DDL = "row long, doc_id long, learned boolean, n_tokens long, n_known long, base double, inside double, contexts binary, tail array<string>"
+
+
+def coded(docs: DataFrame, heavy: list[tuple[str, int]], n: int, v: int) -> DataFrame:
+    """Rows of ``docs`` (doc_id, learned, text) as context numbers, with what the counts of the heavy words say and the words (tail) whose counts are elsewhere."""
+    words_, key = docs.sparkSession.sparkContext.broadcast(heavy), uuid.uuid4().hex
+    in_model = heavy[:VOCABULARY]
+    rare_n, rare_v = n - sum(c for _, c in in_model), v - len(in_model)
+    log10_base, log10_rare = np.log10(n + v + 1), np.log10(rare_n + rare_v + 1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        lookup = _once(key, lambda: Lookup(words_.value))
+        log_c = np.log10(lookup.counts + 1.0)
+        row = TaskContext.get().partitionId() << 36
+        for b in batches:
+            docs_, learned, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2))
+            for lo in range(0, len(texts), 256):
+                out = []
+                for doc, mine, t in zip(docs_[lo : lo + 256], learned[lo : lo + 256], texts[lo : lo + 256]):
+                    found = tokens(t)
+                    h, target, ctx = lookup(found)
+                    missing = np.flatnonzero(h < 0).tolist()
+                    tail = [found[i] for i in missing]
+                    logs = log_c[h]  # 0 for what is not heavy
+                    base = float(logs.sum()) - len(found) * log10_base
+                    rare = target == VOCABULARY
+                    inside = float(logs[rare].sum()) - int(rare.sum()) * log10_rare
+                    out.append((row, doc, mine, len(found), len(found) - len(tail), base, inside, ctx.astype(np.uint16).tobytes(), tail))
+                    row += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CODED)], schema=_CODED)
+
+    return docs.select("doc_id", "learned", "text").mapInArrow(work, _CODED_DDL)
+
+
+def train(rows: DataFrame, heavy: list[tuple[str, int]], total: int, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
+    """Gradient updates over coded rows, each in one round; returns the model and the mean log10 P of each round's tokens before its update."""
+    spark: SparkSession = rows.sparkSession
     context = spark.sparkContext
     model, history = Model(heavy, total), []
-    words_, key = context.broadcast(heavy), uuid.uuid4().hex
-    tasks = max(1, 2 * context.defaultParallelism)
     for r in range(rounds):
         weights = context.broadcast(model)
 
-        def work(batches: Iterator[pa.RecordBatch], r=r, weights=weights) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             m = weights.value
-            lookup = _once(key, lambda: Lookup(words_.value))
-            g, held = Gradient(m), _Batches()
+            g, held = Gradient(m), _Batches(m)
             for b in batches:
-                for t in strings(b.column(0)):
-                    _, target, ctx = lookup(tokens(t))
-                    g.tokens += len(target)
-                    if held.add(target, ctx):
-                        for x, rows in held.take():
-                            m.gradient(x, rows, g)
-            for x, rows in held.take():
-                m.gradient(x, rows, g)
+                for ctx in _contexts(b.column(0)):
+                    g.tokens += len(ctx)
+                    if held.add(ctx):
+                        for x, features in held.take():
+                            m.gradient(x, features, g)
+            for x, features in held.take():
+                m.gradient(x, features, g)
             if g.tokens:
-                for i, block in enumerate(g.blocks()):
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([block], pa.binary())], names=["block", "sums"])
+                yield _block_batch([(-1, b"", np.array([g.log_p, g.tokens]).tobytes())])
+                for block in g.blocks():
+                    yield _block_batch([block])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
+            m = weights.value
+            g, seen, ends = Gradient(m), set(), np.zeros(2)
             for b in batches:
-                for i, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    x = np.frombuffer(block, np.float32)
-                    sums[i] = sums[i] + x if i in sums else x
-            for i, x in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "sums"])
-
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("text")
-        sums = part.coalesce(tasks).mapInArrow(work, "block int, sums binary").repartitionById(_BLOCKS, F.col("block")).mapInArrow(add, "block int, sums binary").collect()  # the weights' size
+                for i, touched, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    seen.add(i)
+                    if i < 0:
+                        ends += np.frombuffer(values, np.float64)
+                    else:
+                        g.add_block(i, touched, values)
+            if -1 in seen:
+                yield _block_batch([(-1, b"", ends.tobytes())])
+            for block in g.blocks():
+                yield _block_batch([block])
+
+        ddl = "block int, touched binary, sums binary"
+        part = rows.where(F.col("learned") & (F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)).select("contexts")
+        blocks = -(-len(model.rows) // BLOCK_ROWS) - (-len(model.word) // BLOCK_ROWS) + 1
+        sums = part.mapInArrow(work, ddl).repartitionById(blocks, F.col("block") + 1).mapInArrow(add, ddl).collect()  # the weights' size
         weights.unpersist()
         if sums:
             g = Gradient(model)
-            g.take([bytes(x["sums"]) for x in sorted(sums, key=lambda x: x["block"])])
+            for x in sums:
+                if x["block"] < 0:
+                    g.log_p, g.tokens = np.frombuffer(x["sums"], np.float64)
+                else:
+                    g.add_block(x["block"], x["touched"], x["sums"])
             history.append(g.log_p / max(1, g.tokens) / np.log(10))
             model.update(g)
     return model, history
 
 
+def _block_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    i, touched, sums = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(touched, pa.binary()), pa.array(sums, pa.binary())], names=["block", "touched", "sums"])
+
+
 def score(docs: DataFrame, training, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; learns from rows for which ``training`` holds."""
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    learned = docs.where(training).select("doc_id", "text")
-    counts = materialise(word_counts(learned), "lm-counts")
+    context = docs.sparkSession.sparkContext
+    docs = docs.select("doc_id", F.coalesce(training, F.lit(False)).alias("learned"), "text")
+    counts = materialise(word_counts(docs.where("learned")), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     heavy = heavy_words(counts)
-    model, _ = train(learned, heavy, n, rounds)
-    in_model = heavy[:VOCABULARY]
-    rare_n, rare_v = n - sum(c for _, c in in_model), v - len(in_model)
-    log10_base, log10_rare = np.log10(n + v + 1), np.log10(rare_n + rare_v + 1)
-    words_, weights, key = context.broadcast(heavy), context.broadcast(model), uuid.uuid4().hex
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("tail", pa.list_(pa.string()))])
+    rows = materialise(coded(docs.withColumn("doc_id", F.col("doc_id").cast("long")), heavy, n, v), "lm-coded")
+    model, _ = train(rows, heavy, n, rounds)
+    weights = context.broadcast(model)
+    names = ["row", "doc_id", "n_tokens", "n_known", "base", "inside"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         m = weights.value
-        lookup = _once(key, lambda: Lookup(words_.value))
-        log_c = np.log10(lookup.counts + 1.0)
-        row = TaskContext.get().partitionId() << 36
         for b in batches:
-            docs_, texts = b.column(0).to_pylist(), strings(b.column(1))
-            for lo in range(0, len(texts), 64):
-                out, held, lengths = [], _Batches(), []
-                for doc, t in zip(docs_[lo : lo + 64], texts[lo : lo + 64]):
-                    found = tokens(t)
-                    h, target, ctx = lookup(found)
-                    known = h >= 0
-                    tail = [found[i] for i in np.flatnonzero(~known).tolist()]
-                    rare = known & (target == VOCABULARY)
-                    base = float(log_c[h[known]].sum()) - len(found) * log10_base
-                    inside = float(log_c[h[rare]].sum()) - (int(rare.sum()) + len(tail)) * log10_rare
-                    out.append([row, doc, len(found), int(known.sum()), base, inside, tail])
-                    row += 1
-                    held.add(target, ctx)
-                    lengths.append(len(found))
-                log_p = np.concatenate([m.forward(x, rows, False)[0] for x, rows in held.take()]) / np.log(10)
-                for o, total in zip(out, np.add.reduceat(log_p, np.concatenate([[0], np.cumsum(lengths)[:-1]])).tolist()):
-                    o[5] += total
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "row long, doc_id long, n_tokens long, n_known long, base double, model double, tail array<string>")
-    rows = materialise(rows, "lm-rows")
-    tail = rows.select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
+            held, lengths = _Batches(m), []
+            logs: list[np.ndarray] = []
+            for ctx in _contexts(b.column(len(names))):
+                lengths.append(len(ctx))
+                if held.add(ctx):
+                    logs += [m.forward(x, features)[0] for x, features in held.take()]
+            logs += [m.forward(x, features)[0] for x, features in held.take()]
+            if not lengths:
+                continue
+            totals = np.add.reduceat(np.concatenate(logs), np.cumsum(lengths) - lengths) / np.log(10)
+            columns = [b.column(i) for i in range(len(names) - 1)] + [pa.array(b.column(len(names) - 1).to_numpy() + totals)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names[:-1], "model"])
+
+    tail = rows.where(F.size("tail") > 0).select("row", F.explode("tail").alias("word")).join(counts, "word", "left")
     tail = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more"), F.count("c").alias("more_known"))
-    out = rows.drop("tail").join(tail, "row", "left")
+    scored = rows.select(*names, "contexts").mapInArrow(work, "row long, doc_id long, n_tokens long, n_known long, base double, model double")
+    out = scored.join(tail, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"))
 

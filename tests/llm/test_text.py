@@ -229,6 +229,28 @@ def test_gradient_is_the_derivative():
         array[at] -= 1e-4
 
 
+def test_language_model_beats_the_base_on_held_out_rows_of_the_tables(spark):
+    got = maxent_lm.language_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
+    score, base, n = got.agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert score / n > base / n + 0.1
+
+
+def test_blocks_of_gradients_add_up():
+    m = maxent_lm.Model([(f"w{i}", 5000 - i) for i in range(4500)], 50_000_000)
+    r = np.random.default_rng(2)
+    whole, sums = maxent_lm.Gradient(m), maxent_lm.Gradient(m)
+    assert m.hashed == maxent_lm.hashed_rows(50_000_000) > maxent_lm.hashed_rows(0) == maxent_lm.LEAST_ROWS
+    for _ in range(3):
+        context, part = r.integers(0, maxent_lm.CONTEXTS - 1, 500), maxent_lm.Gradient(m)
+        target = np.minimum(context, maxent_lm.VOCABULARY)
+        for g in (whole, part):
+            m.gradient(target, m.features(context), g)
+        for block in part.blocks():
+            sums.add_block(*block)
+    for a, b in ((whole.rows, sums.rows), (whole.word, sums.word), (whole.fired, sums.fired), (whole.word_fired, sums.word_fired)):
+        assert np.allclose(a, b, atol=1e-4)
+
+
 def test_language_model_edges(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert maxent_lm.language_model(docs).collect() == []
