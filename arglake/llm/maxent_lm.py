@@ -12,9 +12,9 @@ the vocabulary have a context number by their last letters.
 Word counts are exact, over all training documents.  Texts are cut into tokens once more to be coded: a row's
 tokens become context numbers of two bytes, written to the shared folder; training and scoring read these.
 The weights are trained by ROUNDS synchronous gradient updates: every training document is in exactly one
-round (by a hash of its id); each task of the scan sums the gradients (observed less expected feature
-counts) of its documents, and passes on the rows that it touched in blocks, which are added up block by
-block and applied with a diagonal preconditioner.  The hashed tables grow with the number of training
+round (by a hash of its id); each task sums the gradients (observed less expected feature counts) of its
+documents, and passes on the rows that it touched in blocks, which are added up block by block in a tree
+of FAN_IN branches and applied with a diagonal preconditioner.  Tasks grow in number with the tokens.  The hashed tables grow with the number of training
 tokens (a row for each TOKENS_A_ROW, between LEAST_ROWS and MOST_ROWS, which bounds the broadcast).
 Scoring works on sparse batches of tokens in numpy.  At most HEAVY words, the most frequent, are broadcast;
 the counts of all others meet their tokens in a join.
@@ -44,8 +44,8 @@ HEAVY, LONGEST = 200_000, 64
 #: Context numbers of words outside the vocabulary.
 ENDINGS = 1024
 #: Hashed rows of word pairs, and of (class, previous word): a power of two that grows with the training tokens.
-TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 4096, 1 << 13, 1 << 15
-ROUNDS = 6
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 8192, 1 << 13, 1 << 15
+ROUNDS = 3
 RATE, DAMPING, CLIP = 0.5, 4.0, 3.0
 #: Tokens of a numpy batch.
 BATCH = 4096
@@ -55,8 +55,10 @@ END = "\n"  # no word has white space
 
 VOCABULARY = CLASSES * WIDTH
 CONTEXTS = VOCABULARY + ENDINGS + 1  # the last: before the text
-#: Weight rows of a block in which gradients travel.
-BLOCK_ROWS = 2048
+#: Weight rows of a block in which gradients travel; gradients that one task adds up at a level.
+BLOCK_ROWS, FAN_IN = 2048, 64
+#: Tokens that a training task takes at least, so that its gradient is small beside its input.
+TOKENS_A_TASK = 4_000_000
 
 
 def tokens(text: str) -> list[str]:
@@ -340,6 +342,8 @@ def train(rows: DataFrame, heavy: list[tuple[str, int]], total: int, rounds: int
         weights = context.broadcast(model)
 
         def work(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
             m = weights.value
             g, held = Gradient(m), _Batches(m)
             for b in batches:
@@ -351,29 +355,39 @@ def train(rows: DataFrame, heavy: list[tuple[str, int]], total: int, rounds: int
             for x, features in held.take():
                 m.gradient(x, features, g)
             if g.tokens:
-                yield _block_batch([(-1, b"", np.array([g.log_p, g.tokens]).tobytes())])
+                group = TaskContext.get().partitionId()
+                yield _block_batch(group, -1, b"", np.array([g.log_p, g.tokens]).tobytes())
                 for block in g.blocks():
-                    yield _block_batch([block])
+                    yield _block_batch(group, *block)
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = weights.value
-            g, seen, ends = Gradient(m), set(), np.zeros(2)
+        def add(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
+            m, at = weights.value, {}
             for b in batches:
-                for i, touched, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    seen.add(i)
+                for group, i, touched, values in zip(*(c.to_pylist() for c in b.columns)):
+                    g = at.setdefault(group // FAN_IN, (Gradient(m), np.zeros(2)))
                     if i < 0:
-                        ends += np.frombuffer(values, np.float64)
+                        g[1][:] += np.frombuffer(values, np.float64)
                     else:
-                        g.add_block(i, touched, values)
-            if -1 in seen:
-                yield _block_batch([(-1, b"", ends.tobytes())])
-            for block in g.blocks():
-                yield _block_batch([block])
+                        g[0].add_block(i, touched, values)
+            for group, (g, ends) in at.items():
+                if ends[1]:
+                    yield _block_batch(group, -1, b"", ends.tobytes())
+                for block in g.blocks():
+                    yield _block_batch(group, *block)
 
-        ddl = "block int, touched binary, sums binary"
+        ddl = "group int, block int, touched binary, sums binary"
         part = rows.where(F.col("learned") & (F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r)).select("contexts")
+        tasks = max(1, total // rounds // TOKENS_A_TASK)
+        part = part.coalesce(tasks)
         blocks = -(-len(model.rows) // BLOCK_ROWS) - (-len(model.word) // BLOCK_ROWS) + 1
-        sums = part.mapInArrow(work, ddl).repartitionById(blocks, F.col("block") + 1).mapInArrow(add, ddl).collect()  # the weights' size
+        sums = part.mapInArrow(work, ddl)
+        while True:
+            tasks = -(-tasks // FAN_IN)
+            place = F.floor(F.col("group") / FAN_IN).cast("int") * blocks + F.col("block") + 1
+            sums = sums.repartitionById(tasks * blocks, place).mapInArrow(add, ddl)
+            if tasks == 1:
+                break
+        sums = sums.collect()  # the weights' size
         weights.unpersist()
         if sums:
             g = Gradient(model)
@@ -387,9 +401,9 @@ def train(rows: DataFrame, heavy: list[tuple[str, int]], total: int, rounds: int
     return model, history
 
 
-def _block_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    i, touched, sums = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(touched, pa.binary()), pa.array(sums, pa.binary())], names=["block", "touched", "sums"])
+def _block_batch(group: int, block: int, touched: bytes, sums: bytes) -> pa.RecordBatch:
+    columns = [pa.array([group], pa.int32()), pa.array([block], pa.int32()), pa.array([touched], pa.binary()), pa.array([sums], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["group", "block", "touched", "sums"])
 
 
 def score(docs: DataFrame, training, rounds: int = ROUNDS) -> DataFrame:
