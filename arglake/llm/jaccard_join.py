@@ -8,14 +8,19 @@
   both spaces shares perhaps only one of them with its partner, so each space is counted and keyed by itself.
 * Regions.  Of what is left, each set is keyed by its rarest counted shingles, just so many that two linked
   sets must share a key.  Sets that are connected by keys form a region; no link leaves it.
-* Pivots.  A region is joined by pivots: all distances to a pivot are taken; what is within the threshold
-  is linked; a set x is done once no set lies between the threshold and d(x, pivot) + threshold of the
-  pivot (triangle inequality); the others (the window) are joined further with pivots of their own.
-  A region too large for a task is first split into the Voronoi cells of several pivots: y is
-  replicated to the cell of pivot p if d(y, p) <= d(y, nearest) + 2 * threshold, and the cells are joined
-  recursively; sets that touch no pivot form a cell of their own, into which the sets at a distance of at
-  least 1 - threshold from their pivot are replicated, and in place of the cells of pivots that they do not
-  touch also those at a distance of at least 1 - 2 * threshold.
+* Voronoi cells.  Every region gets pivots, one for each CELL sets (at most PIVOTS), and all distances of its
+  sets to them.  A set belongs to the cell of its nearest pivot, and is settled if it is linked to it: settled
+  sets of one cell are connected and need not meet.  Windows: if x of cell c and y of cell i are linked, then
+  d(x, i) <= d(x, c) + 2 * threshold (triangle inequality), so x visits cell i if it is unsettled and i comes
+  before c, or if i may have settled sets that it links to (d(x, i) <= 2 * threshold); a settled set visits only
+  settled sets of earlier cells whose pivots are not connected to its own.  Pivots at distance 1 tell nothing:
+  sets at a distance of at least 1 - 2 * threshold from all pivots also form a cell of their own.  A settled set
+  leaves if all strangers in its cell are beyond d + threshold of the pivot, a visitor if it is beyond the
+  cell's radius + threshold.
+* Recursion.  Cells with more than JOINED sets of their own are regions of the next level, with other pivots.
+  The others are joined: own sets are indexed, visitors stream past them in slices.  A cell that LEVELS levels
+  of pivots have not split is cut into blocks by key, whose own sets all others visit: this is exact and bounded
+  in memory too, and quadratic for such cells only.
 * Components of all links are then the classes.
 
 Nothing is approximated: every link is decided on whole sets of 64-bit shingle hashes.
@@ -32,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arglake.llm.common import WordHasher, lower_ascii, materialise, partitions, shingles, strings, words
+from arglake.llm.common import WordHasher, lower_ascii, materialise, mix64, partitions, shingles, strings, words
 
 WIDTH = 5
 #: Linked if 100 * intersection >= SIMILAR * union; so at most (100 - SIMILAR) % of a linked set is outside the other.
@@ -46,10 +51,12 @@ THETA = 1 - SIMILAR / 100
 FULL, PART_FROM, PART = 320, 256, 0.4
 #: Pairs that a task holds before it passes them on.
 HELD_PAIRS = 1_500_000
-#: Sets, and shingles, of a region that one task joins.
-REGION_SETS, REGION_SHINGLES = 20_000, 12_000_000
-#: Pivots that split a larger region; and how often a region may be split before it is joined as it is.
-PIVOTS, LEVELS = 16, 6
+#: Occurrences of a shingle among the sets of a buffer from which on its pairs are spread over all tasks.
+HOT = 64
+#: Sets to a pivot; pivots of a region, at most; sets of its own with which a cell is joined.
+CELL, PIVOTS, JOINED = 128, 256, 512
+#: Rows of a slice of a region, and of a cell's visitors; levels of pivots.
+SLICE, VISITORS, LEVELS = 256, 2048, 6
 
 _hasher = WordHasher()
 
@@ -109,8 +116,18 @@ def _sets(docs: DataFrame, seed: int, share: float) -> DataFrame:
 
 
 def _pairs(docs: DataFrame, seed: int, share: float, parts: int) -> DataFrame:
-    """(part, in_part, block): counted shingles and the keys of their sets, dealt by shingle; a block is of one space and has all shingles, then all keys."""
-    schema = pa.schema([("part", pa.int32()), ("in_part", pa.bool_()), ("block", pa.binary())])
+    """(part, in_part, hot, block): counted shingles and the keys of their sets; a block is of one space and has all shingles, then all keys.
+
+    Pairs are dealt by shingle.  Of a shingle that is in HOT sets of a buffer only two pairs are, which tell that it is
+    shared; the others (hot) are dealt by key.
+    """
+    schema = pa.schema([("part", pa.int32()), ("in_part", pa.bool_()), ("hot", pa.bool_()), ("block", pa.binary())])
+
+    def blocks(part: np.ndarray, h: np.ndarray, k: np.ndarray, in_part: bool, hot: bool) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+        for a, z in zip(starts, [*starts[1:], len(h)]):
+            block = h[a:z].tobytes() + k[a:z].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([in_part]), pa.array([hot]), pa.array([block], pa.binary())], schema=schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spaces: dict[bool, tuple[list[np.ndarray], list[np.ndarray]]] = {False: ([], []), True: ([], [])}
@@ -124,13 +141,18 @@ def _pairs(docs: DataFrame, seed: int, share: float, parts: int) -> DataFrame:
                 h, k = np.concatenate(hs), np.concatenate(ks)
                 hs.clear()
                 ks.clear()
-                part = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(parts)) >> np.uint64(32)
-                order = np.argsort(part.astype(np.uint32), kind="stable")
-                h, k, part = h[order], k[order], part[order]
-                starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
-                for a, z in zip(starts, [*starts[1:], len(h)]):
-                    block = h[a:z].tobytes() + k[a:z].tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([in_part]), pa.array([block], pa.binary())], schema=schema)
+                h = h << np.uint64(32) | h >> np.uint64(32)  # the upper half of a shingle's bits is not even in a part of the space
+                order = np.argsort(h)
+                h, k = h[order], k[order]
+                starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                n = np.diff(starts, append=len(h))
+                hot = np.repeat(n >= HOT, n) & (np.arange(len(h)) - np.repeat(starts, n) >= 2)
+                if hot.any():
+                    part = (mix64(k[hot].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+                    order = np.argsort(part, kind="stable")
+                    yield from blocks(part[order], h[hot][order], k[hot][order], in_part, True)
+                    h, k = h[~hot], k[~hot]
+                yield from blocks((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), h, k, in_part, False)
 
         for b in batches:
             for s in map(shingle_set, strings(b.column(1))):
@@ -139,8 +161,7 @@ def _pairs(docs: DataFrame, seed: int, share: float, parts: int) -> DataFrame:
                 key = digest(s, seed)
                 if key in seen:  # a copy of a set that this task has dealt out
                     continue
-                if len(seen) < 500_000:
-                    seen.add(key)
+                seen.add(key)
                 for in_part, counted in keyed_parts(s, share):
                     if not len(counted):
                         continue
@@ -150,45 +171,49 @@ def _pairs(docs: DataFrame, seed: int, share: float, parts: int) -> DataFrame:
                 if held > HELD_PAIRS:
                     yield from out()
                     held = 0
+                    if len(seen) > 500_000:  # only between buffers: a buffer has no key twice
+                        seen.clear()
         yield from out()
 
-    return docs.mapInArrow(work, "part int, in_part boolean, block binary")
+    return docs.mapInArrow(work, "part int, in_part boolean, hot boolean, block binary")
+
+
+def _repeated(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted ``h`` and their ``k`` what has an equal neighbour."""
+    wanted = np.zeros(len(h), bool)
+    again = np.flatnonzero(h[1:] == h[:-1])
+    wanted[again] = True
+    wanted[again + 1] = True
+    return h[wanted], k[wanted]
 
 
 def _shared(pairs: DataFrame, parts: int) -> DataFrame:
-    """(h, key, in_part) of the shingles that are in two sets of a space or more."""
+    """(h, key, in_part) of the shingles that are in two sets of a space or more; a pair may be there twice, if a copy's shingle was hot and another's was not."""
     schema = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("in_part", pa.bool_())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spaces: dict[bool, tuple[list[np.ndarray], list[np.ndarray]]] = {False: ([], []), True: ([], [])}
+        held = {(in_part, hot): ([], []) for in_part in (False, True) for hot in (False, True)}
         for b in batches:
-            for in_part, block in zip(b.column(1).to_pylist(), b.column(2)):
+            for in_part, hot, block in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 x = np.frombuffer(block.as_buffer(), np.int64)
-                hs, ks = spaces[in_part]
+                hs, ks = held[in_part, hot]
                 hs.append(x[: len(x) // 2])
                 ks.append(x[len(x) // 2 :])
-        for in_part in (False, True):
-            hs, ks = spaces.pop(in_part)
+        for in_part, hot in list(held):
+            hs, ks = held.pop((in_part, hot))
             if not hs:
                 continue
             h, k = np.concatenate(hs), np.concatenate(ks)
             del hs, ks
-            order = np.argsort(h)
-            h, k = h[order], k[order]
-            again = np.flatnonzero(h[1:] == h[:-1])
-            wanted = np.zeros(len(h), bool)
-            wanted[again] = True
-            wanted[again + 1] = True
-            h, k = h[wanted], k[wanted]
+            if not hot:
+                order = np.argsort(h)
+                h, k = _repeated(h[order], k[order])
             order = np.lexsort((k, h))
             h, k = h[order], k[order]
             first = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])) if len(h) else np.zeros(0, bool)
             h, k = h[first], k[first]
-            wanted = np.zeros(len(h), bool)
-            again = np.flatnonzero(h[1:] == h[:-1])
-            wanted[again] = True
-            wanted[again + 1] = True
-            h, k = h[wanted], k[wanted]
+            if not hot:
+                h, k = _repeated(h, k)
             for i in range(0, len(h), 100_000):
                 n = len(h[i : i + 100_000])
                 yield pa.RecordBatch.from_arrays([pa.array(h[i : i + n]), pa.array(k[i : i + n]), pa.array(np.full(n, in_part))], schema=schema)
@@ -196,10 +221,11 @@ def _shared(pairs: DataFrame, parts: int) -> DataFrame:
     return pairs.repartitionById(parts, F.col("part")).mapInArrow(work, "h long, key long, in_part boolean")
 
 
-def components(edges: DataFrame, name: str = "components", most: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", most: int = 200) -> DataFrame:
     """(node, label): for each node of ``edges`` (a, b) the smallest node of its component.
 
-    Alternating large-star and small-star steps; each step's edges are written to the shared folder.
+    Alternating large-star and small-star steps, until nothing changes (their number is logarithmic in the size of
+    the largest component; an error after ``most``); each step's edges are written to the shared folder.
     """
 
     def least(e: DataFrame) -> DataFrame:
@@ -219,6 +245,8 @@ def components(edges: DataFrame, name: str = "components", most: int = 40) -> Da
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled in {most} steps")
     # every node now points at the smallest one
     out = current.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
     roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
@@ -232,167 +260,273 @@ def linked(both: np.ndarray, a, b) -> np.ndarray:
     return 100 * both >= SIMILAR * (a + b - both)
 
 
-class Region:
-    """Sets of one region with an inverted index."""
+class Index:
+    """An inverted index of sets."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
         ranked = flat[order]
-        new = np.append(True, ranked[1:] != ranked[:-1])
-        number = np.empty(len(flat), np.int64)
-        number[order] = np.cumsum(new) - 1
-        self.owners = owner[order]
-        self.starts = np.append(np.flatnonzero(new), len(flat))
-        self.numbers = np.split(number, np.cumsum(self.sizes)[:-1])
-
-    def shared_with(self, i: int) -> np.ndarray:
-        """How many shingles of set ``i`` each set has."""
-        numbers = self.numbers[i]
-        a, z = self.starts[numbers], self.starts[numbers + 1]
-        n = z - a
-        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        self.values, self.starts = ranked[first], np.append(first, len(flat))
+        self.owners = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+
+    def shared_with(self, s: np.ndarray) -> np.ndarray:
+        """How many items of ``s`` each set has."""
+        at = np.searchsorted(self.values, s)
+        at[at == len(self.values)] = 0
+        at = at[self.values[at] == s]
+        a, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        places = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return np.bincount(self.owners[places], minlength=len(self.sizes))
 
-    def components(self) -> np.ndarray:
-        """For each set the number of the first set of its component."""
-        n = len(self.sizes)
-        parent = np.arange(n)
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        active = np.ones(n, bool)
-        for pivot in range(n):
-            if not active[pivot]:
-                continue
-            both = self.shared_with(pivot)
-            d = 1 - both / (self.sizes + self.sizes[pivot] - both)
-            near = linked(both, self.sizes, self.sizes[pivot])
-            for x in np.flatnonzero(near & active):
-                a, b = sorted((root(pivot), root(x)))
-                parent[b] = a
-            active[pivot] = False
-            # x is done if no unfinished set lies between the threshold and d(x, pivot) + threshold
-            window = d[active & ~near]
-            edge = window.min() if len(window) else 2.0
-            active[near & active & (d < edge - THETA - 1e-9)] = False
-        return np.array([root(i) for i in range(n)])
-
-
-def _join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (region, key, items) sorted by region: links (a, b) that connect each component of a region."""
-    at, keys, sets = None, [], []
-
-    def close():
-        if len(keys) < 2:
-            return None
-        labels = Region(sets).components()
-        pairs = [(keys[i], keys[j]) for i, j in enumerate(labels.tolist()) if i != j]
-        return pairs or None
-
-    def out(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
+class Classes:
+    """Union of numbers."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def unite(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
+        a, b = sorted((self.root(i), self.root(j)))
+        self.parent[b] = a
+        return a != b
+
+
+_EPS = 1e-9
+#: The number of the cell of sets that are far from all pivots.
+_FAR = -1
+
+
+class Pivots:
+    """Pivots of a region, and which cells a set belongs to and visits."""
+
+    def __init__(self, keys: list[int], sets: list[np.ndarray]):
+        self.keys, self.number = keys, {k: i for i, k in enumerate(keys)}
+        self.index = Index(sets)
+        classes = Classes(len(keys))
+        for i, s in enumerate(sets):
+            for j in np.flatnonzero(linked(self.index.shared_with(s), len(s), self.index.sizes)).tolist():
+                classes.unite(i, j)
+        self.connected = np.array([classes.root(i) for i in range(len(keys))])
+
+    def links(self) -> list[tuple[int, int]]:
+        return [(self.keys[i], self.keys[j]) for i, j in enumerate(self.connected.tolist()) if i != j]
+
+    def place(self, key: int, s: np.ndarray, own: bool) -> tuple[list[tuple[int, bool, bool, float]], list[int]]:
+        """((cell, whether its own, whether settled, distance) for each cell of ``s``, keys of pivots that it links to)."""
+        both = self.index.shared_with(s)
+        d = 1 - both / (self.index.sizes + len(s) - both)
+        least = d.min()
+        window = np.flatnonzero((d < 1) & (d <= least + 2 * THETA + _EPS)).tolist()
+        out, to = [], []
+        if not own:
+            out = [(i, False, False, float(d[i])) for i in window]
+            if least >= 1 - 2 * THETA - _EPS:
+                out.append((_FAR, False, False, 1.0))
+            return out, to
+        nearest = np.flatnonzero(d == least)
+        c = self.number.get(key, int(nearest[key % len(nearest)]))  # ties are spread by key
+        near = linked(both, len(s), self.index.sizes)
+        if near[c]:
+            classes, first = np.unique(self.connected[near], return_index=True)
+            to = [self.keys[i] for i in np.flatnonzero(near)[first].tolist()]
+            out.append((c, True, True, float(d[c])))
+            out += [(i, False, False, float(d[i])) for i in window if i < c and d[i] <= 2 * THETA + _EPS and self.connected[i] not in classes]
+            return out, to
+        if least < 1:
+            out.append((c, True, False, float(d[c])))
+            out += [(i, False, False, float(d[i])) for i in window if i < c or (i > c and d[i] <= 2 * THETA + _EPS)]
+        if least >= 1 - 2 * THETA - _EPS:
+            out.append((_FAR, True, False, 1.0))
+        return out, to
+
+
+_MEMBERS = "cell long, own boolean, settled boolean, key long, items binary"
+
+
+def _groups(batches: Iterator[pa.RecordBatch], more: int) -> Iterator[tuple]:
+    """(whether a group begins, the columns between, key, set as bytes) of rows that are sorted by (cell, slice, ..., key); the last column is the set.
+    A row that repeats the one before it is left out."""
+    at, last = None, None
     for b in batches:
-        for region, key, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            if region != at:
-                if pairs := close():
-                    yield out(pairs)
-                at, keys, sets = region, [], []
-            if keys and keys[-1] == key:  # a repeated row
+        for cell, slice_, *between, key, items in zip(*(b.column(i).to_pylist() for i in range(3 + more)), b.column(3 + more)):
+            row = (cell, slice_, *between, key)
+            if row == last:
                 continue
-            keys.append(key)
-            sets.append(np.frombuffer(items.as_buffer().to_pybytes(), np.uint64))
-    if pairs := close():
-        yield out(pairs)
+            last = row
+            yield (cell, slice_) != at, cell, slice_, *between, key, items.as_buffer().to_pybytes()
+            at = (cell, slice_)
 
 
-def _split_region(members: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Voronoi cells of PIVOTS pivots for each region of ``members`` (region, key, items): (members of the cells, links to pivots).
+def _sliced(rows: DataFrame, n: DataFrame, size: int) -> tuple[DataFrame, Column, Column]:
+    """``rows`` with the column ``slices`` (of ``size``, from the counts ``n``), a row's slice and all slices of its cell."""
+    rows = rows.join(n, "cell", "left").withColumn("slices", F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("n"), F.lit(0)) / size)).cast("int"))
+    return rows, F.pmod(F.xxhash64("key", F.lit("slice")), F.col("slices")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
 
-    A region's rows are dealt over slices; each slice gets the pivots' sets, before its own.
-    """
-    slices = 8 * partitions(members.sparkSession)
+
+def _voronoi(members: DataFrame, level: int, cell_sets: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """One level: (cell, own, settled, key, items) of what has to meet in the cells of the regions ``members``, and links (a, b) to pivots."""
+    parts = partitions(members.sparkSession)
+    n = members.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(F.col("own"), 1)).alias("n_own"))
+    n = materialise(n, "jaccard-regions-n")
+    rows, slice_, all_slices = _sliced(members, n, SLICE)
     order = F.xxhash64("key", F.lit(level))
-    chosen = members.groupBy("region", F.pmod(order, F.lit(PIVOTS)).alias("p")).agg(F.min(F.struct(order.alias("o"), "key", "items")).alias("x"))
-    everywhere = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
-    chosen = chosen.select("region", everywhere, F.lit(0).alias("member"), F.col("x.key").alias("key"), F.col("x.items").alias("items"))
-    rows = members.select("region", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int").alias("slice"), F.lit(1).alias("member"), "key", "items")
-    rows = chosen.unionByName(rows).repartition(partitions(members.sparkSession), "region", "slice").sortWithinPartitions("region", "slice", "member", "key")
-    schema = pa.schema([("region", pa.int64()), ("cell", pa.int32()), ("native", pa.bool_()), ("distance", pa.float64()), ("pivot", pa.int64()), ("key", pa.int64()), ("items", pa.binary())])
+    k = F.least(F.lit(pivots), F.ceil(F.col("n_own") / cell_sets))
+    chosen = members.select("cell", "own", "key").join(n, "cell").where("own").groupBy("cell", F.pmod(order, k).alias("pivot")).agg(F.min(F.struct(order.alias("o"), "key")).alias("x"))
+    chosen = chosen.select("cell", F.col("pivot").cast("int"), F.col("x.key").alias("key"))
+    rows = rows.join(chosen, ["cell", "key"], "left")
+    ordinary = rows.select("cell", slice_.alias("slice"), F.lit(-1).alias("pivot"), "own", "key", "items")
+    everywhere = rows.where("own and pivot is not null").select("cell", all_slices.alias("slice"), "pivot", "own", "key", "items")
+    dealt = ordinary.unionByName(everywhere).repartition(parts, "cell", "slice").sortWithinPartitions("cell", "slice", F.col("pivot") < 0, "pivot", F.col("own").desc(), "key")
+    schema = pa.schema([("region", pa.int64()), ("sub", pa.int32()), ("own", pa.bool_()), ("settled", pa.bool_()), ("d", pa.float64()), ("key", pa.int64()), ("items", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pivots = None, []  # a slice's pivots come before its sets
-        for b in batches:
-            out = []
-            for region, slice_, member, key, items in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4)):
-                if (region, slice_) != at:
-                    at, pivots = (region, slice_), []
-                items = items.as_buffer().to_pybytes()
-                x = np.frombuffer(items, np.uint64)
-                if not member:
-                    pivots.append((key, x))
-                    continue
-                d = np.ones(len(pivots))
-                for i, (_, y) in enumerate(pivots):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    d[i] = 1 - both / (len(x) + len(y) - both)
-                c = int(d.argmin())
-                if d[c] >= 1:
-                    out.append((region, PIVOTS, True, 1.0, None, key, items))
-                    continue
-                out.append((region, c, True, float(d[c]), pivots[c][0], key, items))
-                apart = False
-                for i in range(c):  # windows of the cells before
-                    if d[i] <= d[c] + 2 * THETA + 1e-9:
-                        if d[i] < 1:
-                            out.append((region, i, False, float(d[i]), pivots[i][0], key, items))
-                        else:  # a linked set of that cell is at least 1 - THETA from its pivot, so it is in the last cell
-                            apart = True
-                if apart or d[c] >= 1 - THETA - 1e-9:
-                    out.append((region, PIVOTS, False, 1.0, None, key, items))
-                if len(out) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                    out = []
-            if out:
+        keys, sets, found, out = [], [], None, []
+        for begins, region, slice_, pivot, own, key, items in _groups(batches, 2):
+            if begins:
+                keys, sets, found = [], [], None
+            x = np.frombuffer(items, np.uint64)
+            if pivot >= 0:
+                keys.append(key)
+                sets.append(x)
+                continue
+            if found is None:
+                found = Pivots(keys, sets)
+                if slice_ == 0:
+                    out += [(region, None, None, None, None, None, None, a, b) for a, b in found.links()]
+            cells, to = found.place(key, x, own)
+            out += [(region, sub, mine, settled, d, key, items, None, None) for sub, mine, settled, d in cells]
+            out += [(region, None, None, None, None, None, None, key, p) for p in to if p != key]
+            if len(out) > 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    found = materialise(dealt.mapInArrow(work, "region long, sub int, own boolean, settled boolean, d double, key long, items binary, a long, b long"), "jaccard-cells")
+    links = found.where("a is not null").select("a", "b")
+    cells = found.where("key is not null").select(F.xxhash64("region", "sub", F.lit(level)).alias("cell"), "own", "settled", "d", "key", "items")
+    stranger = ~F.col("settled")
+    limits = cells.groupBy("cell").agg(F.min(F.when(stranger, F.col("d"))).alias("edge"), F.max(F.when(F.col("own"), F.col("d"))).alias("radius"), F.count("*").alias("rows"))
+    limits = limits.where("rows > 1 and edge is not null and radius is not null")
+    needed = F.when(F.col("settled"), F.col("d") >= F.col("edge") - THETA - _EPS).when(F.col("own"), F.lit(True)).otherwise(F.col("d") <= F.col("radius") + THETA + _EPS)
+    return cells.join(limits, "cell").where(needed).select("cell", "own", "settled", "key", "items"), links
+
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """Cells that pivots do not split, in blocks by key: a block's own sets, which the sets of later blocks and all visitors visit."""
+    n = members.where("own").groupBy("cell").agg(F.count("*").alias("n"))
+    rows = members.join(n, "cell").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    mine = F.when(F.col("own"), F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks"))).otherwise(F.col("blocks")).cast("int")
+    rows = rows.select("cell", "key", "items", "blocks", "own", mine.alias("mine"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("mine"), F.col("blocks") - 1))).alias("at"))
+    return rows.select(F.xxhash64("cell", "at", F.lit("block")).alias("cell"), (F.col("own") & (F.col("at") == F.col("mine"))).alias("own"), F.lit(False).alias("settled"), "key", "items")
+
+
+def _join_cells(members: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what is connected in each cell through a set of its own."""
+    visitors = members.where("not own").groupBy("cell").agg(F.count("*").alias("n"))
+    rows, slice_, all_slices = _sliced(members, visitors, VISITORS)
+    own = rows.where("own").select("cell", all_slices.alias("slice"), "own", "settled", "key", "items")
+    rows = own.unionByName(rows.where("not own").select("cell", slice_.alias("slice"), "own", "settled", "key", "items"))
+    rows = rows.repartition(partitions(members.sparkSession), "cell", "slice").sortWithinPartitions("cell", "slice", F.col("own").desc(), "settled", "key")
 
-    ddl = "region long, cell int, native boolean, distance double, pivot long, key long, items binary"
-    cells = materialise(rows.mapInArrow(work, ddl), "jaccard-cells")
-    links = cells.where(F.col("pivot").isNotNull() & (F.col("distance") <= THETA + 1e-9)).select(F.col("key").alias("a"), F.col("pivot").alias("b"), "distance")
-    # What is nearer to its pivot than the next set outside the threshold allows is connected to it, and done.
-    edge = cells.where(F.col("distance") > THETA + 1e-9).groupBy("region", "cell").agg(F.min("distance").alias("edge"))
-    left = cells.join(edge, ["region", "cell"], "left")
-    done = (F.col("distance") <= THETA + 1e-9) & (F.col("distance") < F.coalesce("edge", F.lit(2.0)) - THETA - 1e-9)
-    left = left.where(~done | (F.col("cell") == PIVOTS))
-    return left.select(F.xxhash64("region", "cell", F.lit(level)).alias("region"), "key", "items"), links.select("a", "b")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sets, settled_, index, classes, out = [], [], [], None, None, []
+
+        def own_links(first: bool) -> None:
+            nonlocal index, classes
+            index, classes = Index(sets), Classes(len(sets))
+            settled = np.flatnonzero(settled_).tolist()
+            for i in settled[1:]:
+                classes.unite(settled[0], i)  # by way of the pivot
+            for i, s in enumerate(sets):
+                if not settled_[i]:
+                    for j in np.flatnonzero(linked(index.shared_with(s), len(s), index.sizes)).tolist():
+                        if classes.unite(i, j) and first:
+                            out.append((keys[i], keys[j]))
+
+        def flush(all_: bool) -> Iterator[pa.RecordBatch]:
+            if len(out) > 5000 or (all_ and out):
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                out.clear()
+
+        first = True
+        for begins, _, slice_, own, settled, key, items in _groups(batches, 2):
+            if begins:
+                if sets and index is None:
+                    own_links(first)
+                keys, sets, settled_, index, first = [], [], [], None, slice_ == 0
+                yield from flush(False)
+            x = np.frombuffer(items, np.uint64)
+            if own:
+                keys.append(key)
+                sets.append(x)
+                settled_.append(settled)
+                continue
+            if not sets:
+                continue
+            if index is None:
+                own_links(first)
+            roots = {classes.root(j): j for j in np.flatnonzero(linked(index.shared_with(x), len(x), index.sizes)).tolist()}
+            out.extend((key, keys[j]) for j in roots.values())
+        if sets and index is None:
+            own_links(first)
+        yield from flush(True)
+
+    return rows.mapInArrow(work, "a long, b long")
+
+
+def _region_links(members: DataFrame, cell_sets: int, pivots: int, joined: int, levels: int) -> DataFrame:
+    """Links (a, b) that connect the linked sets of each region of ``members`` (cell, own, settled, key, items)."""
+    found: list[DataFrame] = []
+    for level in range(levels):
+        cells, links = _voronoi(members, level, cell_sets, pivots)
+        found.append(links)
+        cells = materialise(cells, "jaccard-meet")
+        large = cells.where("own").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > joined).select("cell")
+        large = materialise(large, "jaccard-large")
+        if large.isEmpty():
+            found.append(_join_cells(cells))
+            break
+        found.append(_join_cells(cells.join(large, "cell", "left_anti")))
+        members = cells.join(large, "cell", "left_semi")
+    else:
+        found.append(_join_cells(_blocks(members, joined)))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def _with_sets(docs: DataFrame, survivors: DataFrame, seed: int) -> DataFrame:
-    """(region, key, items): the whole sets of ``survivors`` (key, rep, region), read from the texts of their representatives."""
-    schema = pa.schema([("region", pa.int64()), ("key", pa.int64()), ("items", pa.binary())])
+    """Members of regions: the whole sets of ``survivors`` (key, rep, region), read from the texts of their representatives."""
+    schema = pa.schema([("cell", pa.int64()), ("own", pa.bool_()), ("settled", pa.bool_()), ("key", pa.int64()), ("items", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for region, key, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), map(shingle_set, strings(b.column(2)))):
                 if digest(s, seed) == key:  # else another row with the representative's id
-                    out.append((region, key, s.tobytes()))
+                    out.append((region, True, False, key, s.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     joined = docs.join(survivors.withColumnRenamed("rep", "doc_id"), "doc_id").select("region", "key", "text")
-    return joined.mapInArrow(work, "region long, key long, items binary")
+    return joined.mapInArrow(work, _MEMBERS)
 
 
-def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs``."""
+def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", cell_sets: int = CELL, pivots: int = PIVOTS, joined: int = JOINED, levels: int = LEVELS) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of ``docs``; the other parameters change the way, not the result."""
     spark = docs.sparkSession
     parts = partitions(spark)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -429,20 +563,7 @@ def link_components(docs: DataFrame, id_column: str = "doc_id", text_column: str
     regions = components(edges, "jaccard-regions")
     survivors = sieve.select("key", "rep").distinct().join(regions.select(F.col("node").alias("key"), F.col("label").alias("region")), "key")
     members = materialise(_with_sets(docs, survivors, seed), "jaccard-members")
-    links: list[DataFrame] = []
-    for level in range(LEVELS):
-        sizes = members.groupBy("region").agg(F.count("*").alias("sets"), F.sum(F.length("items") / 8).alias("shingles"))
-        large = sizes.where((F.col("sets") > REGION_SETS) | (F.col("shingles") > REGION_SHINGLES)).select("region")
-        if not large.limit(1).count():
-            break
-        large = materialise(large, "jaccard-large")
-        cells, found = _split_region(members.join(large, "region", "left_semi"), level)
-        links.append(found)
-        members = materialise(members.join(large, "region", "left_anti").unionByName(cells), "jaccard-members")
-    joined = members.repartition(parts, "region").sortWithinPartitions("region", "key").mapInArrow(_join_regions, "a long, b long")
-    for x in links:
-        joined = joined.unionByName(x)
-    found = components(joined, "jaccard-links")
+    found = components(_region_links(members, cell_sets, pivots, joined, levels), "jaccard-links")
     # keys to the smallest id of their component
     named = classes.select("key", "rep").join(found.select(F.col("node").alias("key"), "label"), "key", "left")
     named = named.select("key", "rep", F.coalesce("label", "key").alias("label"))

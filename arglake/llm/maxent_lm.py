@@ -44,7 +44,7 @@ HEAVY, LONGEST = 200_000, 64
 #: Context numbers of words outside the vocabulary.
 ENDINGS = 1024
 #: Hashed rows of word pairs, and of (class, previous word): a power of two that grows with the training tokens.
-TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 8192, 1 << 13, 1 << 15
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 16384, 1 << 13, 1 << 15
 ROUNDS = 3
 RATE, DAMPING, CLIP = 0.5, 4.0, 3.0
 #: Tokens of a numpy batch.

@@ -171,14 +171,51 @@ def near_rows(seed=3):
     return rows + [(5001, None), (5002, ""), (5003, "  "), (5004, "a"), (5005, "A"), (5006, "a b"), (12, rows[0][1])]
 
 
-@pytest.mark.parametrize("sets", [20_000, 3])
-def test_jaccard_join(spark, monkeypatch, sets):
-    monkeypatch.setattr(jaccard_join, "REGION_SETS", sets)
+@pytest.mark.parametrize("way", [{}, {"cell_sets": 1}, {"cell_sets": 2, "pivots": 3, "joined": 2}, {"cell_sets": 3, "pivots": 2, "joined": 1, "levels": 1}])
+@pytest.mark.parametrize("slice_", [256, 2])
+def test_jaccard_join(spark, monkeypatch, way, slice_):
+    monkeypatch.setattr(jaccard_join, "SLICE", slice_)
+    monkeypatch.setattr(jaccard_join, "VISITORS", slice_)
+    monkeypatch.setattr(jaccard_join, "HOT", 64 if slice_ > 2 else 3)
     rows = near_rows()
-    got = jaccard_join.link_components(frame(spark, rows)).collect()
+    got = jaccard_join.link_components(frame(spark, rows), **way).collect()
     assert Counter(tuple(r) for r in got) == brute_components(rows)
 
 
+def dense_sets(seed, n=60):
+    """Sets around a few centres, at distances on either side of the threshold, some of them far from all others."""
+    r = random.Random(seed)
+    out = []
+    for c in range(4):
+        centre = [c * 10_000 + i for i in range(60)] + list(range(5, 20))
+        for _ in range(n // 4):
+            x = list(centre)
+            for _ in range(r.choice([1, 3, 5, 7, 9, 12, 20, 40])):
+                x[r.randrange(len(x))] = r.randrange(100_000, 100_400)
+            out.append(np.unique(np.array(x, np.uint64)))
+    return list({x.tobytes(): x for x in out}.values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("way", [(200, 256, 512, 6), (4, 256, 512, 6), (1, 256, 8, 6), (3, 4, 4, 2), (8, 8, 3, 1)])
+def test_voronoi_cells_lose_no_link(spark, monkeypatch, seed, way):
+    """Sets of one region, whatever the number of pivots, the recursion, or blocks at its end."""
+    monkeypatch.setattr(jaccard_join, "SLICE", 16)
+    sets = dense_sets(seed)
+    members = spark.createDataFrame([(7, True, False, i, bytearray(x.tobytes())) for i, x in enumerate(sets)], jaccard_join._MEMBERS)
+    links = [(r.a, r.b) for r in jaccard_join._region_links(members, *way).collect()]
+    similar = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+    want, got = jaccard_join.Classes(len(sets)), jaccard_join.Classes(len(sets))
+    for a, b in links:
+        got.unite(a, b)
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if similar(x, sets[j]):
+                want.unite(i, j)
+    assert [got.root(i) for i in range(len(sets))] == [want.root(i) for i in range(len(sets))]
+    assert len({want.root(i) for i in range(len(sets))}) > 5
+
+
 #: Shingles of lone pairs whose sizes lie on either side of PART_FROM or FULL, or between them.
 ACROSS = [(300, 330), (316, 336), (319, 320), (252, 296), (255, 256), (250, 310), (260, 315), (256, 319)]
 
@@ -199,20 +236,12 @@ def test_jaccard_links_lone_pairs_across_the_spaces(spark):
     assert {c for _, _, c in got} == {2 * i for i in range(len(ACROSS))}
 
 
-def test_jaccard_split_keeps_links_of_sets_that_touch_different_pivots(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
-    order = F.xxhash64("id", F.lit(0))
-    ranked = spark.range(100).select("id", F.pmod(order, F.lit(2)).alias("p"), order.alias("o")).orderBy("o").collect()
-    first, second = ([r.id for r in ranked if r.p == p] for p in (0, 1))
-    earlier, later = sorted([first[0], second[0]])  # the pivots, in the order of their cells
+def test_pivots_keep_links_of_sets_that_touch_different_pivots():
     both, x_own, y_own = range(80), range(100, 110), range(200, 210)
-    sets = {earlier: [*y_own], later: [*x_own, *range(10)], first[1]: [*both, *x_own], second[1]: [*both, *y_own]}
-    rows = [(7, key, bytearray(np.sort(np.array(s, np.uint64)).tobytes())) for key, s in sets.items()]
-    cells, _ = jaccard_join._split_region(spark.createDataFrame(rows, "region long, key long, items binary"), 0)
-    found = defaultdict(set)
-    for r in cells.collect():
-        found[r.region].add(r.key)
-    assert any({first[1], second[1]} <= keys for keys in found.values())
+    first, second, x, y = (np.array(sorted(s), np.uint64) for s in ([*y_own], [*x_own, *range(10)], [*both, *x_own], [*both, *y_own]))
+    found = jaccard_join.Pivots([1, 2], [first, second])
+    cells = [{c for c, *_ in found.place(key, s, True)[0]} for key, s in ((3, x), (4, y))]
+    assert cells[0] & cells[1]
 
 
 def test_jaccard_counts_everything_if_the_part_is_too_small(spark, monkeypatch):

@@ -236,10 +236,10 @@ def test_language_model_beats_the_base_on_held_out_rows_of_the_tables(spark):
 
 
 def test_blocks_of_gradients_add_up():
-    m = maxent_lm.Model([(f"w{i}", 5000 - i) for i in range(4500)], 50_000_000)
+    m = maxent_lm.Model([(f"w{i}", 5000 - i) for i in range(4500)], 250_000_000)
     r = np.random.default_rng(2)
     whole, sums = maxent_lm.Gradient(m), maxent_lm.Gradient(m)
-    assert m.hashed == maxent_lm.hashed_rows(50_000_000) > maxent_lm.hashed_rows(0) == maxent_lm.LEAST_ROWS
+    assert m.hashed == maxent_lm.hashed_rows(250_000_000) > maxent_lm.hashed_rows(0) == maxent_lm.LEAST_ROWS
     for _ in range(3):
         context, part = r.integers(0, maxent_lm.CONTEXTS - 1, 500), maxent_lm.Gradient(m)
         target = np.minimum(context, maxent_lm.VOCABULARY)
