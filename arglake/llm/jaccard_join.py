@@ -9,14 +9,15 @@
 * Regions.  Of what is left, each set is keyed by its rarest counted shingles, just so many that two linked
   sets must share a key.  Sets that are connected by keys form a region; no link leaves it.
 * Voronoi cells.  Every region gets pivots, one for each CELL sets (at most PIVOTS), and all distances of its
-  sets to them.  A set belongs to the cell of its nearest pivot, and is settled if it is linked to it: settled
-  sets of one cell are connected and need not meet.  Windows: if x of cell c and y of cell i are linked, then
-  d(x, i) <= d(x, c) + 2 * threshold (triangle inequality), so x visits cell i if it is unsettled and i comes
-  before c, or if i may have settled sets that it links to (d(x, i) <= 2 * threshold); a settled set visits only
-  settled sets of earlier cells whose pivots are not connected to its own.  Pivots at distance 1 tell nothing:
-  sets at a distance of at least 1 - 2 * threshold from all pivots also form a cell of their own.  A settled set
-  leaves if all strangers in its cell are beyond d + threshold of the pivot, a visitor if it is beyond the
-  cell's radius + threshold.
+  sets to them.  A set that is linked to pivots is settled, in the cell of one of them; settled sets of one cell
+  are connected and need not meet.  Another set is in the cell of one of the pivots that are at most SPREAD
+  farther than the nearest (so that a pivot in the middle does not get all).  Windows: if x and y are linked and
+  y is unsettled in cell i, then d(x, i) <= d(x, nearest) + 2 * threshold + SPREAD (triangle inequality); if y is
+  settled there, d(x, i) <= 2 * threshold.  By that an unsettled set visits earlier cells, and later ones for
+  their settled sets; a settled set visits settled sets of earlier cells whose pivots are not connected to its
+  own.  Pivots at distance 1 tell nothing: sets at a distance of at least 1 - 2 * threshold - SPREAD from all
+  pivots also form a cell of their own.  A settled set leaves if all strangers in its cell are beyond
+  d + threshold of the pivot, a visitor if it is beyond the cell's radius + threshold.
 * Recursion.  Cells with more than JOINED sets of their own are regions of the next level, with other pivots.
   The others are joined: own sets are indexed, visitors stream past them in slices.  A cell that LEVELS levels
   of pivots have not split is cut into blocks by key, whose own sets all others visit: this is exact and bounded
@@ -54,9 +55,13 @@ HELD_PAIRS = 1_500_000
 #: Occurrences of a shingle among the sets of a buffer from which on its pairs are spread over all tasks.
 HOT = 64
 #: Sets to a pivot; pivots of a region, at most; sets of its own with which a cell is joined.
-CELL, PIVOTS, JOINED = 128, 256, 512
+CELL, PIVOTS, JOINED = 192, 256, 512
 #: Rows of a slice of a region, and of a cell's visitors; levels of pivots.
 SLICE, VISITORS, LEVELS = 256, 2048, 6
+#: How much farther than its nearest pivot a set's own may be.
+SPREAD = 0.1
+#: Rows of a table of counts or pivots up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 
 _hasher = WordHasher()
 
@@ -326,26 +331,24 @@ class Pivots:
         both = self.index.shared_with(s)
         d = 1 - both / (self.index.sizes + len(s) - both)
         least = d.min()
-        window = np.flatnonzero((d < 1) & (d <= least + 2 * THETA + _EPS)).tolist()
-        out, to = [], []
+        reach = np.flatnonzero((d < 1) & (d <= least + 2 * THETA + SPREAD + _EPS)).tolist()
+        far = least >= 1 - 2 * THETA - SPREAD - _EPS
         if not own:
-            out = [(i, False, False, float(d[i])) for i in window]
-            if least >= 1 - 2 * THETA - _EPS:
-                out.append((_FAR, False, False, 1.0))
-            return out, to
-        nearest = np.flatnonzero(d == least)
-        c = self.number.get(key, int(nearest[key % len(nearest)]))  # ties are spread by key
+            return [(i, False, False, float(d[i])) for i in reach] + [(_FAR, False, False, 1.0)] * far, []
         near = linked(both, len(s), self.index.sizes)
-        if near[c]:
-            classes, first = np.unique(self.connected[near], return_index=True)
-            to = [self.keys[i] for i in np.flatnonzero(near)[first].tolist()]
-            out.append((c, True, True, float(d[c])))
-            out += [(i, False, False, float(d[i])) for i in window if i < c and d[i] <= 2 * THETA + _EPS and self.connected[i] not in classes]
-            return out, to
-        if least < 1:
-            out.append((c, True, False, float(d[c])))
-            out += [(i, False, False, float(d[i])) for i in window if i < c or (i > c and d[i] <= 2 * THETA + _EPS)]
-        if least >= 1 - 2 * THETA - _EPS:
+        settled = bool(near.any())
+        may = np.flatnonzero(near if settled else (d < 1) & (d <= least + SPREAD))
+        out, to = [], []
+        if len(may):
+            c = self.number.get(key, int(may[key % len(may)]))
+            out.append((c, True, settled, float(d[c])))
+            if settled:
+                classes, first = np.unique(self.connected[near], return_index=True)
+                to = [self.keys[i] for i in np.flatnonzero(near)[first].tolist()]
+                out += [(i, False, False, float(d[i])) for i in reach if i < c and d[i] <= 2 * THETA + _EPS and self.connected[i] not in classes]
+            else:
+                out += [(i, False, False, float(d[i])) for i in reach if i < c or (i > c and d[i] <= 2 * THETA + _EPS)]
+        if far:
             out.append((_FAR, True, False, 1.0))
         return out, to
 
@@ -367,6 +370,12 @@ def _groups(batches: Iterator[pa.RecordBatch], more: int) -> Iterator[tuple]:
             at = (cell, slice_)
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table, with a broadcast hint if it has few rows."""
+    made = materialise(df, name)
+    return F.broadcast(made) if made.count() <= BROADCAST_ROWS else made
+
+
 def _sliced(rows: DataFrame, n: DataFrame, size: int) -> tuple[DataFrame, Column, Column]:
     """``rows`` with the column ``slices`` (of ``size``, from the counts ``n``), a row's slice and all slices of its cell."""
     rows = rows.join(n, "cell", "left").withColumn("slices", F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("n"), F.lit(0)) / size)).cast("int"))
@@ -377,13 +386,13 @@ def _voronoi(members: DataFrame, level: int, cell_sets: int, pivots: int) -> tup
     """One level: (cell, own, settled, key, items) of what has to meet in the cells of the regions ``members``, and links (a, b) to pivots."""
     parts = partitions(members.sparkSession)
     n = members.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(F.col("own"), 1)).alias("n_own"))
-    n = materialise(n, "jaccard-regions-n")
+    n = _small(n, "jaccard-regions-n")
     rows, slice_, all_slices = _sliced(members, n, SLICE)
     order = F.xxhash64("key", F.lit(level))
     k = F.least(F.lit(pivots), F.ceil(F.col("n_own") / cell_sets))
     chosen = members.select("cell", "own", "key").join(n, "cell").where("own").groupBy("cell", F.pmod(order, k).alias("pivot")).agg(F.min(F.struct(order.alias("o"), "key")).alias("x"))
     chosen = chosen.select("cell", F.col("pivot").cast("int"), F.col("x.key").alias("key"))
-    rows = rows.join(chosen, ["cell", "key"], "left")
+    rows = rows.join(_small(chosen, "jaccard-pivots"), ["cell", "key"], "left")
     ordinary = rows.select("cell", slice_.alias("slice"), F.lit(-1).alias("pivot"), "own", "key", "items")
     everywhere = rows.where("own and pivot is not null").select("cell", all_slices.alias("slice"), "pivot", "own", "key", "items")
     dealt = ordinary.unionByName(everywhere).repartition(parts, "cell", "slice").sortWithinPartitions("cell", "slice", F.col("pivot") < 0, "pivot", F.col("own").desc(), "key")
@@ -419,7 +428,7 @@ def _voronoi(members: DataFrame, level: int, cell_sets: int, pivots: int) -> tup
     limits = cells.groupBy("cell").agg(F.min(F.when(stranger, F.col("d"))).alias("edge"), F.max(F.when(F.col("own"), F.col("d"))).alias("radius"), F.count("*").alias("rows"))
     limits = limits.where("rows > 1 and edge is not null and radius is not null")
     needed = F.when(F.col("settled"), F.col("d") >= F.col("edge") - THETA - _EPS).when(F.col("own"), F.lit(True)).otherwise(F.col("d") <= F.col("radius") + THETA + _EPS)
-    return cells.join(limits, "cell").where(needed).select("cell", "own", "settled", "key", "items"), links
+    return cells.join(_small(limits, "jaccard-limits"), "cell").where(needed).select("cell", "own", "settled", "key", "items"), links
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
@@ -435,7 +444,7 @@ def _blocks(members: DataFrame, block: int) -> DataFrame:
 def _join_cells(members: DataFrame) -> DataFrame:
     """Links (a, b) that connect what is connected in each cell through a set of its own."""
     visitors = members.where("not own").groupBy("cell").agg(F.count("*").alias("n"))
-    rows, slice_, all_slices = _sliced(members, visitors, VISITORS)
+    rows, slice_, all_slices = _sliced(members, _small(visitors, "jaccard-visitors"), VISITORS)
     own = rows.where("own").select("cell", all_slices.alias("slice"), "own", "settled", "key", "items")
     rows = own.unionByName(rows.where("not own").select("cell", slice_.alias("slice"), "own", "settled", "key", "items"))
     rows = rows.repartition(partitions(members.sparkSession), "cell", "slice").sortWithinPartitions("cell", "slice", F.col("own").desc(), "settled", "key")
@@ -494,10 +503,10 @@ def _region_links(members: DataFrame, cell_sets: int, pivots: int, joined: int,
         found.append(links)
         cells = materialise(cells, "jaccard-meet")
         large = cells.where("own").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > joined).select("cell")
-        large = materialise(large, "jaccard-large")
         if large.isEmpty():
             found.append(_join_cells(cells))
             break
+        large = _small(large, "jaccard-large")
         found.append(_join_cells(cells.join(large, "cell", "left_anti")))
         members = cells.join(large, "cell", "left_semi")
     else:
