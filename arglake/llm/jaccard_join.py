@@ -332,7 +332,7 @@ class Pivots:
         d = 1 - both / (self.index.sizes + len(s) - both)
         least = d.min()
         reach = np.flatnonzero((d < 1) & (d <= least + 2 * THETA + SPREAD + _EPS)).tolist()
-        far = least >= 1 - 2 * THETA - SPREAD - _EPS
+        far = bool(least >= 1 - 2 * THETA - SPREAD - _EPS)
         if not own:
             return [(i, False, False, float(d[i])) for i in reach] + [(_FAR, False, False, 1.0)] * far, []
         near = linked(both, len(s), self.index.sizes)
