@@ -2,11 +2,16 @@
 
 Every document gets counts (``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
 ``n_repeat_words``) and ratios made of them.  For each language and source a mergeable sketch of each
-ratio is built: the value's bucket on a logarithmic scale (relative width 2 * ALPHA) and the number of
-documents in it.  Sketches merge by adding counts, so they are built map-side, do not depend on the order
-of rows and hold a bounded number of buckets.  Quartiles of a sketch give the group's fences; a
-document outside any fence of its group is not kept.  Small groups lean on the language's sketch, and
-the language on that of all documents: the coarser sketches' counts are added with a fixed total weight.
+ratio is built over the documents that pass the base rule: the value's bucket on a logarithmic scale
+(relative width 2 * ALPHA) and the number of documents in it.  Sketches merge by adding counts, so they
+are built map-side, do not depend on the order of rows and hold a bounded number of buckets; a language's
+sketch is the sum of its groups', the corpus' that of all.
+
+Quartiles of a sketch give the group's fences, REACH spreads beyond them; a document outside any fence
+of its group is not kept.  The spread is the distance of the quartiles, and for shares at least what
+UNIT occurrences make in a short text of the group (the upper quartile of an occurrence over the denominator): less than
+that cannot be told from chance.  No cutoff is fixed.  Small groups lean on their language and languages on the corpus:
+quartiles are averaged with those of the coarser sketch, which counts as PRIOR documents.
 
 Edge cases: a null or empty text has no words and fails the base rule; null ``lang`` or ``source`` is a
 group of its own; repeated rows are judged alike; an empty table gives an empty result.
@@ -28,17 +33,23 @@ from arglake.llm.common import materialise, strings, words
 ALPHA = 0.01
 #: Values below this count as zero; values above the largest bucket fall into it.
 TINY, LARGEST = 1e-4, 1e4
-#: A fence lies so many interquartile ranges outside the quartiles, and never nearer than the slack.
+#: A fence lies so many spreads beyond the quartile.
 REACH = 6.0
-#: Total weight, in documents, of the language's and of the whole corpus' sketch in a group's.
-PRIOR = 200.0
-#: ratio: (sides that are fenced, least distance of a fence from the quartile)
+#: Occurrences in a short text that are within a spread.
+UNIT = 2.0
+#: Weight, in documents, of the language's quartiles in a group's, and of the corpus' in a language's.
+PRIOR = 20.0
+#: Groups up to which fences are broadcast to the documents.
+BROADCAST_ROWS = 200_000
+#: ratio: (numerator, denominator, what one occurrence adds to the numerator, 0 if the ratio is no share: then low values are fenced too)
 RATIOS = {
-    "mean_word_chars": ("both", 2.0),
-    "symbol_share": ("high", 0.05),
-    "dup_line_share": ("high", 0.40),
-    "repeat_share": ("high", 0.25),
+    "mean_word_chars": ("word_chars", "n_words", 0),
+    "symbol_share": ("n_symbols", "word_chars", 1),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1),
+    "repeat_share": ("n_repeat_words", "n_words", 6),  # a window that comes again
 }
+#: What is sketched: the ratios, and for shares the value of one occurrence.
+SKETCHED = [*RATIOS, *(f"{r}_unit" for r, (_, _, step) in RATIOS.items() if step)]
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_lines", pa.int64()), ("n_repeat_words", pa.int64())])
 
@@ -95,15 +106,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_ratios(c: DataFrame) -> DataFrame:
     def share(a, b):
-        return F.coalesce(F.col(a) / F.when(F.col(b) > 0, F.col(b)), F.lit(0.0))
+        return F.coalesce(a / F.when(F.col(b) > 0, F.col(b)), F.lit(0.0))
 
-    return c.select("*", share("word_chars", "n_words").alias("mean_word_chars"), share("n_symbols", "word_chars").alias("symbol_share"), share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"))
+    ratios = [share(F.col(a), b).alias(r) for r, (a, b, _) in RATIOS.items()]
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return c.select("*", *ratios, *(share(F.lit(step), b).alias(f"{r}_unit") for r, (_, b, step) in RATIOS.items() if step), base.alias("base_failed"))
 
 
 def sketch(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sketches of all ratios for each group: keys, ratio, bucket, n."""
     gamma = (1 + ALPHA) / (1 - ALPHA)
-    long = rows.select(*keys, F.stack(F.lit(len(RATIOS)), *(x for r in RATIOS for x in (F.lit(r), F.col(r)))).alias("ratio", "value"))
+    long = rows.select(*keys, F.stack(F.lit(len(SKETCHED)), *(x for r in SKETCHED for x in (F.lit(r), F.col(r)))).alias("ratio", "value"))
     bucket = F.when(F.col("value") < TINY, F.lit(-1_000_000)).otherwise(F.ceil(F.log(F.least("value", F.lit(LARGEST))) / float(np.log(gamma))))
     return long.groupBy(*keys, "ratio", bucket.cast("int").alias("bucket")).agg(F.count("*").cast("double").alias("n"))
 
@@ -113,58 +126,55 @@ def merged(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
-    """Quantiles of each sketch: keys, ratio, and a column for each entry of ``at``."""
+    """Quantiles of each sketch: keys, ratio, a column for each entry of ``at``, and the documents in it (total)."""
     gamma = (1 + ALPHA) / (1 - ALPHA)
     group = Window.partitionBy(*keys, "ratio")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     value = F.when(F.col("bucket") == -1_000_000, F.lit(0.0)).otherwise(2 * F.pow(F.lit(gamma), F.col("bucket")) / (gamma + 1))
     ranked = sketches.select(*keys, "ratio", value.alias("value"), upto.alias("upto"), F.sum("n").over(group).alias("total"))
-    return ranked.groupBy(*keys, "ratio").agg(*(F.min(F.when(F.col("upto") >= q * F.col("total") - 1e-9, F.col("value"))).alias(name) for name, q in at.items()))
+    return ranked.groupBy(*keys, "ratio").agg(F.max("total").alias("total"), *(F.min(F.when(F.col("upto") >= q * F.col("total") - 1e-9, F.col("value"))).alias(name) for name, q in at.items()))
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """Fences of each (lang, source): lang, source, then <ratio>_low and <ratio>_high.
+    """Fences of each (lang, source) of ``rows``: lang, source, then <ratio>_low and <ratio>_high.
 
-    A group's sketch is its own plus its language's and the whole corpus', each scaled to a total of PRIOR documents.
+    Tables here have a row for each group and ratio at most; only the sketches have their buckets beside.
     """
     own = materialise(sketch(rows, ["lang", "source"]), "quality-sketches")
-    groups = own.select("lang", "source").distinct()
-
-    def scaled(s: DataFrame, keys: list[str]) -> DataFrame:
-        total = F.sum("n").over(Window.partitionBy(*keys, "ratio"))
-        return s.select(*keys, "ratio", "bucket", (F.col("n") * PRIOR / total).alias("n"))
-
-    of_lang = scaled(merged(own, ["lang"]), ["lang"]).withColumnRenamed("lang", "l")
-    of_all = scaled(merged(own, []), [])
-    by_lang = groups.join(of_lang, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "source", "ratio", "bucket", "n")
-    every = groups.select("lang", "source", F.explode(F.array(*map(F.lit, RATIOS))).alias("ratio"))
-    by_all = every.join(of_all, "ratio").select("lang", "source", "ratio", "bucket", "n")
-    mixed = merged(own.unionByName(by_lang).unionByName(by_all), ["lang", "source"])
-    q = quantiles(mixed, ["lang", "source"], {"q1": 0.25, "q3": 0.75})
-    slack = F.lit(None).cast("double")
-    for name, (_, least) in RATIOS.items():
-        slack = F.when(F.col("ratio") == name, F.lit(least)).otherwise(slack)
-    reach = F.greatest(REACH * (F.col("q3") - F.col("q1")), slack)
-    q = q.select("lang", "source", "ratio", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    at = {"q1": 0.25, "q3": 0.75}
+
+    def leaning(fine: DataFrame, coarse: DataFrame, on) -> DataFrame:
+        weight = F.col("total") + PRIOR
+        mixed = [((F.col("total") * F.col(q) + PRIOR * F.col(f"c_{q}")) / weight).alias(q) for q in at]
+        coarse = coarse.select(*[F.col(c).alias(f"c_{c}") for c in coarse.columns])
+        return fine.join(coarse, on).select(*[c for c in fine.columns if c not in at], *mixed)
+
+    whole = quantiles(merged(own, []), [], at)
+    of_lang = leaning(quantiles(merged(own, ["lang"]), ["lang"], at), whole, F.col("ratio") == F.col("c_ratio"))
+    of_group = leaning(quantiles(own, ["lang", "source"], at), of_lang, (F.col("ratio") == F.col("c_ratio")) & F.col("lang").eqNullSafe(F.col("c_lang")))
+    value = {x: {q: F.max(F.when(F.col("ratio") == x, F.col(q))) for q in at} for x in SKETCHED}
     fences = []
-    for name, (side, _) in RATIOS.items():
-        if side == "both":
-            fences.append(F.max(F.when(F.col("ratio") == name, F.col("low"))).alias(f"{name}_low"))
-        fences.append(F.max(F.when(F.col("ratio") == name, F.col("high"))).alias(f"{name}_high"))
-    return q.groupBy("lang", "source").agg(*fences)
+    for r, (_, _, step) in RATIOS.items():
+        spread = value[r]["q3"] - value[r]["q1"]
+        if not step:
+            fences.append((value[r]["q1"] - REACH * spread).alias(f"{r}_low"))
+        else:
+            spread = F.greatest(spread, UNIT * value[f"{r}_unit"]["q3"])
+        fences.append((value[r]["q3"] + REACH * spread).alias(f"{r}_high"))
+    return of_group.groupBy("lang", "source").agg(*fences)
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """Counts, ratios, fences and the verdict for each document."""
+    """Counts, ratios, fences and the verdict for each document (a group without a document that passes the base rule has no fences)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string"), F.col("source").cast("string"), "text").mapInArrow(_count, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long")
     rows = with_ratios(materialise(rows, "quality-counts"))
-    fences = thresholds(rows).withColumnsRenamed({"lang": "l", "source": "s"})
-    # Fences are one row a group; the join's large side is not shuffled while they are small enough to broadcast.
+    fences = materialise(thresholds(rows.where("not base_failed")).withColumnsRenamed({"lang": "l", "source": "s"}), "quality-fences")
+    if fences.count() <= BROADCAST_ROWS:  # a row a group: a hot group is not shuffled
+        fences = F.broadcast(fences)
     out = rows.join(fences, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
     failed = F.lit(False)
-    for name, (side, _) in RATIOS.items():
-        if side == "both":
+    for name, (_, _, step) in RATIOS.items():
+        if not step:
             failed = failed | (F.col(name) < F.col(f"{name}_low"))
         failed = failed | (F.col(name) > F.col(f"{name}_high"))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", base).withColumn("kept", ~base & ~F.coalesce(failed, F.lit(False)))
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(failed, F.lit(False)))

@@ -155,10 +155,77 @@ def test_quality_rules_adapt(spark):
     assert quality_rules.judge(docs.limit(0)).collect() == []
 
 
+def brute_kept(rows):
+    """Verdicts by sorted values: quartiles are the middles of their buckets, and lean on language and corpus."""
+    counted = [(lang, source, *brute_counts(t or "")) for _, t, lang, source in rows]
+    failed = [c[2] < 50 or 100 * c[7] > 50 * c[2] for c in counted]
+    numerators = {"mean": (3, 2, 0), "symbols": (4, 3, 1), "lines": (5, 6, 1), "repeats": (7, 2, 6)}
+    share = lambda a, b: a / b if b else 0.0
+    gamma = 1.01 / 0.99
+    middle = lambda v: 0.0 if v < 1e-4 else 2 * gamma ** math.ceil(math.log(min(v, 1e4)) / math.log(gamma)) / (gamma + 1)
+
+    def quartiles(chosen, value):
+        v = sorted(value(c) for c in chosen)
+        return np.array([middle(v[math.ceil(q * len(v)) - 1]) for q in (0.25, 0.75)])
+
+    good = [c for c, f in zip(counted, failed) if not f]
+
+    def leaning(group, value):
+        of_lang, own = ([c for c in good if c[:k] == group[:k]] for k in (1, 2))
+        q = quartiles(good, value)
+        for chosen in (of_lang, own):
+            q = (len(chosen) * quartiles(chosen, value) + 20 * q) / (len(chosen) + 20)
+        return q
+
+    fences = {}
+    for group in {c[:2] for c in good}:
+        for r, (a, b, step) in numerators.items():
+            q1, q3 = leaning(group, lambda c: share(c[a], c[b]))
+            spread = q3 - q1
+            if r != "mean":
+                spread = max(spread, 2 * leaning(group, lambda c: share(step, c[b]))[1])
+            fences[group, r] = (q1 - 6 * spread if r == "mean" else -1, q3 + 6 * spread)
+    out = []
+    for c, f in zip(counted, failed):
+        inside = all((x := fences.get((c[:2], r))) is None or x[0] <= share(c[a], c[b]) <= x[1] for r, (a, b, _) in numerators.items())
+        out.append(not f and inside)
+    return out
+
+
+def test_quality_verdicts_equal_brute_force_and_sources_have_their_own_fences(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(500):
+        lang, source = r.choice(["en", "en", "de"]), r.choice(["chat", "news"])
+        n = r.randint(55, 120) if source == "chat" else r.randint(300, 900)
+        noise = 0.10 if source == "chat" else 0.002  # one source is full of symbols
+        text = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) + ("#" if r.random() < noise else "") for _ in range(n))
+        if r.random() < 0.1:
+            text += " " + " ".join(f"x{k}##" for k in range(r.randint(1, n // 2)))
+        if r.random() < 0.1:
+            text += "\n" + "\n".join(["a line that comes again"] * r.randint(1, 40))
+        rows.append((i, text, lang, source))
+    rows += [(900, None, "en", "chat"), (901, "too short", "fr", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = {x.doc_id: x for x in quality_rules.judge(docs).collect()}
+    want = brute_kept(rows)
+    assert [judged[i].kept for i, *_ in rows] == want and 0.6 * len(rows) < sum(want) < 0.97 * len(rows)
+    fences = {(x.lang, x.source): (x.symbol_share_high, x.repeat_share_high, x.mean_word_chars_high) for x in judged.values()}
+    assert len({fences[g] for g in fences if g[0] in ("en", "de")}) == 4
+    assert fences["en", "chat"][0] > 3 * fences["en", "news"][0]
+
+
+def test_quality_fences_differ_by_group_on_the_tables(spark):
+    got = quality_rules.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    fences = got.groupBy("lang", "source").agg(*(F.first(f"{x}_high", True).alias(x) for x in quality_rules.RATIOS)).dropna().collect()
+    for name in ("mean_word_chars", "symbol_share", "repeat_share"):
+        assert len({x[name] for x in fences}) > 0.8 * len(fences)
+
+
 def test_sketches_merge(spark):
     r = np.random.default_rng(1)
     values = r.lognormal(0, 1, 4000)
-    rows = spark.createDataFrame([("a" if i % 3 else "b", float(v), 0.0, 0.0, 0.0) for i, v in enumerate(values)], "g string, mean_word_chars double, symbol_share double, dup_line_share double, repeat_share double")
+    rows = spark.createDataFrame([("a" if i % 3 else "b", float(v), *[0.0] * 6) for i, v in enumerate(values)], "g string, " + ", ".join(f"{x} double" for x in quality_rules.SKETCHED))
     both = quality_rules.merged(quality_rules.sketch(rows, ["g"]), [])
     whole = quality_rules.sketch(rows, [])
     assert sorted(map(str, both.collect())) == sorted(map(str, whole.select(both.columns).collect()))
