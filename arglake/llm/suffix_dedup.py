@@ -11,8 +11,11 @@ Every byte covered by a string of LENGTH bytes that also starts anywhere else is
   sorted directly by their LENGTH bytes, the rest (type A) are induced: a scan over the buckets of first
   bytes, in order, puts the predecessor of each string, if it is of type A, at the end of the filled part of
   its own bucket.  Strings whose common prefix with a neighbour reaches LENGTH repeat.
-* An anchor found HOT times or more is dealt further by the distance of the string from its anchor, which
-  is equal for equal strings.
+* An anchor found HOT times or more is dealt further by the distance of the string from its anchor and by
+  the bytes that all strings of about that distance share, which are equal for equal strings.
+* Hot groups.  Of an anchor that is in a buffer HOT_BUFFER times only its count and two places go to the task
+  that owns it, the other places are spread.  A context that a task holds twice repeats whatever others hold:
+  the runs of its places are spread over all tasks, and only one place goes on to be sorted.
 
 Edge cases: null counts as empty; a text of under LENGTH bytes is kept whole; matches never cross
 documents; overlapping repeats inside one document count; rows that repeat id and text are repeats of
@@ -38,6 +41,10 @@ GRAM = 32
 BUFFER = 1 << 17
 #: An anchor found so often is dealt by distance too, in steps of STEP.
 HOT, STEP = 20_000, 16
+#: Places of an anchor in a buffer from which on they are spread over all tasks.
+HOT_BUFFER = 256
+#: Anchors up to which a table of those is broadcast.
+BROADCAST_ROWS = 200_000
 #: Bytes of contexts that are sorted at once.
 SORTED_BYTES = 3 << 20
 #: Anchors, and bytes of contexts, that a task holds before it passes them on.
@@ -46,6 +53,7 @@ HELD_ANCHORS, HELD_BYTES = 2_000_000, 32 << 20
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64((1 << 24) - 1)
 _NONE = np.uint64(2**64 - 1)
+_NONE_INT = 2**64 - 1
 
 
 def gram_hashes(text: np.ndarray) -> np.ndarray:
@@ -217,7 +225,15 @@ def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _anchor_blocks(rows: DataFrame, parts: int) -> DataFrame:
-    """(part, block): keys and rows of all anchors, dealt by key."""
+    """(part, kind, block): keys and rows of all anchors, dealt by key (kind 0); of keys that are frequent in a buffer
+    only two, the others by row (kind 1), and their numbers by key (kind 2)."""
+
+    def blocks(part: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(part, kind="stable")
+        a, b, part = a[order], b[order], part[order]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+        for i, z in zip(starts, [*starts[1:], len(a)]):
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[i])], pa.int32()), pa.array([kind], pa.int32()), pa.array([a[i:z].tobytes() + b[i:z].tobytes()], pa.binary())], names=["part", "kind", "block"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -228,12 +244,17 @@ def _anchor_blocks(rows: DataFrame, parts: int) -> DataFrame:
             if not keys:
                 return
             k, r = np.concatenate(keys), np.concatenate(rows_)
-            part = _part(k, parts)
-            order = np.argsort(part, kind="stable")
-            k, r, part = k[order], r[order], part[order]
-            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
-            for a, z in zip(starts, [*starts[1:], len(k)]):
-                yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), pa.array([k[a:z].tobytes() + r[a:z].tobytes()], pa.binary())], names=["part", "block"])
+            order = np.argsort(k)
+            k, r = k[order], r[order]
+            starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+            n = np.diff(starts, append=len(k))
+            many = n >= HOT_BUFFER
+            if many.any():
+                spread = np.repeat(many, n) & (np.arange(len(k)) - np.repeat(starts, n) >= 2)
+                yield from blocks(_part(r[spread].view(np.uint64), parts), 1, k[spread], r[spread])
+                yield from blocks(_part(k[starts[many]], parts), 2, k[starts[many]], n[many] - 2)
+                k, r = k[~spread], r[~spread]
+            yield from blocks(_part(k, parts), 0, k, r)
             keys.clear()
             rows_.clear()
 
@@ -250,7 +271,7 @@ def _anchor_blocks(rows: DataFrame, parts: int) -> DataFrame:
                 held = 0
         yield from out()
 
-    return rows.mapInArrow(work, "part int, block binary")
+    return rows.mapInArrow(work, "part int, kind int, block binary")
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -261,51 +282,83 @@ def _frequent(blocks: DataFrame, parts: int) -> DataFrame:
     """(row, key, hot) of the anchors that are found twice or more."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ks, rs = [], []
+        held: tuple[tuple[list, list], ...] = (([], []), ([], []), ([], []))
+
+        def out(r, k, hot):
+            for i in range(0, len(k), 200_000):
+                columns = [x if isinstance(x, pa.Array) else pa.array(x[i : i + 200_000]) for x in (r, k, hot)]
+                yield pa.RecordBatch.from_arrays([x[i : i + 200_000] if len(x) > 200_000 else x for x in columns], names=["row", "key", "hot"])
+
         for b in batches:
-            for block in b.column(1):
+            for kind, block in zip(b.column(1).to_pylist(), b.column(2)):
                 x = np.frombuffer(block.as_buffer(), np.int64)
-                ks.append(x[: len(x) // 2])
-                rs.append(x[len(x) // 2 :])
-        if not ks:
+                first, second = x[: len(x) // 2], x[len(x) // 2 :]
+                if kind == 1:  # whether they are hot is known to the key's owner
+                    yield from out(second, first, np.full(len(first), -1, np.int8))
+                else:
+                    held[kind][0].append(first)
+                    held[kind][1].append(second)
+        if not held[0][0]:
             return
-        k, r = np.concatenate(ks), np.concatenate(rs)
+        k, r = map(np.concatenate, held[0])
         order = np.argsort(k)
         k, r = k[order], r[order]
         first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         n = np.diff(np.append(first, len(k)))
-        times = np.repeat(n, n)
-        k, r, hot = k[times > 1], r[times > 1], times[times > 1] >= HOT
-        for i in range(0, len(k), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(r[i : i + 200_000]), pa.array(k[i : i + 200_000]), pa.array(hot[i : i + 200_000])], names=["row", "key", "hot"])
+        total = n.copy()
+        if held[2][0]:
+            more, times = map(np.concatenate, held[2])
+            np.add.at(total, np.searchsorted(k[first], more), times)
+            some = np.unique(np.searchsorted(k[first], more))
+            yield from out(np.full(len(some), -1, np.int64), k[first][some], (total[some] >= HOT).astype(np.int8) + 2)
+        times = np.repeat(total, n)
+        yield from out(r[times > 1], k[times > 1], (times[times > 1] >= HOT).astype(np.int8))
+
+    found = materialise(blocks.repartitionById(parts, F.col("part")).mapInArrow(work, "row long, key long, hot byte"), "suffix-anchors")
+    known = found.where("hot >= 2").select("key", (F.col("hot") == 3).alias("hot"))
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    spread = found.where("hot = -1").select("row", "key").join(known, "key").select("row", "key", "hot")
+    return found.where("hot between 0 and 1").select("row", "key", (F.col("hot") == 1).alias("hot")).unionByName(spread)
 
-    return blocks.repartitionById(parts, F.col("part")).mapInArrow(work, "row long, key long, hot boolean")
+
+def _block(part: int, kind: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=["part", "kind", "block"])
 
 
 def _pack(contexts: dict, parts: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of contexts with their places, compressed, dealt by key."""
+    """Blocks, compressed: contexts with one place each and whether there are more (kind 0, dealt by key), and the runs of all places but those (kind 1)."""
     import zstandard
 
     by_part: dict[int, list] = {}
+    runs = []
     keys = np.array([k for k, _ in contexts], np.uint64)
     for p, (key, text), places in zip(_part(keys, parts).tolist(), contexts, contexts.values()):
         by_part.setdefault(p, []).append((key, text, places))
+        if len(places) > 1:
+            runs += [(row, doc, first, first + len(text) - LENGTH + 1) for row, doc, first in places[1:]]
     squeeze = zstandard.ZstdCompressor(level=1)
+    if runs:
+        found = np.array(runs, np.int64)
+        part = _part(found[:, 0].view(np.uint64), parts)
+        for p in np.unique(part).tolist():
+            yield _block(p, 1, squeeze.compress(found[part == p].tobytes()))
     for p, found in by_part.items():
-        head = np.array([(k, len(t), len(w)) for k, t, w in found], np.uint64)
-        places = np.array([x for _, _, w in found for x in w], np.int64)
-        block = struct.pack("<Q", len(found)) + head.tobytes() + places.tobytes() + b"".join(t for _, t, _ in found)
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([squeeze.compress(block)], pa.binary())], names=["part", "block"])
+        head = np.array([(k, len(t), len(w) > 1, *(x & _NONE_INT for x in w[0])) for k, t, w in found], np.uint64)
+        block = struct.pack("<Q", len(found)) + head.tobytes() + b"".join(t for _, t, _ in found)
+        yield _block(p, 0, squeeze.compress(block))
 
 
 def _contexts(marked: DataFrame, parts: int) -> DataFrame:
-    """(part, block): the contexts of the marked anchors of ``marked`` (row, id, bytes, keys, hot)."""
+    """(part, kind, block): the contexts of the marked anchors of ``marked`` (row, id, bytes, keys, hot)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         held: dict[tuple[int, bytes], list] = {}
         size = 0
         for b in batches:
-            items = [(data, row, -1 if doc is None else doc, keys, hot) for row, doc, data, keys, hot in zip(*(b.column(i).to_pylist() for i in range(5)))]
+            items = [(data, row, doc, keys, hot) for row, doc, data, keys, hot in zip(*(b.column(i).to_pylist() for i in range(5)))]
             marks = {}
             for _, row, _, keys, hot in items:
                 k = np.array(keys, np.int64).view(np.uint64)
@@ -332,7 +385,8 @@ def _contexts(marked: DataFrame, parts: int) -> DataFrame:
                             while f < l:  # cut where the distance from the anchor passes a multiple of STEP
                                 step = (anchor - f) // STEP
                                 end = min(l, anchor - step * STEP + 1)
-                                pieces.append((int(mix64(np.array([k ^ (step + 1)], np.uint64))[0]), f, end))
+                                core = raw[anchor - step * STEP : anchor - (step + 1) * STEP + LENGTH + 1]  # all strings at this step have it
+                                pieces.append((xxhash.xxh3_64_intdigest(core, k ^ (step + 1)), f, end))
                                 f = end
                         for k2, f2, l2 in pieces:
                             c = raw[f2 : l2 + LENGTH - 1]
@@ -350,7 +404,7 @@ def _contexts(marked: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from _pack(held, parts)
 
-    return marked.mapInArrow(work, "part int, block binary")
+    return marked.mapInArrow(work, "part int, kind int, block binary")
 
 
 def _repeats(blocks: DataFrame, parts: int) -> DataFrame:
@@ -360,33 +414,21 @@ def _repeats(blocks: DataFrame, parts: int) -> DataFrame:
         import zstandard
 
         expand = zstandard.ZstdDecompressor()
-        groups: dict[int, dict[bytes, list[np.ndarray]]] = {}
-        for b in batches:
-            for block in b.column(1).to_pylist():
-                data = expand.decompress(block)
-                (n,) = struct.unpack_from("<Q", data)
-                head = np.frombuffer(data, np.uint64, 3 * n, 8).reshape(n, 3).astype(np.int64)
-                total = int(head[:, 2].sum())
-                places = np.frombuffer(data, np.int64, 3 * total, 8 + 24 * n).reshape(total, 3)
-                at, p = 8 + 24 * n + 24 * total, 0
-                for key, length, k in head.tolist():
-                    groups.setdefault(key, {}).setdefault(data[at : at + length], []).append(places[p : p + k])
-                    at += length
-                    p += k
+        groups: dict[int, dict[bytes, list]] = {}
         out: list[np.ndarray] = []
-        waiting: list[tuple[bytes, list[np.ndarray]]] = []
+        waiting: list[tuple[bytes, list]] = []
         size = 0
 
-        def emit(places: list[np.ndarray], runs: list[tuple[int, int]]) -> None:
-            where = np.concatenate(places)
+        def emit(places: list[tuple[int, int, int]], runs: list[tuple[int, int]]) -> None:
+            where = np.array(places, np.int64)
             for a, z in runs:
                 out.append(np.column_stack([where[:, :2], where[:, 2] + a, where[:, 2] + z]))
 
         def sort() -> None:
             if not waiting:
                 return
-            for (text, places), flags in zip(waiting, repeated([t for t, _ in waiting])):
-                if sum(map(len, places)) > 1:
+            for (text, (many, places)), flags in zip(waiting, repeated([t for t, _ in waiting])):
+                if many:
                     flags[:] = True
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
                 if len(edges):
@@ -398,13 +440,31 @@ def _repeats(blocks: DataFrame, parts: int) -> DataFrame:
             out.clear()
             for i in range(0, len(found), 100_000):
                 part = found[i : i + 100_000]
-                ids = pa.array(part[:, 1], pa.int64(), mask=part[:, 1] == -1)
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), ids, pa.array(part[:, 2]), pa.array(part[:, 3])], names=["row", "id", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, i]) for i in range(4)], names=["row", "id", "first", "last"])
+
+        for b in batches:
+            for kind, block in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                data = expand.decompress(block)
+                if kind == 1:
+                    out.append(np.frombuffer(data, np.int64).reshape(-1, 4))
+                    yield from rows()
+                    continue
+                (n,) = struct.unpack_from("<Q", data)
+                at = 8 + 48 * n
+                for key, length, many, row, doc, first in np.frombuffer(data, np.int64, 6 * n, 8).reshape(n, 6).tolist():
+                    texts = groups.setdefault(key, {})
+                    text = data[at : at + length]
+                    at += length
+                    if (known := texts.get(text)) is None:
+                        texts[text] = [bool(many), [(row, doc, first)]]
+                    else:
+                        known[0] = True
+                        known[1].append((row, doc, first))
 
         for texts in groups.values():
             if len(texts) == 1:
-                for text, places in texts.items():
-                    if sum(map(len, places)) > 1:
+                for text, (many, places) in texts.items():
+                    if many:
                         emit(places, [(0, len(text) - LENGTH + 1)])
                 continue
             new = sum(map(len, texts))
@@ -428,9 +488,10 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     parts = partitions(spark)
     rows = _rows(docs, id_column, text_column)
     marks = _frequent(_anchor_blocks(rows, parts), parts)
-    marks = marks.groupBy("row").agg(F.collect_list(F.struct("key", "hot")).alias("marks"))
+    marks = marks.groupBy("row").agg(F.collect_set(F.struct("key", "hot")).alias("marks"))
     marks = marks.select("row", F.col("marks.key").alias("keys"), F.col("marks.hot").alias("hot"))
-    marked = rows.join(marks, "row").select("row", "id", "bytes", "keys", "hot")
+    named = F.coalesce("id", F.lit(-(2**63)))  # a null id's own stand-in: what has the same row hash beside differs in text
+    marked = rows.join(marks, "row").select("row", named.alias("id"), "bytes", "keys", "hot")
     repeats = materialise(_repeats(_contexts(marked, parts), parts), "suffix-repeats")
     runs = repeats.groupBy("row", "id").agg(F.collect_set(F.struct("first", "last")).alias("runs")).withColumnsRenamed({"row": "r", "id": "i"})
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))] * keep_text)
@@ -458,5 +519,5 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start:long,end:long>>" * keep_text
-    joined = rows.join(runs, (F.col("row") == F.col("r")) & F.col("id").eqNullSafe(F.col("i")), "left")
+    joined = rows.join(runs, (F.col("row") == F.col("r")) & (named == F.col("i")), "left")
     return joined.select("id", "bytes", "runs").mapInArrow(work, ddl)
