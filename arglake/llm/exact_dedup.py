@@ -1,12 +1,13 @@
 """Exact deduplication through an extendible-hash index kept in shared files.
 
 Keys are 64-bit hashes of the normalised text.  A directory over the leading key bits is doubled until
-no bucket is overfull (or ``PROBE_BITS`` is reached; what is then still overfull is a chain in its
-bucket).  Each owner task holds a contiguous range of buckets, chains the entries of a key, compares
+no bucket holds more distinct keys than its capacity: prefixes that are still overfull are counted with
+more bits.  The capacity grows with the keys, so that there are about BUCKETS buckets at most.  Each owner task holds a contiguous range of buckets, chains the entries of a key, compares
 their bytes and writes its part of the index.
 
 Skew: every task first folds equal texts of its own rows, byte by byte, into one entry, so a text that
-makes up a third of all rows reaches its owner once a task.
+makes up a third of all rows reaches its owner once a task.  Groups so large that there can be only
+HOT_GROUPS of them are broadcast to the rows; other rows meet their group in a join by key.
 
 Edge cases: a null text counts as empty; empty texts are equal to each other; a text of white space
 only equals one space; rows with the same id and the same text form one group, of which one row stays;
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arglake.llm.common import SPACE_PATTERN, partitions, text_or_empty, work_path
+from arglake.llm.common import SPACE_PATTERN, materialise, partitions, text_or_empty, work_path
 
-#: The directory looks at no more than so many leading bits: at most 65,536 entries are on the driver.
-PROBE_BITS = 16
-#: Entries of a bucket before it splits.
-CAPACITY = 4096
+#: Distinct keys of a bucket before it splits, at least; buckets beyond which the capacity grows instead.
+CAPACITY, BUCKETS = 4096, 1 << 14
+#: Bits that are counted beyond the depth of even buckets, and at a time for what is then overfull.
+MORE_BITS = 3
+#: Groups that are broadcast, at most; a group of fewer rows than this never is.
+HOT_GROUPS, HOT_ROWS = 50_000, 10_000
 #: Bytes of distinct texts that a task folds before it passes them on.
 FOLD_BYTES = 48 << 20
 
@@ -40,30 +43,52 @@ def normalised(column: str = "text"):
     return F.regexp_replace(text_or_empty(column), SPACE_PATTERN, " ")
 
 
-def build_directory(counts: dict[int, int], capacity: int = CAPACITY, bits: int = PROBE_BITS) -> tuple[int, list[tuple[int, int]]]:
+def build_directory(counts: dict[tuple[int, int], int], capacity: int = CAPACITY) -> tuple[int, list[tuple[int, int]]]:
     """Split buckets of more than ``capacity`` keys, doubling the directory where it is too shallow.
 
-    ``counts`` has the rows of each ``bits``-bit prefix.  Returns the global depth and, for each of its
-    2**depth entries in order, (bucket, local depth); entries of one bucket are neighbours.
+    ``counts`` has the keys of prefixes (depth, prefix), of which none begins with another.  Returns the
+    global depth and, for each of its 2**depth entries in order, (bucket, local depth); entries of one
+    bucket are neighbours.
     """
-    tree = [dict(counts)]
-    for _ in range(bits):
-        up: dict[int, int] = {}
-        for k, n in tree[-1].items():
-            up[k >> 1] = up.get(k >> 1, 0) + n
-        tree.append(up)
-    tree.reverse()  # tree[d][prefix of d bits] = rows
+    tree: dict[tuple[int, int], int] = {}
+    for (d, k), n in counts.items():
+        while True:
+            tree[d, k] = tree.get((d, k), 0) + n
+            if not d:
+                break
+            d, k = d - 1, k >> 1
     leaves, stack = [], [(0, 0)]
     while stack:
         depth, prefix = stack.pop()
-        if depth < bits and tree[depth].get(prefix, 0) > capacity:
-            stack += [(depth + 1, 2 * prefix + 1), (depth + 1, 2 * prefix)]
+        children = [(depth + 1, 2 * prefix + 1), (depth + 1, 2 * prefix)]
+        if tree.get((depth, prefix), 0) > capacity and any(c in tree for c in children):
+            stack += children
         else:
             leaves.append((depth, prefix))
     depth = max(d for d, _ in leaves)
     return depth, [(b, d) for b, (d, _) in enumerate(leaves) for _ in range(1 << (depth - d))]
 
 
+def _prefix_counts(keys: DataFrame, capacity: int, key_bits: int) -> tuple[dict[tuple[int, int], int], int]:
+    """Distinct keys of prefixes, long enough that none has more than the capacity; and the capacity.  The driver gets a few counts for each bucket."""
+    keys = materialise(keys.select("key").distinct(), "exact-keys")
+    n = keys.count()
+    capacity = max(capacity, -(-n // BUCKETS))
+    bits = min(key_bits, max(1, n // capacity).bit_length() + MORE_BITS)
+
+    def counted(some: DataFrame, bits: int) -> dict[int, int]:
+        return {r[0]: r[1] for r in some.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("p")).count().collect()}
+
+    out = {(bits, k): c for k, c in counted(keys, bits).items()}
+    while bits < key_bits and (over := [k for (d, k), c in out.items() if d == bits and c > capacity]):
+        some = keys.where(F.shiftrightunsigned("key", 64 - bits).isin(over))
+        for k in over:
+            del out[bits, k]
+        bits = min(key_bits, bits + MORE_BITS)
+        out |= {(bits, k): c for k, c in counted(some, bits).items()}
+    return out, capacity
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold rows with equal texts; passes on what it holds whenever that exceeds FOLD_BYTES."""
     held: dict[tuple[int, str], list] = {}
@@ -137,8 +162,7 @@ def build_index(docs: DataFrame, path: str, id_column: str = "doc_id", text_colu
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), normalised(text_column).alias("norm"))
     rows = rows.select("doc", key.alias("key"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "norm")
     rows.select("doc", "key", "sha").write.parquet(f"{path}/keys")
-    prefix = F.shiftrightunsigned("key", 64 - PROBE_BITS).cast("int")
-    counts = {r[0]: r[1] for r in spark.read.parquet(f"{path}/keys").groupBy(prefix.alias("p")).count().collect()}  # at most 2**PROBE_BITS rows
+    counts, capacity = _prefix_counts(spark.read.parquet(f"{path}/keys"), capacity, key_bits)
     depth, directory = build_directory(counts, capacity)
     owners = partitions(spark)
     buckets = directory[-1][0] + 1
@@ -159,7 +183,10 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: st
     path = work_path(spark, "exact-dedup")
     classes = build_index(docs, path, id_column, text_column, capacity, key_bits).select("key", "sha", "keep_id", "group_size", "least_rows")
     keys = spark.read.parquet(f"{path}/keys")
-    out = keys.join(classes, ["key", "sha"])
+    large = F.col("group_size") >= max(HOT_ROWS, keys.count() // HOT_GROUPS)  # so there are at most HOT_GROUPS
+    hot = F.broadcast(classes.where(large))
+    rest = keys.join(hot.select("key", "sha"), ["key", "sha"], "left_anti")
+    out = rest.join(classes.where(~large), ["key", "sha"]).unionByName(keys.join(hot, ["key", "sha"]))
     # Of rows that repeat both id and text one stays; all other rows are alone in their window.
     repeated = (F.col("least_rows") > 1) & F.col("doc").eqNullSafe(F.col("keep_id"))
     salt = F.when(repeated, F.lit(0)).otherwise(F.xxhash64("doc"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -53,11 +54,26 @@ def test_exact_dedup_rows_and_empty(spark):
 
 
 def test_directory_doubles_where_buckets_are_full():
-    counts = {0b0000000000000000: 10, 0b0000000000000001: 10, 0b1000000000000000: 3}
+    counts = {(16, 0): 10, (16, 1): 10, (16, 1 << 15): 3}
     depth, entries = exact_dedup.build_directory(counts, 12)
     assert depth == 16 and len(entries) == 1 << 16
     assert entries[0][0] != entries[1][0] and entries[-1] == entries[1 << 15] and entries[-1][1] == 1
-    assert exact_dedup.build_directory({5: 10**9}, 12)[0] == 16  # equal keys cannot be split: they chain
+    assert exact_dedup.build_directory({(2, 1): 10**9}, 12)[0] == 2  # equal keys cannot be split: they chain
+    assert exact_dedup.build_directory({}, 12) == (0, [(0, 0)])
+
+
+def test_directory_is_counted_as_deep_as_needed_over_distinct_keys(spark):
+    close = [(1 << 40) + (i << 20) for i in range(40)]  # alike in their first 23 bits
+    keys = spark.createDataFrame([(k,) for k in close * 3 + [-(2**62)] * 500], "key long")
+    counts, capacity = exact_dedup._prefix_counts(keys, 8, 64)
+    assert sum(counts.values()) == 41 and max(counts.values()) <= 8 == capacity
+    depth, entries = exact_dedup.build_directory({(d - 20, k & ((1 << (d - 20)) - 1)): n for (d, k), n in counts.items() if d > 20}, 8)
+    assert len(entries) == 1 << depth
+
+
+def test_large_groups_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 20)
+    test_exact_dedup(spark, 64)
 
 
 # --- suffixes ---------------------------------------------------------------------------------------
@@ -97,13 +113,23 @@ def suffix_rows(seed=5):
             t = r.choice(["ab", "a", "zyx"]) * r.randint(50, 400)
         rows.append((i, t))
     long = text(60_000)
-    rows += [(200, rows[3][1]), (201, rows[3][1]), (202, rows[4][1] + "x"), (203, None), (204, ""), (204, ""), (205, rows[7][1]), (205, rows[7][1]), (None, rows[9][1]), (None, rows[10][1]), (300, "\0" * 500), (301, "q\0" * 300), (302, long), (303, long[150_000:152_000])]
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (202, rows[4][1] + "x"), (203, None), (204, ""), (204, ""), (205, rows[7][1]), (205, rows[7][1]), (None, rows[9][1]), (None, rows[10][1]), (-1, rows[11][1]), (300, "\0" * 500), (301, "q\0" * 300), (302, long), (303, long[150_000:152_000])]
     return rows
 
 
+def test_suffix_dedup_of_one_row_many_times(spark):
+    row = " ".join(random.Random(1).choice(["alpha", "beta", "gamma", "delta"]) + str(i) for i in range(600))
+    docs = frame(spark, [(1, row)] * 1500 + [(2, "other " * 100)])
+    begun = time.time()
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert time.time() - begun < 30
+    assert sum(r.n_bytes == r.n_removed == len(row) for r in got) == 1500 and len(got) == 1501
+
+
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_suffix_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_BUFFER", 256 if hot > 3 else 3)
     rows = suffix_rows()
     got = suffix_dedup.remove_repeats(frame(spark, rows))
     assert Counter(tuple(r)[:5] for r in got.collect()) == brute_repeats(rows)
