@@ -122,16 +122,21 @@ def newlines_to_spaces(c) -> Column:
     return F.regexp_replace(col(c), "\n", " ")
 
 
-_YEAR = r"(?:^|[^0-9])[1-3][0-9]{3}(?:[^0-9]|$)"
+def stripped(c) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+
+
+_YEAR = r"[1-3][0-9]{3}"
 
 
 def drop_header(c) -> Column:
-    """Copyright lines and dated running heads of under 50 characters become empty."""
-    t = F.trim(col(c))
+    """Lines of under 50 characters become empty if they begin with a copyright sign, or with ``r...`` or the word
+    ``copyright`` (as written) before a token that holds four digits like a year's."""
+    t = stripped(c)
     tokens = F.split(t, " ")
-    second = F.coalesce(F.get(tokens, 1), F.lit(""))
-    dated = second.rlike(_YEAR)
-    head = t.startswith("©") | (F.substring(t, 1, 1).eqNullSafe("r") & dated) | ((F.lower(F.get(tokens, 0)) == "copyright") & dated)
+    dated = F.coalesce(F.get(tokens, 1), F.lit("")).rlike(_YEAR)
+    head = t.startswith("©") | ((t.startswith("r") | (F.get(tokens, 0) == "copyright")) & dated)
     return F.when((F.length(col(c)) < 50) & head, F.lit("")).otherwise(col(c))
 
 
@@ -151,7 +156,7 @@ def letter_share(c) -> Column:
 
 
 def strip_edge_digits(c) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(col(c)), "^[0-9]+", ""), "[0-9]+$", ""))
+    return stripped(F.regexp_replace(F.regexp_replace(stripped(c), r"(?U)^\d+", ""), r"(?U)\d+$", ""))
 
 
 def remove_cids(c) -> Column:
@@ -173,14 +178,33 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-# Lone accents that conversion leaves behind a letter.
-ACCENTS = ("\u00b4", "`", "\u00a8", "^", "~")
+# Accents that conversion leaves behind a letter, the letters that take each, and the letters they make.
+ACCENTS = {
+    "\u00b4": ("aeiouAEIOU", "áéíóúÁÉÍÓÚ"),
+    "\u00a8": ("aeiouAEIOU", "äëïöüÄËÏÖÜ"),
+    "^": ("aeiouAEIOU", "âêîôûÂÊÎÔÛ"),
+    "`": ("aeiouAEIOU", "àèìòùÀÈÌÒÙ"),
+    "~": ("aonAON", "ãõñÃÕÑ"),
+}
+_COMPOSED = {letter + accent: made for accent, (letters, composed) in ACCENTS.items() for letter, made in zip(letters, composed)}
+_LONE = re.compile("|".join(re.escape(x) for x in _COMPOSED))
+_MARKS = re.compile("[\u0300-\u036f\u00a8\u02c0-\u02df]")
+
+
+def compose_accents(text: str) -> str:
+    """A letter and the accent behind it become one letter; combining marks and spacing modifiers that are left go."""
+    return _MARKS.sub("", _LONE.sub(lambda m: _COMPOSED[m[0]], text))
 
 
-def drop_diacritics(c) -> Column:
-    """Lone accents beside a letter, combining marks and spacing modifiers go."""
-    out = F.regexp_replace(col(c), r"(?<=\p{L})[" + "".join("\\" + a for a in ACCENTS) + "]", "")
-    return F.regexp_replace(out, r"[\x{300}-\x{36f}\x{a8}\x{2c0}-\x{2df}]", "")
+@arrow_function("string")
+def drop_diacritics(texts: pd.Series) -> pd.Series:
+    return texts.map(compose_accents, na_action="ignore")
+
+
+@arrow_function("string")
+def _normalised(texts: pd.Series) -> pd.Series:
+    """``nfkc`` and ``drop_diacritics`` at once."""
+    return texts.map(lambda t: compose_accents(unicodedata.normalize("NFKC", t)), na_action="ignore")
 
 
 def clean_paragraph(c) -> Column:
@@ -191,12 +215,11 @@ def clean_paragraph(c) -> Column:
 
 
 def clean_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", separator: str = "\n\n") -> DataFrame:
-    """(id, text): the cleaned text, paragraphs joined by blank lines; one Arrow function (NFKC) for each document, the rest built in."""
+    """(id, text): the cleaned text, paragraphs joined by blank lines; one Arrow function (NFKC and accents) for each document, the rest built in."""
     paragraphs = F.transform(F.split(dehyphenate(F.coalesce(F.col(text_column), F.lit(""))), separator), lambda p: clean_paragraph(p))
     joined = F.array_join(F.filter(F.transform(paragraphs, lambda p: plain_characters(p)), lambda p: p.isNotNull()), "\n\n")
-    cleaned = docs.select(F.col(id_column), nfkc(joined).alias("text"))
-    final = F.filter(F.transform(F.split(drop_diacritics("text"), "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
-    return cleaned.select(id_column, F.array_join(final, "\n\n").alias("text"))
+    cleaned = docs.select(F.col(id_column), _normalised(joined).alias("text"))
+    return cleaned.select(id_column, F.array_join(F.filter(F.split("text", "\n\n"), lambda p: p != ""), "\n\n").alias("text"))
 
 
 # --- mojibake -------------------------------------------------------------------------------------

@@ -64,7 +64,8 @@ def node_f1(gold: DataFrame, pred: DataFrame, scores: DataFrame, threshold: floa
 
 
 def relation_f1(gold_edges: DataFrame, pred_edges: DataFrame, matches: DataFrame) -> DataFrame:
-    """(map_id, support_f1, attack_f1, macro_f1) over gold edges only; types other than support count as attack.
+    """(map_id, support_f1, attack_f1, macro_f1) over the gold edges whose ends both have a match (0 for a map without
+    one); types other than support count as attack.
 
     Predicted edges are carried to gold ids by ``matches``; of several gold nodes with one match the last takes it.
     """
@@ -74,11 +75,15 @@ def relation_f1(gold_edges: DataFrame, pred_edges: DataFrame, matches: DataFrame
     moved = pred_edges.join(src, ["map_id", "src"]).join(tgt, ["map_id", "tgt"])
     moved = moved.groupBy("map_id", "gsrc", "gtgt").agg(F.min_by(F.col("type") == "support", "pos").alias("predicted"))
     moved = moved.withColumnsRenamed({"gsrc": "src", "gtgt": "tgt"})
+    ends = matches.select("map_id", "gold").distinct()
     both = gold_edges.select("map_id", "src", "tgt", (F.col("type") == "support").alias("support")).join(moved, ["map_id", "src", "tgt"], "left")
+    for end in ("src", "tgt"):
+        both = both.join(ends.select("map_id", F.col("gold").alias(end), F.lit(True).alias(f"has_{end}")), ["map_id", end], "left")
+    counted = F.col("has_src").isNotNull() & F.col("has_tgt").isNotNull()
 
     def f1(own: Column, hit: Column) -> Column:
-        tp = F.sum((own & hit).cast("long"))
-        wrong = F.sum((own != hit).cast("long"))
+        tp = F.sum((counted & own & hit).cast("long"))
+        wrong = F.sum((counted & (own != hit)).cast("long"))
         return F.when(2 * tp + wrong > 0, 2 * tp / (2 * tp + wrong)).otherwise(0.0)
 
     is_support, says_support = F.col("support"), F.coalesce("predicted", F.lit(False))
@@ -156,9 +161,22 @@ def edit_distance(gold: tuple[list, list], pred: tuple[list, list], threshold: f
     return best
 
 
+def edge_kind(type_: str | None) -> str:
+    """Lower case; an unknown or empty type is support."""
+    kind = (type_ or "").strip().lower()
+    return "support" if kind in ("", "unknown") else kind
+
+
 def edit_similarity(nodes: DataFrame, edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(map_id, ged, similarity) from nodes and edges with a column ``side`` ('gold' or 'pred'); of parallel edges the last counts."""
+    """(map_id, ged, similarity) from nodes and edges with a column ``side`` ('gold' or 'pred'); of parallel edges the last counts.
+
+    A node without text has its quote (if ``nodes`` has that column); an end of an edge that is no node becomes one
+    without text, which is like no other; unknown and empty types are support.
+    """
     kind = dict(nodes.dtypes)["map_id"]
+    if "quote" in nodes.columns:
+        nodes = nodes.withColumn("text", F.coalesce(F.nullif("text", F.lit("")), "quote"))
+    edges = edges.where("src is not null and tgt is not null")
     n = nodes.groupBy("map_id").agg(F.collect_list(F.struct("side", "pos", F.col("id").cast("string").alias("id"), "text")).alias("nodes"))
     e = edges.groupBy("map_id", "side", "src", "tgt").agg(F.max_by("type", "pos").alias("type"))
     e = e.groupBy("map_id").agg(F.collect_list(F.struct("side", F.col("src").cast("string").alias("src"), F.col("tgt").cast("string").alias("tgt"), "type")).alias("edges"))
@@ -169,16 +187,20 @@ def edit_similarity(nodes: DataFrame, edges: DataFrame, threshold: float = THRES
             for key, found, rel in zip(f["map_id"], f["nodes"], f["edges"]):
                 graphs = []
                 for side in ("gold", "pred"):
-                    own = sorted((x for x in found if x["side"] == side), key=lambda x: x["pos"])
+                    own = sorted((x for x in (found if found is not None else ()) if x["side"] == side), key=lambda x: x["pos"])
                     number = {x["id"]: i for i, x in enumerate(own)}
-                    links = [] if rel is None else [(number[x["src"]], number[x["tgt"]], x["type"]) for x in rel if x["side"] == side and x["src"] in number and x["tgt"] in number]
-                    graphs.append(([x["text"] or "" for x in own], links))
+                    links = [] if rel is None else sorted((x["src"], x["tgt"], edge_kind(x["type"])) for x in rel if x["side"] == side)
+                    texts = [x["text"] or "" for x in own]
+                    for end in sorted({e for x in links for e in x[:2]} - set(number)):
+                        number[end] = len(texts)
+                        texts.append("")
+                    graphs.append((texts, [(number[x], number[y], k) for x, y, k in links]))
                 ged = edit_distance(*graphs, threshold)
                 most = max(1, sum(len(t) + len(k) for t, k in graphs))
                 rows.append((key, ged, 1 - min(1.0, max(0.0, ged / most))))
             yield pd.DataFrame(rows, columns=["map_id", "ged", "similarity"])
 
-    return n.join(e, "map_id", "left").mapInPandas(work, f"map_id {kind}, ged double, similarity double")
+    return n.join(e, "map_id", "full").mapInPandas(work, f"map_id {kind}, ged double, similarity double")
 
 
 # --- aggregates -----------------------------------------------------------------------------------

@@ -179,8 +179,10 @@ b AS (SELECT map_id, pred, gold FROM m QUALIFY row_number() OVER (PARTITION BY m
 pe AS (SELECT e.* FROM e JOIN k a ON a.map_id = e.map_id AND a.id = e.src JOIN k c ON c.map_id = e.map_id AND c.id = e.tgt),
 mv AS (SELECT pe.map_id, s.gold AS src, t.gold AS tgt, pe.type = 'support' AS p FROM pe JOIN b s ON s.map_id = pe.map_id AND s.pred = pe.src JOIN b t ON t.map_id = pe.map_id AND t.pred = pe.tgt
   QUALIFY row_number() OVER (PARTITION BY pe.map_id, s.gold, t.gold ORDER BY pe.pos) = 1),
-j AS (SELECT e.map_id, e.type = 'support' AS g, mv.p FROM e LEFT JOIN mv ON mv.map_id = e.map_id AND mv.src = e.src AND mv.tgt = e.tgt),
-c AS (SELECT map_id, sum((g AND coalesce(p, false))::INT) AS s_hit, sum((g <> coalesce(p, false))::INT) AS s_off, sum((NOT g AND coalesce(NOT p, false))::INT) AS a_hit, sum((NOT g <> coalesce(NOT p, false))::INT) AS a_off FROM j GROUP BY 1)
+j AS (SELECT e.map_id, e.type = 'support' AS g, mv.p FROM e LEFT JOIN mv ON mv.map_id = e.map_id AND mv.src = e.src AND mv.tgt = e.tgt
+  WHERE (e.map_id, e.src) IN (SELECT map_id, gold FROM m) AND (e.map_id, e.tgt) IN (SELECT map_id, gold FROM m)),
+c AS (SELECT map_id, coalesce(sum((g AND coalesce(p, false))::INT), 0) AS s_hit, coalesce(sum((g <> coalesce(p, false))::INT), 0) AS s_off, coalesce(sum((NOT g AND coalesce(NOT p, false))::INT), 0) AS a_hit, coalesce(sum((NOT g <> coalesce(NOT p, false))::INT), 0) AS a_off
+  FROM (SELECT DISTINCT map_id FROM e) LEFT JOIN j USING (map_id) GROUP BY 1)
 SELECT map_id, round(CASE WHEN 2 * s_hit + s_off > 0 THEN 2.0 * s_hit / (2 * s_hit + s_off) ELSE 0 END, 6) AS support_f1, round(CASE WHEN 2 * a_hit + a_off > 0 THEN 2.0 * a_hit / (2 * a_hit + a_off) ELSE 0 END, 6) AS attack_f1 FROM c
 """)
 def relation_f1(spark, sf_dir):

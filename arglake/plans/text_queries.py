@@ -87,11 +87,8 @@ _LINES = "l AS (SELECT doc_id, (i - 1)::INT AS pos, parts[i] AS line FROM (SELEC
 
 
 @query(rf"""
-WITH {_LINES}, t AS (SELECT *, trim(line) AS t FROM l)
-SELECT doc_id, pos, CASE WHEN length(line) < 50 AND (starts_with(t, '©')
-  OR (t[1] = 'r' AND regexp_matches(coalesce(string_split(t, ' ')[2], ''), '(?:^|[^0-9])[1-3][0-9]{{3}}(?:[^0-9]|$)'))
-  OR (lower(string_split(t, ' ')[1]) = 'copyright' AND regexp_matches(coalesce(string_split(t, ' ')[2], ''), '(?:^|[^0-9])[1-3][0-9]{{3}}(?:[^0-9]|$)')))
-  THEN '' ELSE line END AS line FROM t
+WITH {_LINES}, t AS (SELECT *, trim(line) AS t, regexp_matches(coalesce(string_split(trim(line), ' ')[2], ''), '[1-3][0-9][0-9][0-9]') AS dated FROM l)
+SELECT doc_id, pos, CASE WHEN length(line) < 50 AND (t[1] = '©' OR (dated AND (t[1] = 'r' OR string_split(t, ' ')[1] = 'copyright'))) THEN '' ELSE line END AS line FROM t
 """)
 def clean_stage_header(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "pos", T.drop_header("line").alias("line"))

@@ -33,14 +33,19 @@ def test_cleaning(spark):
     assert one(spark, "(cid:1)(cid:2)", T.cid_share) > 0.1
     assert one(spark, "ab12345678", T.letter_share) == pytest.approx(0.2)
     assert one(spark, "Straße “x” y", T.plain_characters) == 'Strasse "x" y'
-    assert one(spark, "a^ é", T.drop_diacritics) == "a e"
+    assert one(spark, "a^ e\u0301", T.drop_diacritics) == "â e"
+    assert one(spark, "e` a^ n~ x^2 b~c O\u00b4 U\u00a8 z\u00a8", T.drop_diacritics) == "è â ñ x^2 b~c Ó Ü z"
+    for kept in ("Copyright 2004 x", "r text 1999", "copyright x 2004", "a 2004", "©" + "x" * 50):
+        assert one(spark, kept, T.drop_header) == kept
+    for gone in ("copyright 12004 x", "  © me", "r2d2 x1999y z", "run 2004"):
+        assert one(spark, gone, T.drop_header) == ""
     assert one(spark, "ﬁx", lambda c: T.nfkc(F.col(c))) == "fix"
 
 
 def test_clean_documents(spark):
-    text = "Proper para-\ngraph of text here.\n\n© 2010 Someone\n\n1234567890 a\n\n(cid:1)(cid:2)(cid:3)\n\n\n\n12 Another ﬁne paragraph 7"
+    text = "Proper para-\ngraph of text here.\n\n© 2010 Someone\n\n1234567890 a\n\n(cid:1)(cid:2)(cid:3)\n\n\n\n12 Another ﬁne paragraph 7\n\n3 (cid:9) voila` un pin~on with a long enough tail of letters and a few more words behind"
     got = {r.doc_id: r.text for r in T.clean_documents(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()}
-    assert got == {1: "Proper para graph of text here.\n\nAnother fine paragraph" if "para graph" in got[1] else "Proper paragraph of text here.\n\nAnother fine paragraph", 2: "", 3: ""}
+    assert got == {1: "Proper paragraph of text here.\n\nAnother fine paragraph\n\n voilà un piñon with a long enough tail of letters and a few more words behind", 2: "", 3: ""}
 
 
 def lcs(a, b):

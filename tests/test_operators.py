@@ -106,6 +106,27 @@ def test_disjoint_and_greedy(spark):
     assert none.f1 == 0
 
 
+def test_relations_with_an_unmatched_end_do_not_count(spark):
+    g = spark.createDataFrame([("m", 0, "a", "first claim"), ("m", 1, "b", "other premise"), ("m", 2, "c", "zzz qqq"), ("k", 0, "a", "lonely"), ("k", 1, "b", "alone")], NODES)
+    e = spark.createDataFrame([("m", 0, "b", "a", "support"), ("m", 1, "c", "a", "attack"), ("k", 0, "b", "a", "support")], EDGES)
+    p = g.where("id <> 'c' and map_id = 'm'")
+    pe = e.where("src = 'b' and map_id = 'm'")
+    got = {r.map_id: r for r in metrics.relation_f1(e, pe, metrics.best_matches(metrics.similarities(g, p, 0.7))).collect()}
+    assert (got["m"].support_f1, got["m"].attack_f1, got["m"].macro_f1) == (1, 0, 0.5)
+    assert (got["k"].support_f1, got["k"].attack_f1) == (0, 0)
+
+
+def test_edit_similarity_of_unknown_types_dangling_ends_and_quotes(spark):
+    sided = "map_id string, pos int, id string, text string, quote string, side string"
+    rows = [("m", 0, "a", "first claim", None, "gold"), ("m", 1, "b", None, "quoted words", "gold"), ("m", 0, "x", "first claim", None, "pred"), ("m", 1, "y", "", "quoted words", "pred")]
+    edges = lambda *x: spark.createDataFrame(x, EDGES + ", side string")
+    n = spark.createDataFrame(rows, sided)
+    same = metrics.edit_similarity(n, edges(("m", 0, "b", "a", "unknown", "gold"), ("m", 0, "y", "x", "Support", "pred"))).first()
+    assert (same.ged, same.similarity) == (0, 1)
+    loose = metrics.edit_similarity(n, edges(("m", 0, "b", "a", "support", "gold"), ("m", 0, "y", "x", None, "pred"), ("m", 1, "ghost", "x", "attack", "pred"))).first()
+    assert loose.ged == 2 and abs(loose.similarity - (1 - 2 / 8)) < 1e-9  # a node and an edge more
+
+
 def test_edit_distance():
     a = (["one thing", "another thing", "third"], [(1, 0, "support"), (2, 0, "attack")])
     assert metrics.edit_distance(a, a) == 0
