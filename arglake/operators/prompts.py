@@ -63,6 +63,66 @@ def prompt_table(spark: SparkSession, configurations: list[dict]) -> DataFrame:
     return spark.createDataFrame([(c["shot_type"], c["variation"], c["user_file"], c["system"], c["user"]) for c in configurations], "shot_type string, variation string, user_file string, system string, user string").orderBy("variation", "user_file")
 
 
+PROMPT = "shot_type string, variation string, system_file string, user_file string, system string, user string, steps array<struct<step:int,system:string,user:string>>"
+
+
+def _prompt_files(spark: SparkSession, folder: str) -> tuple[str, list[tuple[str, str]], list[tuple[str, str]]]:
+    """The folder's name and its (file, text) of system and of user prompts, by name: a few small files."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.option("pathGlobFilter", "{system,user}_prompt*.txt").text(folder, wholetext=True).select(F.substring_index("_metadata.file_path", "/", -1).alias("name"), "value").collect()
+    except AnalysisException as missing:
+        raise FileNotFoundError(folder) from missing
+    found = sorted((r["name"], r["value"]) for r in rows)
+    system, user = ([x for x in found if x[0].startswith(p)] for p in ("system_prompt", "user_prompt"))
+    return folder.rstrip("/").split("/")[-1], system, user
+
+
+def load_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompt configurations of a shot type's folder: each system prompt with each user prompt, or the user prompts alone
+    (variation 'default'), by variation and user file.  ValueError without a user prompt."""
+    shot, systems, users = _prompt_files(spark, folder)
+    if not users:
+        raise ValueError(f"no user prompt in {folder}")
+    pairs = [(n[:-4].replace("system_prompt_", "zs"), n, t) for n, t in systems] or [("default", None, None)]
+    rows = [(shot, variation, name, user, system, text, None) for variation, name, system in pairs for user, text in users]
+    return spark.createDataFrame(sorted(rows, key=lambda r: (r[1], r[3])), PROMPT)
+
+
+def load_stepwise(spark: SparkSession, folder: str) -> DataFrame:
+    """One configuration of a folder of stepwise prompts, by its name: ``all_in_one`` (the first system prompt with
+    ``user_prompt`` or ``..._1``), ``system_stepwise`` (the n-th system with the n-th user prompt) or ``user_stepwise``
+    (one system prompt, a user prompt a step).  ValueError if files are missing or the name is another."""
+    name, systems, users = _prompt_files(spark, folder)
+    kind = next((k for k in ("all_in_one", "system_stepwise", "user_stepwise") if k in name.lower()), None)
+    if kind is None:
+        raise ValueError(f"{folder} is no folder of stepwise prompts")
+    if kind == "all_in_one":
+        users = [u for u in users if u[0][:-4] == "user_prompt" or u[0][:-4].endswith("_1")]
+    if not systems or not users:
+        raise ValueError(f"prompts are missing in {folder}")
+    if kind == "all_in_one":
+        row = (name, "default", systems[0][0], users[0][0], systems[0][1], users[0][1], None)
+    else:
+        pairs = zip(systems, users) if kind == "system_stepwise" else ((systems[0], u) for u in users)
+        steps = [(i, s[1], u[1]) for i, (s, u) in enumerate(pairs, 1)]
+        row = (name, "default", None if kind == "system_stepwise" else systems[0][0], None, None, None, steps)
+    return spark.createDataFrame([row], PROMPT)
+
+
+def template_set(templates: dict[str, str], files: dict[str, str], steps: dict[int, str] | None = None, zero_shot: list[str] | None = None) -> list[dict]:
+    """Prompt configurations of a set of templates (name: text): parsed, references substituted, expanded to variations.
+    A template that is empty or has no prompt is left out; stepwise sets are expanded without zero-shot systems."""
+    out = []
+    for name, text in templates.items():
+        parsed = {k: [substitute(t, files, steps) for t in found] for k, found in parse_template(text or "").items()}
+        if any(parsed.values()):
+            plain = zero_shot is None
+            out += [{**v, "shot_type": name} for v in variations(parsed, "zero-shot" if plain else name, zero_shot or [])]
+    return out
+
+
 def render(template, text) -> Column:
     return F.replace(template, F.lit(PLACEHOLDER), text)
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from arglake.session import arrow_function
 
@@ -107,10 +110,91 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_
     return out.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+class VectorIndex:
+    """Vectors in a Parquet folder that grows by additions; a vector that is added again replaces the earlier one."""
+
+    def __init__(self, spark, path: str, id_column: str = "vec_id", column: str = "embedding"):
+        self.spark, self.path, self.id_column, self.column = spark, path, id_column, column
+
+    def add(self, vectors: DataFrame) -> None:
+        """Append; the additions are told apart by the time at which they were made."""
+        stamped = vectors.select(self.id_column, self.column).withColumn("added", F.lit(time.time_ns()))
+        stamped.write.mode("append").parquet(self.path)
+
+    def vectors(self) -> DataFrame:
+        rows = self.spark.read.parquet(self.path)
+        return rows.groupBy(self.id_column).agg(F.max_by(self.column, "added").alias(self.column))
+
+    def search(self, queries: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
+        return top_k(self.vectors(), queries, k, self.id_column, query_id, self.column)
+
+
+#: Characters of quotes that one pass holds.
+QUOTES = 50_000_000
+
+
+def contained(quotes: DataFrame, docs: DataFrame, quote_id: str, doc_id: str, quote: str = "quote", text: str = "text", most: int = QUOTES) -> DataFrame:
+    """(quote_id, doc_id) of every quote that a text holds, once each; null quotes and texts are in nothing, an empty quote is in every text.
+
+    The stated quotes are matched together, by an Aho-Corasick automaton in every task; quotes of more than ``most``
+    characters in all are dealt over several passes, so what is broadcast is bounded.
+    """
+    kinds = quotes.schema[quote_id].dataType, docs.schema[doc_id].dataType
+    context = docs.sparkSession.sparkContext
+
+    def search(held: list) -> DataFrame:
+        by_text: dict[str, list] = {}
+        for i, q in held:
+            by_text.setdefault(q, []).append(i)
+        known = context.broadcast(by_text)
+
+        def work(batches):
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for q in known.value:
+                if q:
+                    machine.add_word(q, q)
+            machine.make_automaton()
+            for b in batches:
+                out = []
+                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if t is not None:
+                        found = {q for _, q in machine.iter(t)} if len(machine) else set()
+                        out += [(i, doc) for q in found | ({""} & known.value.keys()) for i in known.value[q]]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], schema.field(0).type), pa.array([x[1] for x in out], schema.field(1).type)], schema=schema)
+
+        schema = to_arrow_schema(StructType().add("quote_id", kinds[0]).add("doc_id", kinds[1]))
+        return docs.select(doc_id, text).mapInArrow(work, f"quote_id {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}")
+
+    out, held, size = None, [], 0
+    for r in quotes.where(F.col(quote).isNotNull()).select(quote_id, quote).toLocalIterator():
+        held.append((r[0], r[1]))
+        size += len(r[1])
+        if size > most:
+            out = search(held) if out is None else out.unionByName(search(held))
+            held, size = [], 0
+    if held or out is None:
+        out = search(held) if out is None else out.unionByName(search(held))
+    return out
+
+
 def centroid(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """One row with the mean vector."""
-    flat = vectors.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return flat.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("centroid"))
+    """One row with the mean vector (none without vectors): every task adds its vectors up, and passes on one row."""
+
+    def work(batches):
+        n, total = 0, None
+        for b in batches:
+            x = b.column(0).drop_null()
+            if len(x):
+                rows = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+                n, total = n + len(rows), rows.sum(axis=0) + (0 if total is None else total)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["n", "total"])
+
+    sums = vectors.select(column).mapInArrow(work, "n long, total array<double>")
+    places = sums.select("n", F.posexplode("total").alias("i", "x")).groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
+    return places.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("centroid")).where(F.size("centroid") > 0)
 
 
 def centroid_ranking(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:

@@ -64,6 +64,14 @@ def status_counts(results: DataFrame, status: str = "status") -> DataFrame:
     return results.groupBy(status).agg(F.count("*").alias("n"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with their keys."""
+def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key: the last by ``order``."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*(f"`{c}`" for c in rest)), order).alias("_r")).select(*(F.col(f"_r.`{c}`").alias(c) if c != key else F.col(key) for c in rows.columns))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those with their keys.  With ``order``, the last row of a key that ``new`` repeats wins."""
+    if order:
+        new = last_of_each(new, key, order)
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

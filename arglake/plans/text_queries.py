@@ -132,12 +132,10 @@ d AS (SELECT doc_id, lower(regexp_replace(text, '\s+', '', 'g')) AS bare FROM do
 SELECT item_id, count(doc_id) AS n_docs, min(doc_id) AS first_doc FROM b LEFT JOIN d ON contains(d.bare, b.bare) GROUP BY item_id
 """)
 def quote_in_source(spark, sf_dir):
-    """Where the quotes of a stated set (the benchmark items) are found: the set is one small array, held against every document."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_replace("text", r"\s+", "")).alias("q"))
-    quotes = items.agg(F.collect_list(F.struct("item_id", "q")).alias("quotes"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.regexp_replace("text", r"\s+", "")).alias("bare"))
-    found = docs.join(F.broadcast(quotes)).select("doc_id", F.explode(F.filter("quotes", lambda x: F.contains(F.col("bare"), x.q))).alias("x"))  # one row
-    hits = found.groupBy("x.item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    """Where the quotes of a stated set (the benchmark items) are found: they are matched together against every document."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_replace("text", r"\s+", "")).alias("quote"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.regexp_replace("text", r"\s+", "")).alias("text"))
+    hits = retrieval.contained(items, docs, "item_id", "doc_id").groupBy(F.col("quote_id").alias("item_id")).agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "first_doc")
 
 

@@ -109,7 +109,12 @@ OUTPUT = "id string, text string, prompt_info struct<strategy:string,shot_type:s
 
 def generations(spark: SparkSession, folder: str) -> DataFrame:
     """(id, text, prompt_info) of files that are a list of outputs, an object with ``outputs``, or one output."""
-    rows = json_files(spark, folder).select("path", F.trim("value").alias("v"))
+    return generations_of(json_files(spark, folder))
+
+
+def generations_of(files: DataFrame) -> DataFrame:
+    """``generations`` of whole files (value)."""
+    rows = files.select(F.trim("value").alias("v"))
     one = "struct<" + ",".join(f"{a}:{b}" for a, b in (x.strip().split(" ", 1) for x in OUTPUT.split(", "))) + ">"
     many = F.when(F.startswith("v", F.lit("[")), F.from_json("v", f"array<{one}>")).otherwise(F.coalesce(F.from_json("v", f"struct<outputs:array<{one}>>")["outputs"], F.array(F.from_json("v", one))))
     return rows.select(F.explode(many).alias("o")).select("o.*").where("id is not null or text is not null")
