@@ -81,12 +81,18 @@ def default_prompt(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", prompts.default_prompt(F.col("text")).alias("prompt"))
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT item_id, variation, system, replace(u, '<paper text inserted here>', text) AS user FROM benchmark, {_PROMPT_SQL} WHERE text IS NOT NULL)
+SELECT item_id, variation, length(system) || ':' || length(user) AS text, len(regexp_extract_all(user, '\\S+'))::BIGINT AS tokens, NULL::VARCHAR AS error FROM p
+""")
 def generate_outputs(spark, sf_dir):
     return inference.generate(prompts.prompt_papers(_prompts(spark), table(spark, sf_dir, "benchmark"))).select("item_id", "variation", "text", "tokens", "error")
 
 
-@query()
+@query("""
+WITH f AS (SELECT item_id, '3:' || length(coalesce(text, '')) AS one FROM benchmark)
+SELECT item_id, '3:' || (6 + length(one)) AS text, [one, '3:' || (6 + length(one))] AS trace FROM f
+""")
 def generate_stepwise(spark, sf_dir):
     steps = F.array(F.struct(F.lit("one").alias("system"), F.col("text").alias("user")), F.struct(F.lit("two").alias("system"), F.lit("Given <step 1 output>").alias("user")))
     return inference.run_steps(table(spark, sf_dir, "benchmark").select("item_id", steps.alias("steps"))).select("item_id", "text", "trace")
