@@ -1,11 +1,15 @@
 """Main text of web pages by minimum cut.
 
-A page becomes a row of blocks: the runs of text between block-level tags.  A linear classifier gives each
-block the log odds of being content from its tags, class names, links, length and punctuation; they are
-the capacities from the source (content) or to the sink (boilerplate).  Neighbouring blocks, and the
-nearest blocks of one parent, are joined by edges that are the heavier the nearer the two are in the DOM.
-The minimum cut, found by maximum flow, labels the blocks with the least sum of classifier costs and of
-cut edges.
+A page becomes a row of blocks: the runs of text between block-level tags.  A linear classifier (word lists
+and weights that are set by hand) gives each block the log odds of being content from its tags, class names,
+links, length and punctuation; they are the capacities from the source (content) or to the sink
+(boilerplate).  Neighbouring blocks, and the nearest blocks of one parent, are joined by edges that are the
+heavier the nearer the two are in the DOM and the more alike their shares of links.  The minimum cut, found
+by maximum flow, labels the blocks with the least sum of classifier costs and of cut edges.
+
+Time is about linear in the page: open elements are indexed by tag, blocks know their place by parent
+pointers, blocks whose odds outweigh all their edges are labelled beforehand (they have that label in every
+minimum cut), and flow is sent through what is left, one connected part at a time.
 
 Inside a block character references are decoded and white space becomes one space; the blocks that are
 content are joined by line feeds in page order.
@@ -46,10 +50,38 @@ _STOPS = re.compile(r"[.!?…。！？:;,]")
 
 
 class Block:
-    __slots__ = ("chars", "evidence", "in_link", "parent", "path", "tag", "text")
+    """A run of text: its element among the block-level ones (``node`` of ``Tree``), the evidence of the elements that it is
+    in as a chain (odds, outer ones), innermost first, and the share of its characters that are in links."""
+
+    __slots__ = ("evidence", "in_link", "node", "tag", "text")
+
+    def __init__(self, text, tag, node, evidence, in_link):
+        self.text, self.tag, self.node, self.evidence, self.in_link = text, tag, node, evidence, in_link
+
+
+class Tree:
+    """Parents and depths of the block-level elements; 0 is the page."""
 
-    def __init__(self, text, tag, path, evidence, in_link):
-        self.text, self.tag, self.path, self.evidence, self.in_link = text, tag, path, evidence, in_link
+    def __init__(self):
+        self.parent, self.depth = [0], [0]
+
+    def add(self, parent: int) -> int:
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        return len(self.parent) - 1
+
+    def distance(self, a: int, b: int) -> int:
+        n = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a = self.parent[a]
+            n += 1
+        return n
+
+    def home(self, b: Block) -> int:
+        """The element that holds a block: its own one, or the one around a paragraph, a heading, an item."""
+        return self.parent[b.node] if b.tag in _LEAVES else b.node
 
 
 def _odds_of(tag: str, attributes: str, inside_article: bool) -> float:
@@ -70,22 +102,29 @@ def _odds_of(tag: str, attributes: str, inside_article: bool) -> float:
     return max(-8.0, min(8.0, odds))
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order."""
+_BARRIERS = frozenset(["table", "article", "main", "body"])
+
+
+def blocks(page: str) -> tuple[list[Block], Tree]:
+    """The text blocks of a page in order, and the tree of its elements."""
     out: list[Block] = []
-    # an open element: tag, number, odds, silent, article, link
-    stack: list[tuple[str, int, float, bool, bool, bool]] = []
+    tree = Tree()
+    # an open element: tag, node of the block-level element that it is or is in, evidence, silent, article, link
+    stack: list[tuple[str, int, tuple | None, bool, bool, bool]] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each tag
+    block_places: list[int] = []
+    barriers: list[int] = []
     parts: list[str] = []
     linked = 0
-    serial = 0
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join(html_module.unescape("".join(parts)).split())
             if text:
-                owner = [e for e in stack if e[0] in BLOCK_TAGS]
-                out.append(Block(text, owner[-1][0] if owner else "", tuple(e[1] for e in owner), [e[2] for e in stack if e[2]], min(1.0, linked / len(text))))
+                tag = stack[block_places[-1]][0] if block_places else ""
+                node, evidence = (stack[-1][1], stack[-1][2]) if stack else (0, None)
+                out.append(Block(text, tag, node, evidence, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
@@ -97,9 +136,14 @@ def blocks(page: str) -> list[Block]:
                 linked += len(text.strip())
 
     def close_to(i):
-        if any(e[0] in BLOCK_TAGS for e in stack[i:]):
+        if block_places and block_places[-1] >= i:
             flush()
-        del stack[i:]
+        while len(stack) > i:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            for found in (block_places, barriers):
+                if found and found[-1] == len(stack):
+                    found.pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -114,15 +158,12 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
+            if places.get(tag):
+                i = places[tag][-1]
+                if tag in BLOCK_TAGS or not barriers or barriers[-1] <= i:  # an inline end tag does not leave these
                     close_to(i)
-                    break
-                if stack[i][0] in ("table", "article", "main", "body") and tag not in BLOCK_TAGS:
-                    break
-            else:
-                if tag == "p":
-                    flush()
+            elif tag == "p":
+                flush()
             continue
         if tag in VOID_TAGS:
             if tag == "hr":
@@ -131,20 +172,21 @@ def blocks(page: str) -> list[Block]:
                 add(" ")
             continue
         if tag in BLOCK_TAGS:
-            for i in range(len(stack) - 1, -1, -1):
-                open_tag = stack[i][0]
-                if open_tag in CLOSED_BY and tag in CLOSED_BY[open_tag]:
-                    close_to(i)
-                    break
-                if open_tag in BLOCK_TAGS and open_tag not in ("p",) or open_tag == "table":
-                    break
+            if block_places and tag in CLOSED_BY.get(stack[block_places[-1]][0], ()):
+                close_to(block_places[-1])
             flush()
         attributes = m[3] or ""
         if attributes.endswith("/") and tag not in BLOCK_TAGS:
             continue
-        above = stack[-1] if stack else ("", 0, 0.0, False, False, False)
-        serial += 1
-        stack.append((tag, serial, _odds_of(tag, attributes, above[4]), above[3] or tag in SILENT_TAGS, above[4] or tag in ("article", "main"), above[5] or tag == "a"))
+        above = stack[-1] if stack else ("", 0, None, False, False, False)
+        own = _odds_of(tag, attributes, above[4])
+        node = tree.add(above[1]) if tag in BLOCK_TAGS else above[1]
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK_TAGS:
+            block_places.append(len(stack))
+        if tag in _BARRIERS:
+            barriers.append(len(stack))
+        stack.append((tag, node, (own, above[2]) if own else above[2], above[3] or tag in SILENT_TAGS, above[4] or tag in ("article", "main"), above[5] or tag == "a"))
         if tag in _RAW_END:
             e = _RAW_END[tag].search(page, at)
             if tag not in SILENT_TAGS and not stack[-1][3]:
@@ -152,17 +194,16 @@ def blocks(page: str) -> list[Block]:
             at = e.end() if e else n
             close_to(len(stack) - 1)
     flush()
-    return out
+    return out, tree
 
 
 def log_odds(b: Block) -> float:
     """The classifier: log odds of content."""
-    odds, weight = 0.0, 1.0
-    for e in reversed(b.evidence):  # the innermost evidence first
-        odds += weight * e
+    odds, weight, chain = 0.0, 1.0, b.evidence
+    while chain and abs(odds) < 6 and weight > 1e-6:  # the innermost evidence first
+        odds += weight * chain[0]
         weight *= 0.5
-        if abs(odds) >= 6:
-            break
+        chain = chain[1]
     n = b.text.count(" ") + 1
     odds += -0.8 + min(n, 40) / 20 + (0.5 if n >= 4 and _STOPS.search(b.text) else 0.0) - 4.0 * b.in_link
     if b.tag in ("p", "pre", "blockquote"):
@@ -176,82 +217,119 @@ def log_odds(b: Block) -> float:
     return max(-9.0, min(9.0, odds))
 
 
-def _nearness(a: Block, b: Block) -> float:
-    """Weight of an edge: PAIR for blocks of one parent, less for each element between them."""
-    x, y = a.path[:-1] if a.tag in _LEAVES else a.path, b.path[:-1] if b.tag in _LEAVES else b.path
-    common = 0
-    for p, q in zip(x, y):
-        if p != q:
-            break
-        common += 1
-    return PAIR / (1 + len(x) + len(y) - 2 * common)
-
-
 _LEAVES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre blockquote td th figcaption address".split())
 
 
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels of the minimum cut: True on the source's side.
 
-    ``odds[i]`` > 0 is a capacity from the source, < 0 one to the sink; ``edges`` are undirected.  Flow is augmented along
-    shortest paths until none is left; then what the source still reaches is on its side.
+    ``odds[i]`` > 0 is a capacity from the source, < 0 one to the sink; ``edges`` are undirected.  A node whose capacity
+    exceeds those of all its edges is on its terminal's side in every minimum cut: it is merged with the terminal, so
+    that its edges add to its neighbours' capacities, which may decide these in turn.
     """
     n = len(odds)
-    residual: list[dict[int, float]] = [{} for _ in range(n)]
+    odds = list(odds)
+    near: list[dict[int, float]] = [{} for _ in range(n)]
     for i, j, w in edges:
-        if w > 0:
-            residual[i][j] = residual[i].get(j, 0.0) + w
-            residual[j][i] = residual[j].get(i, 0.0) + w
-    supply = [max(0.0, o) for o in odds]
-    demand = [max(0.0, -o) for o in odds]
+        if w > 0 and i != j:
+            near[i][j] = near[i].get(j, 0.0) + w
+            near[j][i] = near[j].get(i, 0.0) + w
+    label: list[bool | None] = [None] * n
+    waiting = list(range(n))
+    while waiting:
+        i = waiting.pop()
+        if label[i] is None and abs(odds[i]) > sum(near[i].values()) + 1e-9:
+            label[i] = odds[i] > 0
+            for j, w in near[i].items():
+                odds[j] += w if label[i] else -w
+                del near[j][i]
+                waiting.append(j)
+            near[i] = {}
+    for i in range(n):
+        if label[i] is None:
+            part, at = [i], 0
+            label[i] = False
+            while at < len(part):
+                for j in near[part[at]]:
+                    if label[j] is None:
+                        label[j] = False
+                        part.append(j)
+                at += 1
+            for j in _source_side(part, odds, near):
+                label[j] = True
+    return label
+
+
+def _source_side(part: list[int], odds: list[float], residual: list[dict[int, float]]) -> list[int]:
+    """What the source still reaches in a connected part once no more flow can be sent; ``residual`` is used up.
+
+    Flow is sent in phases: a breadth-first search gives all nodes their distance from the source, then paths that go
+    one step farther at each node are filled until none is left.
+    """
+    supply = {i: max(0.0, odds[i]) for i in part}
+    demand = {i: max(0.0, -odds[i]) for i in part}
     tiny = 1e-12
     while True:
-        came = {i: -1 for i in range(n) if supply[i] > tiny}
-        queue, sink = deque(came), -1
+        level = {i: 0 for i in part if supply[i] > tiny}
+        queue, reached = deque(level), False
         while queue:
             i = queue.popleft()
-            if demand[i] > tiny:
-                sink = i
-                break
+            reached = reached or demand[i] > tiny
             for j, w in residual[i].items():
-                if w > tiny and j not in came:
-                    came[j] = i
+                if w > tiny and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if sink < 0:
-            return [i in came for i in range(n)]
-        path, i = [sink], sink
-        while came[i] >= 0:
-            i = came[i]
-            path.append(i)
-        flow = min(supply[i], demand[sink])
-        for j, i2 in zip(path, path[1:]):
-            flow = min(flow, residual[i2][j])
-        supply[i] -= flow
-        demand[sink] -= flow
-        for j, i2 in zip(path, path[1:]):
-            residual[i2][j] -= flow
-            residual[j][i2] = residual[j].get(i2, 0.0) + flow
-
-
-def edges_of(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges between neighbours, and between a block and the last one before its neighbour that has the same parent."""
+        if not reached:
+            return list(level)
+        left = {i: list(residual[i]) for i in level}  # neighbours that a path may still go to
+        for s in [i for i in level if level[i] == 0]:
+            path = [s]
+            while path and supply[s] > tiny:
+                i = path[-1]
+                if demand[i] > tiny:
+                    flow = min(supply[s], demand[i], *(residual[x][y] for x, y in zip(path, path[1:])))
+                    supply[s] -= flow
+                    demand[i] -= flow
+                    full = len(path) - 1
+                    for k in range(len(path) - 2, -1, -1):
+                        x, y = path[k], path[k + 1]
+                        residual[x][y] -= flow
+                        residual[y][x] += flow
+                        if residual[x][y] <= tiny:
+                            full = k
+                    del path[full + 1 :]  # back to where the path is filled
+                    continue
+                while left[i] and not (level[left[i][-1]] == level[i] + 1 and residual[i][left[i][-1]] > tiny if left[i][-1] in level else False):
+                    left[i].pop()
+                if left[i]:
+                    path.append(left[i][-1])
+                else:
+                    path.pop()
+                    if path:
+                        left[path[-1]].pop()
+
+
+def edges_of(found: list[Block], tree: Tree) -> list[tuple[int, int, float]]:
+    """Edges between neighbours (PAIR for blocks of one parent, less for each element between them), and between a block
+    and the last one before its neighbour that has the same parent; the lighter, the less alike their shares of links."""
     edges, last = [], {}
+    homes = [tree.home(b) for b in found]
     for i, b in enumerate(found):
-        parent = b.path[:-1] if b.tag in _LEAVES else b.path
+        alike = lambda j: 1 - abs(found[j].in_link - b.in_link)  # noqa: B023, E731
         if i:
-            edges.append((i - 1, i, _nearness(found[i - 1], b)))
-        j = last.get(parent)
+            edges.append((i - 1, i, PAIR * alike(i - 1) / (1 + tree.distance(homes[i - 1], homes[i]))))
+        j = last.get(homes[i])
         if j is not None and j < i - 1:
-            edges.append((j, i, PAIR / 2))
-        last[parent] = i
+            edges.append((j, i, PAIR / 2 * alike(j)))
+        last[homes[i]] = i
     return edges
 
 
 def main_text(page: str) -> str:
-    found = blocks(page)
+    found, tree = blocks(page)
     if not found:
         return ""
-    labels = minimum_cut([log_odds(b) for b in found], edges_of(found))
+    labels = minimum_cut([log_odds(b) for b in found], edges_of(found, tree))
     return "\n".join(b.text for b, content in zip(found, labels) if content)
 
 

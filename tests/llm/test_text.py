@@ -1,4 +1,5 @@
 import itertools
+import time
 import math
 import random
 import re
@@ -54,6 +55,33 @@ def test_extract(spark):
     assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_extraction_equals_brute_force_over_all_labellings(spark):
+    """Of all labellings of a page's blocks the cheapest gives the text (of equals, the one with the least content)."""
+    r = random.Random(6)
+    kinds = ['<p>{}</p>', '<li><a href="x">{}</a></li>', '<div class="sidebar">{}</div>', "<h2>{}</h2>", "<div>{}</div>", "<footer>{}</footer>", '<article class="post"><p>{}</p></article>']
+    for _ in range(60):
+        page = "<body>" + "".join(r.choice(kinds).format(" ".join("word" for _ in range(r.randint(1, 25)))) for _ in range(r.randint(1, 9)))
+        found, tree = main_text.blocks(page)
+        odds, edges = [main_text.log_odds(b) for b in found], main_text.edges_of(found, tree)
+
+        def cost(content, odds=odds, edges=edges):
+            return sum(max(0, o) if not c else max(0, -o) for o, c in zip(odds, content)) + sum(w for i, j, w in edges if content[i] != content[j])
+
+        best = min(itertools.product([False, True], repeat=len(found)), key=lambda c: (round(cost(c), 9), sum(c)))
+        assert main_text.main_text(page) == "\n".join(b.text for b, c in zip(found, best) if c)
+
+
+def test_large_and_mixed_pages_take_seconds():
+    begun = time.time()
+    mixed = "<body>" + "".join(f"<p>A sentence with some words, number {i}.</p><li><a href=x>link {i}</a></li>" for i in range(25_000))
+    assert main_text.main_text(mixed).count("\n") == 24_999
+    deep = "<div class='x'>word " * 50_000
+    assert isinstance(main_text.main_text(deep), str)
+    assert main_text.main_text("<div>" * 50_000 + "<article><p>A sentence, as long as it needs to be, is here.</p></article>" + "</span>" * 50_000) == "A sentence, as long as it needs to be, is here."
+    assert main_text.main_text("<b>" * 50_000 + "<div>a b</div>" * 20_000) == ""
+    assert time.time() - begun < 20
+
+
 # --- toxicity ---------------------------------------------------------------------------------------
 
 
