@@ -31,7 +31,8 @@ BUCKETS = 8192
 MAX_LABELLED = 20_000
 #: Pseudo-counts of the classifier, in all buckets of a domain together.
 SMOOTHING = 500.0
-ITERATIONS, TOLERANCE = 60, 1e-9
+#: Iterations stop where the totals are met, or change no more, both as a share of all tokens; or after so many.
+ITERATIONS, TOLERANCE, STILL = 200, 1e-9, 1e-10
 #: Iterations after which the rates are written out, to keep expressions short.
 WRITE_EVERY = 6
 
@@ -96,7 +97,8 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def fit_rates(table: DataFrame, domains: list[str], targets: list[float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float]]:
-    """``table`` (row, doc_id, n_tokens, p_i) with a column ``rate``; and the expected totals at these rates.
+    """``table`` (row, doc_id, n_tokens, p_i) with a column ``rate``; and the expected totals at these rates, which miss
+    targets that no nonnegative rates reach.
 
     ``targets`` are token totals, one for each domain.
     """
@@ -108,12 +110,14 @@ def fit_rates(table: DataFrame, domains: list[str], targets: list[float], iterat
     for (i, j), x in zip(pairs, got):
         matrix[i][j] = matrix[j][i] = x
     current, rate = table, F.lit(1.0)
-    total = max(sum(targets), 1.0)
+    total, before = max(sum(targets), 1.0), None
     for step in range(iterations + 1):
         totals = list(current.agg(*(F.coalesce(F.sum(rate * n * p[i]), F.lit(0.0)) for i in k)).first())
         off = [a - b for a, b in zip(totals, targets)]
-        if max(map(abs, off)) <= tolerance * total or step == iterations:
+        still = before is not None and max(abs(a - b) for a, b in zip(totals, before)) <= STILL * total
+        if max(map(abs, off)) <= tolerance * total or still or step == iterations:
             break
+        before = totals
         y = solve(matrix, off)
         rate = F.greatest(F.lit(0.0), rate - sum((p[i] * F.lit(y[i]) for i in k), F.lit(0.0)))
         if step % WRITE_EVERY == WRITE_EVERY - 1:
@@ -122,7 +126,8 @@ def fit_rates(table: DataFrame, domains: list[str], targets: list[float], iterat
 
 
 def mix(docs: DataFrame, labelled: DataFrame, target_shares: dict[str, float] | None = None, total_tokens: float | None = None) -> DataFrame:
-    """doc_id, n_tokens, rate, and the posteriors as a map, for each row of ``docs``.
+    """doc_id, n_tokens, rate, the posteriors as a map, and unmet, for each row of ``docs``: unmet is the same everywhere,
+    the largest distance of a domain's expected total from its target, as a share of all tokens asked for.
 
     ``target_shares`` gives each domain's share of the tokens (all equal by default; they are scaled to 1);
     ``total_tokens`` is the number of tokens to reach (that of ``docs`` by default).
@@ -133,9 +138,11 @@ def mix(docs: DataFrame, labelled: DataFrame, target_shares: dict[str, float] |
     if not sum(shares):
         shares = [1.0] * len(domains)
     total = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0] if total_tokens is None else total_tokens
-    rated, _ = fit_rates(table, domains, [total * s / sum(shares) for s in shares])
+    targets = [total * s / sum(shares) for s in shares]
+    rated, reached = fit_rates(table, domains, targets)
+    unmet = max(abs(a - b) for a, b in zip(reached, targets)) / max(total, 1.0)
     membership = F.create_map(*(x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"p_{i}"))))
-    return rated.select("row", "doc_id", "n_tokens", "rate", membership.alias("membership"))
+    return rated.select("row", "doc_id", "n_tokens", "rate", membership.alias("membership"), F.lit(float(unmet)).alias("unmet"))
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame, column: str = "lang") -> DataFrame:

@@ -64,3 +64,29 @@ def test_run_and_registration(spark, tables):
     found = __spark_entry__.queries()
     assert {"pipeline", *queries.QUERIES} <= set(found)
     assert [int(k[2:].split("_")[0]) for k in queries.QUERIES] == list(range(1, 11))
+
+
+def test_stages_of_an_empty_table_and_of_clashing_columns(spark, tables):
+    folder, _ = tables
+    docs = common.table(spark, folder, "documents")
+    wide = docs.where("doc_id < 40").selectExpr("*", "1 AS n", "2 AS key", "3 AS sha", "'x' AS kept", "4 AS rate", "5 AS row", "6 AS score", "7 AS component_id", "8 AS text_sha256", "9 AS bytes")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        nothing = stage(spark, docs.limit(0), folder)
+        assert nothing.collect() == [] and (i == 4 or nothing.columns == docs.columns)
+        got = stage(spark, wide, folder)
+        assert got.count() > 0 and (i == 4 or got.columns == wide.columns)
+
+
+def test_every_query_runs_on_the_small_tables(spark):
+    for name, query in queries.QUERIES.items():
+        table = "pages" if name.startswith("op3") else "documents"
+        got = query(spark, "/root/testdata/sf0.001")
+        assert got.count() == spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").count(), name
+
+
+def test_clean_up_removes_what_was_written(spark):
+    made = common.materialise(spark.range(3).toDF("x"), "for-a-while")
+    assert made.count() == 3
+    common.clean_up(spark)
+    made = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(common.shared_dir(spark)).where("path like '%for-a-while%'")
+    assert made.count() == 0

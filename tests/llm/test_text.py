@@ -392,8 +392,9 @@ def test_mixing(spark, shares):
     targets = np.array([shares[d] for d in domains]) * n.sum()
     rate = np.array([r.rate for r in got])
     off = lambda x: x @ (p * n[:, None]) - targets
+    assert all(math.isclose(r.unmet, np.abs(off(rate)).max() / n.sum(), abs_tol=1e-6) for r in got)
     if min(shares.values()) > 0.01:
-        assert np.allclose(off(rate), 0, atol=1e-5 * n.sum())
+        assert np.allclose(off(rate), 0, atol=1e-5 * n.sum()) and got[0].unmet < 1e-5
     else:
         matrix = np.linalg.pinv((p * n[:, None]).T @ p)
         cost = lambda x: off(x) @ matrix @ off(x)
@@ -404,6 +405,55 @@ def test_mixing(spark, shares):
     assert sum(x > 0.5 for x in right) > 0.9 * len(right)
 
 
+def test_mixing_of_sources_that_texts_tell_apart(spark):
+    rows = [(i, t, "en", {"en": "web", "fr": "news", "xx": "code"}[lang]) for i, t, lang in mixing_rows(400, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i,) for i in range(0, 400, 3)], "doc_id long")
+    got = mixing.mix(docs, mixing.labelled_domains(docs, labels, "source"), {"web": 0.2, "news": 0.5, "code": 0.3}).collect()
+    tokens = sum(r.n_tokens for r in got)
+    for domain, share in (("web", 0.2), ("news", 0.5), ("code", 0.3)):
+        assert math.isclose(sum(r.rate * r.n_tokens * r.membership[domain] for r in got), share * tokens, rel_tol=1e-4)
+    assert got[0].unmet < 1e-5
+
+
+def test_mixing_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert mixing.mix(docs, mixing.labelled_domains(docs, docs.select("doc_id"))).collect() == []
+
+
+def test_toxicity_matches_by_brute_force():
+    """Every term at every place, by comparison, against the automaton; then the score from its definition."""
+    r = random.Random(5)
+    hits = 0
+    for _ in range(300):
+        some = lambda n: ["".join(r.choice("abc") for _ in range(r.randint(1, 4))) for _ in range(n)]
+        lexicon = toxicity.Lexicon(word={t: r.uniform(0.5, 6) for t in some(3)}, start={t: r.uniform(0.5, 6) for t in some(2)}, exceptions=tuple(" ".join(some(2)) for _ in range(2)))
+        text = "".join(r.choice("aabbccAB4@ -.1") for _ in range(60))
+        folded = toxicity.fold(text)
+        assert len(folded) == len(text)
+        spans = []
+        for terms, kind in ((lexicon.word, "w"), (lexicon.start, "s"), ({toxicity.fold(x): 0 for x in lexicon.exceptions}, "x")):
+            for t in terms:
+                for i in range(len(text) - len(t) + 1):
+                    end = i + len(t)
+                    whole = end == len(text) or not text[end].isalpha()
+                    if folded[i:end] == t and not (i and text[i - 1].isalnum()) and (kind == "s" or whole):
+                        spans.append((kind, i, end, terms[t]))
+        spared = [(i, e) for kind, i, e, _ in spans if kind == "x"]
+        longest = {i: max(e for k, a, e, _ in spans if a == i and k != "x") for k, i, _, _ in spans if k != "x"}
+        want = {(i, e) for i, e in longest.items() if not any(a <= i and e <= z for a, z in spared)}
+        got = lexicon.matcher().matches(text)
+        assert {(i, e) for i, e, _ in got} == want
+        assert all((w in (lexicon.word.get(folded[i:e]), lexicon.start.get(folded[i:e]))) for i, e, w in got)
+        weight = sum(w for _, _, w in got)
+        n = max(1, len(re.findall(r"[^\x20\x09-\x0D]+", text)))
+        x, y = (math.log1p(weight), math.log1p(100 * weight / n)) if weight else (0, 0)
+        bias, p, q = lexicon.curve
+        assert math.isclose(lexicon.matcher().score(text), 1 / (1 + math.exp(-(bias + p * x + q * y))), rel_tol=1e-9)
+        hits += len(got)
+    assert hits > 300
+
+
 def test_mixed_rows(spark):
     docs = spark.createDataFrame([(*r, 1) for r in mixing_rows()], "doc_id long, text string, lang string, __x int")
     labels = spark.createDataFrame([(i,) for i in range(300)], "doc_id long")
