@@ -54,6 +54,8 @@ COUNTED = 400_000
 END = "\n"  # no word has white space
 
 VOCABULARY = CLASSES * WIDTH
+#: Columns of a class-level row: the classes, that of all other words, and one of no weight, as gradients are added up in pairs.
+COLUMNS = CLASSES + 2
 CONTEXTS = VOCABULARY + ENDINGS + 1  # the last: before the text
 #: Weight rows of a block in which gradients travel; gradients that one task adds up at a level.
 BLOCK_ROWS, FAN_IN = 2048, 64
@@ -157,14 +159,14 @@ class Model:
         slots[: len(c)] = c
         by_class = slots.reshape(CLASSES, WIDTH)
         mass = np.append(by_class.sum(axis=1), max(0.0, total - c.sum())) + 0.5
-        self.prior = (mass / mass.sum()).astype(np.float32)
-        self.class_bias = np.log(self.prior)
+        self.prior = np.append(mass / mass.sum(), 0).astype(np.float32)
+        self.class_bias = np.append(np.log(self.prior[:-1]), np.float32(-1e4))
         inside = by_class + 0.5
         inside[slots.reshape(CLASSES, WIDTH) == 0] = 1e-6  # slots without a word
         self.word_prior = (inside / inside.sum(axis=1, keepdims=True)).astype(np.float32)
         self.word_bias = np.log(self.word_prior)
         self.hashed = hashed_rows(total)
-        self.rows = np.zeros((2 * CONTEXTS + self.hashed, CLASSES + 1), np.float32)
+        self.rows = np.zeros((2 * CONTEXTS + self.hashed, COLUMNS), np.float32)
         self.word = np.zeros((self.hashed, WIDTH), np.float32)
 
     def features(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,24 +182,28 @@ class Model:
         return (prev * CLASSES + cls) * 2_654_435_761 % 4_294_967_291 % self.hashed
 
     def forward(self, target: np.ndarray, rows: tuple[np.ndarray, ...], negative: bool = False):
-        """log P of each target's class and place, and what the gradient needs (if ``negative``: less the probabilities)."""
+        """log P of each target's class and place, and what the gradient needs (if ``negative``: less the probabilities); all but the first is overwritten by the next call."""
         # Biases are log priors and updates are clipped, so exponentials stay far from the limits of float32.
-        z = self.rows[rows[0]]
-        z += self.rows[rows[1]]
-        z += self.rows[rows[2]]
+        n, space = len(target), _space(len(target), self.rows.dtype)
+        z, more = space.z[:n], space.more[:n]
+        np.take(self.rows, rows[0], axis=0, out=z, mode="clip")
+        for r in rows[1:]:
+            z += np.take(self.rows, r, axis=0, out=more, mode="clip")
         z += self.class_bias
         cls = target // WIDTH
-        at = np.arange(len(target))
+        at = np.arange(n)
         log_p = z[at, cls].astype(np.float64)
         p = np.exp(z, out=z)
         total = p @ np.ones(p.shape[1], p.dtype)
         log_p -= np.log(total)
         known = np.flatnonzero(target < VOCABULARY)
-        word = self.word_row(cls[known].astype(np.int64), rows[0][known])
-        y = self.word[word]
-        y += self.word_bias[cls[known]]
+        k, of = len(known), cls[known]
+        word = self.word_row(of.astype(np.int64), rows[0][known])
+        y, bias = space.y[:k], space.bias[:k]
+        np.take(self.word, word, axis=0, out=y, mode="clip")
+        y += np.take(self.word_bias, of, axis=0, out=bias, mode="clip")
         slot = target[known] % WIDTH
-        chosen = y[np.arange(len(known)), slot].astype(np.float64)
+        chosen = y[np.arange(k), slot].astype(np.float64)
         q = np.exp(y, out=y)
         inside = q @ np.ones(WIDTH, q.dtype)
         log_p[known] += chosen - np.log(inside)
@@ -212,9 +218,10 @@ class Model:
         out.log_p += float(log_p.sum())
         p[np.arange(len(target)), cls] += 1
         q[np.arange(len(known)), slot] += 1
+        space = _space(len(target), self.rows.dtype)
         for r in rows:
-            _add_rows(out.rows, out.fired, r, p)
-        _add_rows(out.word, out.word_fired, word, q)
+            _add_rows(out.rows, out.fired, r, p, space.at_class)
+        _add_rows(out.word, out.word_fired, word, q, space.at_word)
 
     def update(self, g: Gradient) -> None:
         step = g.rows / (g.fired[:, None] * self.prior + DAMPING)
@@ -249,10 +256,34 @@ class Gradient:
         fired[rows] += x[:, -1]
 
 
-def _add_rows(into: np.ndarray, fired: np.ndarray, index: np.ndarray, values: np.ndarray) -> None:
-    """into[index] += values for repeated indices too, and how often each row fires."""
-    width = into.shape[1]
-    np.add.at(into.reshape(-1), (index[:, None] * width + np.arange(width)).ravel(), values.ravel())
+class _Space:
+    """Arrays of a batch, which are used again and again: fresh ones of this size cost more than what is done in them."""
+
+    def __init__(self, n: int, kind):
+        self.n, self.kind = n, kind
+        self.z, self.more = np.empty((n, COLUMNS), kind), np.empty((n, COLUMNS), kind)
+        self.y, self.bias = np.empty((n, WIDTH), kind), np.empty((n, WIDTH), np.float32)
+        self.at_class, self.at_word = np.empty((n, COLUMNS // 2), np.int64), np.empty((n, WIDTH // 2), np.int64)
+
+
+_SPACE: list[_Space] = []
+
+
+def _space(n: int, kind) -> _Space:
+    if not _SPACE or _SPACE[0].n < n or _SPACE[0].kind != kind:
+        _SPACE[:] = [_Space(max(n, BATCH), kind)]
+    return _SPACE[0]
+
+
+def _add_rows(into: np.ndarray, fired: np.ndarray, index: np.ndarray, values: np.ndarray, at: np.ndarray) -> None:
+    """into[index] += values for repeated indices too, and how often each row fires; ``at`` is room for the places.
+
+    Two neighbouring numbers are added as one complex number, which halves the places.
+    """
+    at = at[: len(index)]
+    pair = np.complex64 if into.dtype == np.float32 else np.complex128
+    np.add((index * at.shape[1])[:, None], np.arange(at.shape[1]), out=at)
+    np.add.at(into.reshape(-1).view(pair), at.reshape(-1), values.astype(into.dtype, copy=False).reshape(-1).view(pair))
     fired += np.bincount(index, minlength=len(fired)).astype(np.float32)
 
 
