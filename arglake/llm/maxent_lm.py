@@ -345,21 +345,30 @@ def coded(docs: DataFrame, heavy: list[tuple[str, int]], n: int, v: int) -> Data
         log_c = np.log10(lookup.counts + 1.0)
         row = TaskContext.get().partitionId() << 36
         for b in batches:
-            docs_, learned, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), strings(b.column(2))
-            for lo in range(0, len(texts), 256):
-                out = []
-                for doc, mine, t in zip(docs_[lo : lo + 256], learned[lo : lo + 256], texts[lo : lo + 256]):
-                    found = tokens(t)
-                    h, target, ctx = lookup(found)
-                    missing = np.flatnonzero(h < 0).tolist()
-                    tail = [found[i] for i in missing]
-                    logs = log_c[h]  # 0 for what is not heavy
-                    base = float(logs.sum()) - len(found) * log10_base
-                    rare = target == VOCABULARY
-                    inside = float(logs[rare].sum()) - int(rare.sum()) * log10_rare
-                    out.append((row, doc, mine, len(found), len(found) - len(tail), base, inside, ctx.astype(np.uint16).tobytes(), tail))
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CODED)], schema=_CODED)
+            texts, lo = strings(b.column(2)), 0
+            while lo < len(texts):
+                found, sizes = [], []
+                while lo + len(sizes) < len(texts) and len(sizes) < 256 and len(found) < 300_000:
+                    own = tokens(texts[lo + len(sizes)])
+                    sizes.append(len(own))
+                    found += own
+                n_rows, length = len(sizes), np.array(sizes, np.int64)
+                starts = np.cumsum(length) - length
+                h, target, ctx = lookup(found)
+                logs = log_c[h]  # 0 for what is not heavy
+                rare = target == VOCABULARY
+                base = np.add.reduceat(logs, starts) - length * log10_base
+                inside = np.add.reduceat(np.where(rare, logs - log10_rare, 0.0), starts)
+                missing = np.flatnonzero(h < 0)
+                tails = np.diff(np.searchsorted(missing, np.append(starts, len(found))))
+                tail = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tails)), pa.int32()), pa.array([found[i] for i in missing.tolist()], pa.string()))
+                offsets = np.append(0, 2 * np.cumsum(length)).astype(np.int32)
+                contexts = pa.Array.from_buffers(pa.binary(), n_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ctx.astype(np.uint16).tobytes())])
+                of = slice(lo, lo + n_rows)
+                columns = [pa.array(np.arange(row, row + n_rows)), b.column(0)[of], b.column(1)[of], pa.array(length), pa.array(length - tails), pa.array(base), pa.array(inside), contexts, tail]
+                yield pa.RecordBatch.from_arrays(columns, schema=_CODED)
+                row += n_rows
+                lo += n_rows
 
     return docs.select("doc_id", "learned", "text").mapInArrow(work, _CODED_DDL)
 
