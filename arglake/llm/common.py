@@ -91,6 +91,17 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system: workers live on and run other stages' tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 class WordHasher(dict):
     """64-bit hashes of words, of which at most about ``limit`` are remembered (then begun anew)."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arglake.llm.common import SPACE_PATTERN, materialise, partitions, text_or_empty, work_path
+from arglake.llm.common import SPACE_PATTERN, materialise, partitions, release, text_or_empty, work_path
 
 #: Distinct keys of a bucket before it splits, at least; buckets beyond which the capacity grows instead.
 CAPACITY, BUCKETS = 4096, 1 << 14
@@ -31,7 +31,7 @@ MORE_BITS = 3
 #: Groups that are broadcast, at most; a group of fewer rows than this never is.
 HOT_GROUPS, HOT_ROWS = 50_000, 10_000
 #: Bytes of distinct texts that a task folds before it passes them on.
-FOLD_BYTES = 48 << 20
+FOLD_BYTES = 24 << 20
 
 _ENTRY = pa.schema([("key", pa.int64()), ("sha", pa.string()), ("norm", pa.string()), ("least", pa.int64()), ("rows", pa.int64()), ("least_rows", pa.int64())])
 _ENTRY_DDL = "key long, sha string, norm string, least long, rows long, least_rows long"
@@ -115,6 +115,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 elif doc is not None and (e[1] is None or doc < e[1]):
                     e[1], e[3] = doc, 1
     yield from out()
+    release()
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

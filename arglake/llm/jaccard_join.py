@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arglake.llm.common import WordHasher, lower_ascii, materialise, mix64, partitions, shingles, strings, words
+from arglake.llm.common import WordHasher, lower_ascii, materialise, mix64, partitions, release, shingles, strings, words
 
 WIDTH = 5
 #: Linked if 100 * intersection >= SIMILAR * union; so at most (100 - SIMILAR) % of a linked set is outside the other.
@@ -51,7 +51,7 @@ THETA = 1 - SIMILAR / 100
 #: so that two linked sets always share a space).
 FULL, PART_FROM, PART = 320, 256, 0.4
 #: Pairs that a task holds before it passes them on.
-HELD_PAIRS = 1_500_000
+HELD_PAIRS = 600_000
 #: Occurrences of a shingle among the sets of a buffer from which on its pairs are spread over all tasks.
 HOT = 64
 #: Sets to a pivot; pivots of a region, at most; sets of its own with which a cell is joined.
@@ -176,9 +176,11 @@ def _pairs(docs: DataFrame, seed: int, share: float, parts: int) -> DataFrame:
                 if held > HELD_PAIRS:
                     yield from out()
                     held = 0
-                    if len(seen) > 500_000:  # only between buffers: a buffer has no key twice
+                    if len(seen) > 200_000:  # only between buffers: a buffer has no key twice
                         seen.clear()
         yield from out()
+        seen.clear()
+        release()
 
     return docs.mapInArrow(work, "part int, in_part boolean, hot boolean, block binary")
 
@@ -204,6 +206,7 @@ def _shared(pairs: DataFrame, parts: int) -> DataFrame:
                 hs, ks = held[in_part, hot]
                 hs.append(x[: len(x) // 2])
                 ks.append(x[len(x) // 2 :])
+        b = block = x = None  # the batches go with their last block
         for in_part, hot in list(held):
             hs, ks = held.pop((in_part, hot))
             if not hs:
@@ -222,6 +225,8 @@ def _shared(pairs: DataFrame, parts: int) -> DataFrame:
             for i in range(0, len(h), 100_000):
                 n = len(h[i : i + 100_000])
                 yield pa.RecordBatch.from_arrays([pa.array(h[i : i + n]), pa.array(k[i : i + n]), pa.array(np.full(n, in_part))], schema=schema)
+            del h, k
+        release()
 
     return pairs.repartitionById(parts, F.col("part")).mapInArrow(work, "h long, key long, in_part boolean")
 
