@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arglake.llm import exact_dedup, jaccard_join, main_text, maxent_lm, mixing, piece_coding, quality_rules, suffix_dedup, token_blocks, toxicity
+from arglake.llm import exact_dedup, jaccard_join, main_text, maxent_lm, mixing, piece_coding, quality_rules, snapshot_diff, suffix_dedup, token_blocks, toxicity
 from arglake.llm.common import table
 
 
@@ -60,6 +61,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = snapshot_diff.snapshot_diff(docs, snapshot_diff.later_snapshot(docs), "doc_id", ["text", "lang", "source"], ["text", "lang"], snapshot_diff.document_row())
+    return found.select("key", "old_key", "op", "changed", F.col("row_digest").alias("row_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -71,8 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxent_lm": op8_maxent_lm,
     "op9_piece_coding": op9_piece_coding,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_snapshot_diff": op12_snapshot_diff,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op12_snapshot_diff": snapshot_diff.ORACLE,
 }
