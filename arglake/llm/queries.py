@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arglake.llm import exact_dedup, jaccard_join, main_text, maxent_lm, mixing, piece_coding, quality_rules, snapshot_diff, suffix_dedup, token_blocks, toxicity
+from arglake.llm import exact_dedup, jaccard_join, main_text, maxent_lm, mixing, piece_coding, quality_rules, snapshot_diff, spelling, suffix_dedup, token_blocks, toxicity
 from arglake.llm.common import table
 
 
@@ -67,6 +67,10 @@ def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "old_key", "op", "changed", F.col("row_digest").alias("row_sha256"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_blocks": op1_token_blocks,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -79,9 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_piece_coding": op9_piece_coding,
     "op10_jaccard_join": op10_jaccard_join,
     "op12_snapshot_diff": op12_snapshot_diff,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op12_snapshot_diff": snapshot_diff.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
