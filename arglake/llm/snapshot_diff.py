@@ -142,29 +142,24 @@ def grace_join(old: DataFrame, new: DataFrame, by: str, old_order: Order, new_or
     parts = max(partitions(spark), -(-max(sizes) // part_rows))
     block = max(least_block, max(sizes) // parts)
     smaller = 0 if sizes[0] <= sizes[1] else 1
-    spilled = []
-    for side, df in enumerate((old, new)):
-        path = work_path(spark, f"diff-{by}-{side}")
-        dealt = df.withColumn("part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
-        dealt.repartitionById(parts, F.col("part")).write.partitionBy("part").parquet(path)
-        spilled.append(spark.read.schema(dealt.schema).parquet(path))
-
-    def hot(rows: DataFrame) -> DataFrame:
-        """Values with more rows than an even part; only parts that stand out can hold one."""
-        over = rows.groupBy("part").count().where(F.col("count") > 1.25 * block).select("part")
-        return rows.join(over, "part", "left_semi").groupBy(by).count().where(F.col("count") > block).select(F.col(by).alias("_hot"))
-
-    values = materialise(hot(spilled[0]).unionByName(hot(spilled[1])).distinct(), f"diff-{by}-hot")
+    # values with more rows than an even part, of which there are fewer than parts; counted before any row is dealt by value
+    hot = [df.groupBy(by).count().where(F.col("count") > block).select(F.col(by).alias("_hot")) for df in (old, new)]
+    values = materialise(hot[0].unionByName(hot[1]).distinct(), f"diff-{by}-hot")
     any_hot, same = not values.isEmpty(), F.col(by).eqNullSafe(F.col("_hot"))
     met = []
-    for side, (rows, order) in enumerate(zip(spilled, (old_order, new_order))):
-        dealt = rows.withColumn("block", F.lit(0).cast("long"))
+    for side, (rows, order) in enumerate(((old, old_order), (new, new_order))):
         if any_hot:
-            ranked = _ranked(rows.join(values, same, "left_semi").drop("part"), by, order, parts)
-            ranked = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
-            ranked = ranked.withColumn("part", F.pmod(F.xxhash64(by) + F.col("block"), F.lit(parts)).cast("int")).drop("rank")
-            dealt = dealt.join(values, same, "left_anti").unionByName(ranked)
-        met.append(dealt.withColumn("side", F.lit(side)).withColumn("build", F.lit(side == smaller)))
+            rows = materialise(rows, f"diff-{by}-rows")
+            ranked = _ranked(rows.join(values, same, "left_semi"), by, order, parts)
+            ranked = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long")).drop("rank")
+            rows = rows.join(values, same, "left_anti").withColumn("block", F.lit(0).cast("long")).unionByName(ranked)
+        else:
+            rows = rows.withColumn("block", F.lit(0).cast("long"))
+        path = work_path(spark, f"diff-{by}-{side}")
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64(by) + F.col("block"), F.lit(parts)).cast("int"))
+        dealt.repartitionById(parts, F.col("part")).write.partitionBy("part").parquet(path)
+        spilled = spark.read.schema(dealt.schema).parquet(path)
+        met.append(spilled.withColumn("side", F.lit(side)).withColumn("build", F.lit(side == smaller)))
     both = met[0].unionByName(met[1])
     orders = [*_sorting(old_order, F.col("side") == 0), *_sorting(new_order, F.col("side") == 1)]
     both = both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("build").desc(), *orders)
