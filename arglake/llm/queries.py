@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arglake.llm import exact_dedup, jaccard_join, main_text, maxent_lm, mixing, piece_coding, quality_rules, snapshot_diff, spelling, suffix_dedup, token_blocks, toxicity
+from arglake.llm import cross_polytope, exact_dedup, jaccard_join, main_text, maxent_lm, mixing, piece_coding, quality_rules, snapshot_diff, spelling, suffix_dedup, token_blocks, toxicity
 from arglake.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.search(table(spark, sf_dir, "embeddings"))
+
+
 def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = snapshot_diff.snapshot_diff(docs, snapshot_diff.later_snapshot(docs), "doc_id", ["text", "lang", "source"], ["text", "lang"], snapshot_diff.document_row())
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxent_lm": op8_maxent_lm,
     "op9_piece_coding": op9_piece_coding,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_cross_polytope": op11_cross_polytope,
     "op12_snapshot_diff": op12_snapshot_diff,
     "op13_spelling": op13_spelling,
 }
