@@ -63,7 +63,7 @@ def test_short_answers_are_filled_by_a_scan(spark):
 def test_recall(spark):
     random.seed(3)
     rows = [(i, [random.gauss(0, 1) for _ in range(16)]) for i in range(1500)]
-    rows = [(i, [x / np.linalg.norm(v) for x in v]) for i, v in rows]
+    rows = [(i, (np.array(v) / np.linalg.norm(v)).tolist()) for i, v in rows]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found, want = searched(df, k=10, every=50), nearest(rows, 10, 50)
     of = lambda x: {(q, i) for (q, _), (i, _) in x.items()}
