@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arglake.functions import similarity
+from arglake.functions.similarity import fuzzy_span
 from arglake.session import arrow_function
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -292,13 +294,17 @@ def indel_ratio(a: str | None, b: str | None) -> float:
 
 @arrow_function("double")
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple, float] = {}
-    out = []
-    for pair in zip(a, b):
-        if (r := known.get(pair)) is None:
-            r = known[pair] = indel_ratio(*pair)
-        out.append(r)
-    return pd.Series(out, dtype="float64")
+    return pd.Series(similarity.ratios(a.tolist(), b.tolist()))
+
+
+def fuzzy_ratio_from(least: float):
+    """``fuzzy_ratio`` for a filter: ratios under ``least`` may come out as 0."""
+
+    @arrow_function("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(similarity.ratios(a.tolist(), b.tolist(), least))
+
+    return ratio
 
 
 def ratio_bound(a, b) -> Column:
@@ -311,34 +317,6 @@ def exact_spans(text: str, document: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(re.escape(text), document)] if text else []
 
 
-def fuzzy_span(text: str, document: str, threshold: float = 0.85) -> tuple[int, int] | None:
-    """The window of the text's length with the best ratio of at least ``threshold``, the earliest of equals."""
-    n = len(text)
-    if not n or not document:
-        return None
-    from collections import Counter
-
-    need, best, where = Counter(text), threshold, None
-    window = Counter(document[:n])
-    shared = sum(min(k, window[c]) for c, k in need.items())
-    for i in range(max(1, len(document) - n + 1)):
-        piece = document[i : i + n]
-        if 2 * shared / (n + len(piece)) >= best:  # common letters bound the subsequence
-            r = indel_ratio(text, piece)
-            if r > best or (where is None and r >= best):
-                best, where = r, (i, i + len(piece))
-        if i + n < len(document):
-            out, new = document[i], document[i + n]
-            if out != new:
-                if window[out] <= need[out]:
-                    shared -= 1
-                window[out] -= 1
-                window[new] += 1
-                if window[new] <= need[new]:
-                    shared += 1
-    return where
-
-
 @arrow_function("array<struct<start:int,end:int>>")
 def resolve_spans(texts: pd.Series, documents: pd.Series) -> pd.Series:
     """Places of a text in a document: all exact ones, else the best fuzzy one."""

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arglake.functions.text import fuzzy_ratio, ratio_bound
+from arglake.functions.edit_distance import edit_distance
+from arglake.functions.similarity import ratios
+from arglake.functions.text import fuzzy_ratio, fuzzy_ratio_from, ratio_bound
 from arglake.session import arrow_function
 
 THRESHOLD = 0.7
@@ -19,14 +21,15 @@ THRESHOLD = 0.7
 def similarities(gold: DataFrame, pred: DataFrame, least: float | None = None) -> DataFrame:
     """(map_id, gold, gold_pos, pred, pred_pos, score) of the node pairs of each map.
 
-    With ``least``, pairs that the lengths alone rule out are dropped before the exact ratio is taken.
+    With ``least``, pairs that the lengths rule out are dropped, and those that counts of letters and bigrams rule out score 0
+    without the exact ratio being taken.
     """
     g = gold.select("map_id", F.col("id").alias("gold"), F.col("pos").alias("gold_pos"), F.col("text").alias("_g"))
     p = pred.select("map_id", F.col("id").alias("pred"), F.col("pos").alias("pred_pos"), F.col("text").alias("_p"))
     pairs = g.join(p, "map_id")
     if least is not None:
         pairs = pairs.where(ratio_bound("_g", "_p") >= least)
-    return pairs.select("map_id", "gold", "gold_pos", "pred", "pred_pos", fuzzy_ratio("_g", "_p").alias("score"))
+    return pairs.select("map_id", "gold", "gold_pos", "pred", "pred_pos", (fuzzy_ratio("_g", "_p") if least is None else fuzzy_ratio_from(least)("_g", "_p")).alias("score"))
 
 
 def best_matches(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -113,64 +116,16 @@ def weighted_loss(rewards: dict[str, Column], weights: dict[str, float] | None =
 # --- graph edit distance --------------------------------------------------------------------------
 
 
-def edit_distance(gold: tuple[list, list], pred: tuple[list, list], threshold: float = THRESHOLD, steps: int = 20_000) -> float:
-    """An upper bound of the edit distance of two labelled digraphs: a branch-and-bound search over node assignments, best matches first.
-
-    ``gold`` and ``pred`` are (texts, [(source number, target number, type)]).  Deleting or inserting a node or an edge, changing a
-    node's text to one that is not similar, and changing an edge's type cost 1 each.  The search stops after ``steps`` nodes; its
-    first leaf, the greedy assignment, is always reached.
-    """
-    from arglake.functions.text import indel_ratio
-
-    (a, ea), (b, eb) = gold, pred
-    adj_a, adj_b = {(s, t): k for s, t, k in ea}, {(s, t): k for s, t, k in eb}
-    same = [[indel_ratio(x, y) >= threshold for y in b] for x in a]
-    order = sorted(range(len(a)), key=lambda i: -sum(same[i]))
-    best = float(len(a) + len(b) + len(adj_a) + len(adj_b))
-    visited = 0
-
-    def edge_cost(i, j, done):
-        cost = 0
-        for x, y in [*done, (i, j)]:
-            for p, q in ({((x, i), (y, j)), ((i, x), (j, y))} if x != i else {((i, i), (j, j))}):
-                k = adj_a.get(p)
-                m = adj_b.get(q) if y is not None and j is not None else None
-                cost += (k is None) != (m is None) or (k is not None and k != m)
-        return cost
-
-    def go(depth, used, done, cost):
-        nonlocal best, visited
-        visited += 1
-        rest_a, rest_b = len(a) - depth, len(b) - len(used)
-        if cost + abs(rest_a - rest_b) >= best:
-            return
-        if depth == len(a):
-            free = set(range(len(b))) - used
-            total = cost + len(free) + sum(1 for s, t in adj_b if s in free or t in free)
-            best = min(best, float(total))
-            return
-        i = order[depth]
-        options = sorted((j for j in range(len(b)) if j not in used), key=lambda j: not same[i][j])
-        for j in [*options, None]:
-            if visited > steps and best < len(a) + len(b) + len(adj_a) + len(adj_b):
-                return
-            own = 1 if j is None else int(not same[i][j])
-            go(depth + 1, used | {j} if j is not None else used, [*done, (i, j)], cost + own + edge_cost(i, j, done))
-
-    go(0, frozenset(), [], 0)
-    return best
-
-
 def edge_kind(type_: str | None) -> str:
     """Lower case; an unknown or empty type is support."""
     kind = (type_ or "").strip().lower()
     return "support" if kind in ("", "unknown") else kind
 
 
-def edit_similarity(nodes: DataFrame, edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(map_id, ged, similarity) from nodes and edges with a column ``side`` ('gold' or 'pred'); of parallel edges the last counts.
+def edit_similarity(nodes: DataFrame, edges: DataFrame, threshold: float = THRESHOLD, bounds: int | None = 2_000) -> DataFrame:
+    """(map_id, ged, ged_low, similarity) from nodes and edges with a column ``side`` ('gold' or 'pred'); of parallel edges the last counts.
 
-    A node without text has its quote (if ``nodes`` has that column); an end of an edge that is no node becomes one
+    The distance is between ``ged_low`` and ``ged``: equal unless the search took ``bounds`` of them.  Texts are stripped; a node without text has its quote (if ``nodes`` has that column); an end of an edge that is no node becomes one
     without text, which is like no other; unknown and empty types are support.
     """
     kind = dict(nodes.dtypes)["map_id"]
@@ -181,26 +136,35 @@ def edit_similarity(nodes: DataFrame, edges: DataFrame, threshold: float = THRES
     e = edges.groupBy("map_id", "side", "src", "tgt").agg(F.max_by("type", "pos").alias("type"))
     e = e.groupBy("map_id").agg(F.collect_list(F.struct("side", F.col("src").cast("string").alias("src"), F.col("tgt").cast("string").alias("tgt"), "type")).alias("edges"))
 
+    def graphs(found, rel) -> list[tuple[list, list]]:
+        out = []
+        for side in ("gold", "pred"):
+            own = sorted((x for x in (found if found is not None else ()) if x["side"] == side), key=lambda x: x["pos"])
+            number = {x["id"]: i for i, x in enumerate(own)}
+            links = [] if rel is None else sorted((x["src"], x["tgt"], edge_kind(x["type"])) for x in rel if x["side"] == side)
+            texts = [(x["text"] or "").strip() for x in own]
+            for end in sorted({e for x in links for e in x[:2]} - set(number)):
+                number[end] = len(texts)
+                texts.append("")
+            out.append((texts, [(number[x], number[y], k) for x, y, k in links]))
+        return out
+
     def work(frames):
         for f in frames:
-            rows = []
-            for key, found, rel in zip(f["map_id"], f["nodes"], f["edges"]):
-                graphs = []
-                for side in ("gold", "pred"):
-                    own = sorted((x for x in (found if found is not None else ()) if x["side"] == side), key=lambda x: x["pos"])
-                    number = {x["id"]: i for i, x in enumerate(own)}
-                    links = [] if rel is None else sorted((x["src"], x["tgt"], edge_kind(x["type"])) for x in rel if x["side"] == side)
-                    texts = [x["text"] or "" for x in own]
-                    for end in sorted({e for x in links for e in x[:2]} - set(number)):
-                        number[end] = len(texts)
-                        texts.append("")
-                    graphs.append((texts, [(number[x], number[y], k) for x, y, k in links]))
-                ged = edit_distance(*graphs, threshold)
-                most = max(1, sum(len(t) + len(k) for t, k in graphs))
-                rows.append((key, ged, 1 - min(1.0, max(0.0, ged / most))))
-            yield pd.DataFrame(rows, columns=["map_id", "ged", "similarity"])
-
-    return n.join(e, "map_id", "full").mapInPandas(work, f"map_id {kind}, ged double, similarity double")
+            pairs = [graphs(found, rel) for found, rel in zip(f["nodes"], f["edges"])]
+            # all node pairs of the batch together
+            texts = [(x, y) for (a, _), (b, _) in pairs for x in a for y in b]
+            like = ratios([x for x, _ in texts], [y for _, y in texts], threshold) >= threshold
+            rows, start = [], 0
+            for key, (gold, pred) in zip(f["map_id"], pairs):
+                n, m = len(gold[0]), len(pred[0])
+                low, high = edit_distance(gold, pred, like[start : start + n * m].reshape(n, m), bounds)
+                start += n * m
+                most = max(1, n + m + len(gold[1]) + len(pred[1]))
+                rows.append((key, float(high), float(low), 1 - min(1.0, high / most)))
+            yield pd.DataFrame(rows, columns=["map_id", "ged", "ged_low", "similarity"])
+
+    return n.join(e, "map_id", "full").mapInPandas(work, f"map_id {kind}, ged double, ged_low double, similarity double")
 
 
 # --- aggregates -----------------------------------------------------------------------------------
@@ -236,9 +200,9 @@ def evaluate(gold_nodes: DataFrame, gold_edges: DataFrame, pred_nodes: DataFrame
     sizes = count(gold_nodes, "gold_adus")
     for df, name in ((pred_nodes, "pred_adus"), (gold_edges, "gold_rels"), (pred_edges, "pred_rels")):
         sizes = sizes.join(count(df, name), "map_id", "left")
-    both = lambda a, b: a.withColumn("side", F.lit("gold")).unionByName(b.withColumn("side", F.lit("pred")))
-    keep = ["map_id", "pos", "id", "text"]
-    ged = edit_similarity(both(gold_nodes.select(keep), pred_nodes.select(keep)), both(gold_edges.select("map_id", "pos", "src", "tgt", "type"), pred_edges.select("map_id", "pos", "src", "tgt", "type")), threshold)
+    both = lambda a, b: a.withColumn("side", F.lit("gold")).unionByName(b.withColumn("side", F.lit("pred")), allowMissingColumns=True)
+    keep = lambda n: n.select("map_id", "pos", "id", "text", *(["quote"] if "quote" in n.columns else []))
+    ged = edit_similarity(both(keep(gold_nodes), keep(pred_nodes)), both(gold_edges.select("map_id", "pos", "src", "tgt", "type"), pred_edges.select("map_id", "pos", "src", "tgt", "type")), threshold)
     out = count_error(sizes.na.fill(0)).join(nodes, "map_id").join(relations, "map_id", "left").join(ged, "map_id", "left").na.fill(0.0)
     return out.withColumn("combined_score", combined(F.col("f1"), F.col("macro_f1"), F.col("scaled_rmse"), F.col("similarity")))
 

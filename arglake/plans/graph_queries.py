@@ -159,18 +159,26 @@ def _gold_pred(spark, sf_dir):
     return n, e, pred, maps.with_known_ends(e, pred)
 
 
-@query(f"""
-WITH RECURSIVE {_GRAPH}, t AS (SELECT DISTINCT text AS a FROM n), p AS (SELECT x.a AS a, y.a AS b FROM t x JOIN t y ON x.a < y.a AND x.a[1] = y.a[1]),
+_RATIOS = """
+x AS (SELECT g.map_id, g.id AS gold, k.id AS pred, g.text AS a, k.text AS b, g.pos AS gold_pos, k.pos AS pred_pos FROM n g JOIN n k ON k.map_id = g.map_id AND k.price <= 40000), p AS (SELECT DISTINCT a, b FROM x),
 r AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS row FROM p
-  UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, CASE WHEN a[i + 1] = b[j] THEN row[j] + 1 ELSE greatest(row[j + 1], acc[j]) END), [0]) FROM r WHERE i < length(a))
-SELECT a, b, round(2.0 * row[length(b) + 1] / (length(a) + length(b)), 6) AS score FROM r WHERE i = length(a)
-""")
+  UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda acc, j: list_append(acc, CASE WHEN a[i + 1] = b[j] THEN row[j] + 1 ELSE greatest(row[j + 1], acc[j]) END), [0]) FROM r WHERE i < length(a)),
+s AS (SELECT map_id, gold, pred, gold_pos, pred_pos, 2.0 * row[length(b) + 1] / (length(a) + length(b)) AS score FROM x JOIN r USING (a, b) WHERE i = length(a))
+"""
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, {_RATIOS} SELECT map_id, gold, pred, round(score, 6) AS score FROM s")
 def fuzzy_ratio_matrix(spark, sf_dir):
-    from arglake.functions.text import fuzzy_ratio
+    """Ratios of all gold and predicted nodes of each map."""
+    gold, _, pred, _ = _gold_pred(spark, sf_dir)
+    return metrics.similarities(gold, pred).select("map_id", "gold", "pred", F.round("score", 6).alias("score"))
 
-    t = nodes(spark, sf_dir).select(F.col("text").alias("a"), F.substring("text", 1, 1).alias("k")).distinct()
-    pairs = t.join(t.select(F.col("a").alias("b"), F.col("k").alias("kb")), (F.col("k") == F.col("kb")) & (F.col("a") < F.col("b")))
-    return pairs.select("a", "b", F.round(fuzzy_ratio("a", "b"), 6).alias("score"))
+
+@query(f"WITH RECURSIVE {_GRAPH}, {_RATIOS} SELECT map_id, gold, pred FROM s WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY map_id, gold ORDER BY score DESC, pred_pos) = 1")
+def best_fuzzy_matches(spark, sf_dir):
+    """The best predicted node of each gold node, among those that count filters leave."""
+    gold, _, pred, _ = _gold_pred(spark, sf_dir)
+    return metrics.best_matches(metrics.similarities(gold, pred, metrics.THRESHOLD)).select("map_id", "gold", "pred")
 
 
 @query()

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from arglake.functions import similarity
 from arglake.functions import text as T
 
 
@@ -91,6 +92,43 @@ def test_spans_by_brute_force():
             assert got[0] == -best[1]
 
 
+def sliding(text, document, threshold):
+    best, where = threshold, None
+    for i in range(max(1, len(document) - len(text) + 1)):
+        ratio = T.indel_ratio(text, document[i : i + len(text)])
+        if ratio > best or where is None and ratio >= best:
+            best, where = ratio, (i, i + len(document[i : i + len(text)]))
+    return where if text and document else None
+
+
+def test_seeded_span_is_that_of_the_sliding_window():
+    r = random.Random(4)
+    for _ in range(250):
+        doc = "".join(r.choices("abcdefgh ", k=r.randint(0, 120)))
+        start, n = r.randint(0, 100), r.randint(1, 60)
+        text = list(doc[start : start + n])
+        for _ in range(r.randint(0, 5)):
+            place = r.randint(0, len(text))
+            text[place : place + r.randint(0, 1)] = r.choice(["", "x", "a"])
+        text = "".join(text)
+        for threshold in (0.7, 0.85, 0.95, 1.0):
+            assert T.fuzzy_span(text, doc, threshold) == sliding(text, doc, threshold), (text, doc, threshold)
+    assert T.fuzzy_span("  ", "a  b") is None and T.fuzzy_span("a" * 40, "a" * 300) == (0, 40)
+
+
+def test_batched_ratios():
+    r = random.Random(5)
+    lengths = (0, 1, 5, 30, 63, 64, 65, 128, 200)
+    a, b = (["".join(r.choices("abcdé 😀", k=r.choice(lengths))) for _ in range(300)] for _ in range(2))
+    exact = [T.indel_ratio(x, y) for x, y in zip(a, b)]
+    assert similarity.lcs_lengths(a, b).tolist() == [T.lcs_length(x, y) for x, y in zip(a, b)]
+    assert similarity.ratios([*a, None, "x"], [*b, "x", None]).tolist() == [*exact, 0, 0]
+    for least in (0.3, 0.7, 0.9):
+        assert all(x == y or (x == 0 and y < least) for x, y in zip(similarity.ratios(a, b, least), exact))
+    many = [chr(0x4E00 + i) for i in range(400)]  # more letters than a byte holds
+    assert similarity.lcs_lengths(["".join(many)], ["".join(many[::2])]).tolist() == [200]
+
+
 def test_small_functions(spark):
     assert one(spark, 3725.5, T.hms, "x double") == "1h 2m 5s"
     assert one(spark, "```json\n{}\n```", T.strip_code_fence) == "{}"

@@ -1,9 +1,12 @@
+import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from arglake.functions import edit_distance
 from arglake.operators import catalog, inference, maps, metrics, prompts, retrieval, runlog, sampling, taxonomy
 
 
@@ -127,15 +130,73 @@ def test_edit_similarity_of_unknown_types_dangling_ends_and_quotes(spark):
     assert loose.ged == 2 and abs(loose.similarity - (1 - 2 / 8)) < 1e-9  # a node and an edge more
 
 
+def like(a, b):
+    from arglake.functions.similarity import ratios
+
+    return (ratios([x for x in a for _ in b], [y for _ in a for y in b]) >= 0.7).reshape(len(a), len(b))
+
+
+def distance(gold, pred, **options):
+    return edit_distance.edit_distance(gold, pred, like(gold[0], pred[0]), **options)
+
+
 def test_edit_distance():
     a = (["one thing", "another thing", "third"], [(1, 0, "support"), (2, 0, "attack")])
-    assert metrics.edit_distance(a, a) == 0
-    assert metrics.edit_distance(a, (a[0], [(1, 0, "support"), (2, 0, "support")])) == 1
-    assert metrics.edit_distance(a, (a[0][:2], [(1, 0, "support")])) == 2
-    assert metrics.edit_distance(a, ([], [])) == 5
-    assert metrics.edit_distance(([], []), ([], [])) == 0
-    big = ([f"node {i}" for i in range(12)], [(i, i - 1, "support") for i in range(1, 12)])
-    assert metrics.edit_distance(big, ([t + "!" for t in big[0]], big[1])) <= 12
+    assert distance(a, a) == (0, 0)
+    assert distance(a, (a[0], [(1, 0, "support"), (2, 0, "support")])) == (1, 1)
+    assert distance(a, (a[0][:2], [(1, 0, "support")])) == (2, 2)
+    assert distance(a, ([], [])) == (5, 5)
+    assert distance(([], []), ([], [])) == (0, 0)
+    big = ([f"{chr(97 + i)}" * 9 for i in range(12)], [(i, i - 1, "support") for i in range(1, 12)])
+    assert distance(big, (big[0][::-1], [(11 - s, 11 - t, k) for s, t, k in big[1]][1:])) == (1, 1)
+
+
+def brute_distance(gold, pred, same):
+    (a, ea), (b, eb) = gold, pred
+    ea, eb = {(s, t): k for s, t, k in ea}, {(s, t): k for s, t, k in eb}
+    best = len(a) + len(b) + len(ea) + len(eb)
+    for n in range(min(len(a), len(b)) + 1):
+        for some in itertools.combinations(range(len(a)), n):
+            for images in itertools.permutations(range(len(b)), n):
+                of = dict(zip(some, images))
+                moved = {(of[s], of[t]): k for (s, t), k in ea.items() if s in of and t in of}
+                cost = len(a) + len(b) - 2 * n + sum(not same[i][j] for i, j in of.items())
+                cost += len(ea) - len(moved) + sum(eb.get(p) != k for p, k in moved.items()) + len(eb.keys() - moved.keys())
+                best = min(best, cost)
+    return best
+
+
+def test_edit_distance_by_brute_force():
+    r = random.Random(3)
+
+    def graph(n):
+        return list(range(n)), [(s, t, r.choice("sa")) for s in range(n) for t in range(n) if r.random() < r.choice((0.15, 0.4))]
+
+    for k in range(80):
+        n, m = (6, 6) if k % 40 == 0 else (r.randint(0, 5), r.randint(0, 5))
+        a, b = graph(n), graph(m)
+        same = np.array([[r.random() < 0.3 for _ in range(m)] for _ in range(n)]).reshape(n, m)
+        true = brute_distance(a, b, same)
+        assert edit_distance.edit_distance(a, b, same, None) == (true, true)
+        low, high = edit_distance.edit_distance(a, b, same, 3)
+        assert low <= true <= high
+
+
+def test_assignment():
+    r = np.random.default_rng(1)
+    for n in (1, 2, 4, 6):
+        cost = r.random((n, n))
+        total, columns = edit_distance.assignment(cost)
+        assert sorted(columns) == list(range(n)) and abs(total - min(cost[np.arange(n), list(p)].sum() for p in itertools.permutations(range(n)))) < 1e-9
+
+
+def test_evaluation_falls_back_on_quotes(spark):
+    quoted = NODES + ", quote string"
+    g = spark.createDataFrame([("m", 0, "a", None, " a quoted claim "), ("m", 1, "b", " premise ", None)], quoted)
+    p = spark.createDataFrame([("m", 0, "x", "", "a quoted claim"), ("m", 1, "y", "premise", None)], quoted)
+    e, f = spark.createDataFrame([("m", 0, "b", "a", "support")], EDGES), spark.createDataFrame([("m", 0, "y", "x", "support")], EDGES)
+    assert metrics.evaluate(g, e, p, f).first().similarity == 1
+    assert metrics.evaluate(g.drop("quote"), e, p, f).first().similarity < 1
 
 
 def test_chunks_and_search(spark):
