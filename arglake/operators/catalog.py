@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arglake.functions.text import col, contains_any, multi_values, token_count, word_count
+from arglake.operators.quantiles import medians
+from arglake.work import written
 
+#: Stems of the topic.
 TOPIC = ["philosophy", "ethic", "moral", "value", "virtue"]
 
 
@@ -118,7 +121,9 @@ def top_values(df: DataFrame, column: str, separator: str, n: int) -> DataFrame:
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     """count, missing, mean, median, sample deviation, least and most."""
     x = F.col(column)
-    return df.agg(F.count(x).alias("n"), F.sum(x.isNull().cast("long")).alias("missing"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
+    stats = df.agg(F.count(x).alias("n"), F.sum(x.isNull().cast("long")).alias("missing"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"), F.min(x).alias("least"), F.max(x).alias("most"))
+    middle = medians(df.select(x.alias("x")), "x").select(F.round("median_x", 6).alias("median"))
+    return stats.join(F.broadcast(middle)).select("n", "missing", "mean", "median", "std", "least", "most")  # a row each
 
 
 def summary(df: DataFrame, distinct: list[str], span: str | None = None) -> DataFrame:
@@ -147,16 +152,17 @@ def pair_counts(df: DataFrame, authors: str, categories: str, corrected: bool =
 def word_thresholds(docs: DataFrame, thresholds=(100, 500, 1000)) -> DataFrame:
     n = F.col("n")
     over = [F.sum((n > k).cast("long")) for k in thresholds]
-    return docs.select(word_count("text").alias("n")).agg(
+    rows = written(docs.select(word_count("text").alias("n")), "word-counts")
+    stats = rows.agg(
         F.count("*").alias("n_docs"),
         *(o.alias(f"over_{k}") for o, k in zip(over, thresholds)),
         *(F.round(100 * o / F.count("*"), 6).alias(f"percent_over_{k}") for o, k in zip(over, thresholds)),
         F.round(F.avg(n), 6).alias("mean_words"),
-        F.median(n).alias("median_words"),
         F.round(F.stddev_pop(n), 6).alias("std_words"),
         F.min(n).alias("min_words"),
         F.max(n).alias("max_words"),
     )
+    return stats.join(F.broadcast(medians(rows, "n").withColumnRenamed("median_n", "median_words")))  # a row each
 
 
 def word_examples(docs: DataFrame, thresholds=(100, 500, 1000), each: int = 10) -> DataFrame:
@@ -176,10 +182,11 @@ def content_lengths(docs: DataFrame) -> DataFrame:
     """Characters of the trimmed text and words, over documents that are not empty."""
     t = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"^\s+|\s+$", "")
     rows = docs.select(F.length(t).cast("long").alias("chars"), word_count("text").alias("words")).where("chars > 0")
+    rows = written(rows, "content-lengths")
     out = [F.count("*").alias("n_docs")]
     for c in ("chars", "words"):
-        out += [F.round(F.avg(c), 6).alias(f"mean_{c}"), F.median(c).alias(f"median_{c}"), F.round(F.stddev_pop(c), 6).alias(f"std_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
-    return rows.agg(*out)
+        out += [F.round(F.avg(c), 6).alias(f"mean_{c}"), F.round(F.stddev_pop(c), 6).alias(f"std_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
+    return rows.agg(*out).join(F.broadcast(medians(rows, "chars", "words")))  # a row each
 
 
 def availability(papers: DataFrame, files: DataFrame, key: str) -> DataFrame:

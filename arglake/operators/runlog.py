@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arglake.operators.quantiles import exact_quantiles
+
 LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)[,.]?\d*\s*\|\s*(\w+)\s*\|\s*([^|]*?)\s*\|\s*(.*)$"
 
 
@@ -22,7 +24,7 @@ def latency_stats(rows: DataFrame, latency: str, order: str, *by: str, last: int
     The last few are a bounded partial top-k: an array of ``last`` of the newest in each slice, then of the slices.
     """
     x = F.col(latency)
-    stats = rows.groupBy(*by).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.round(F.stddev_samp(x), 6).alias("std"))
+    stats = rows.groupBy(*by).agg(F.count(x).alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_samp(x), 6).alias("std"))
     from pyspark.sql import Window
 
     newest = rows.where(x.isNotNull()).withColumn("_s", F.pmod(F.xxhash64(order, latency), F.lit(64)))
@@ -30,7 +32,14 @@ def latency_stats(rows: DataFrame, latency: str, order: str, *by: str, last: int
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc(order), latency)
         newest = newest.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= last)
     tail = newest.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("o"), x.alias("x")))), lambda s: s.x).alias("last"))
-    return stats.join(tail, list(by), "left") if by else stats.join(F.broadcast(tail))
+    middle = exact_quantiles(rows, latency, [0.5], *by).select(*by, F.round(F.col("q")[0], 6).alias("median"))
+    if not by:
+        return stats.join(F.broadcast(middle), how="left").join(F.broadcast(tail), how="left").select("n", "mean", "median", "std", "last")
+    for more in (middle, tail):
+        named = more.select(*(F.col(b).alias(f"_{b}") for b in by), *(c for c in more.columns if c not in by))
+        same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]
+        stats = stats.join(named, same, "left").drop(*(f"_{b}" for b in by))
+    return stats.select(*by, "n", "mean", "median", "std", "last")
 
 
 def remaining_seconds(total, produced, mean_latency) -> Column:

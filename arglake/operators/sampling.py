@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arglake.functions.text import contains_any
 from arglake.operators.catalog import TOPIC
+from arglake.operators.quantiles import exact_quantiles
+from arglake.work import written
 
 
 def tfidf(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -22,9 +23,17 @@ def tfidf(df: DataFrame, key: str, column: str) -> DataFrame:
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def diversity(df: DataFrame, key: str, column: str, min_df: int = 2, most_terms: int = 1000, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """(key, distance): cosine distance of each row's TF-IDF vector to the mean vector."""
-    terms = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"\b\w\w+\b"), F.lit(0))).alias("term"))
+def diversity(df: DataFrame, key: str, column: str, min_df: int = 2, most_terms: int = 1000, stop_words: list[str] | None = None) -> DataFrame:
+    """(key, distance): cosine distance of each row's TF-IDF vector to the mean vector, over rows whose text is not null or blank.
+
+    ``stop_words`` are left out: Spark's list of English ones unless given.  A row without a term left is at distance 1.
+    """
+    if stop_words is None:
+        from pyspark.ml.feature import StopWordsRemover
+
+        stop_words = StopWordsRemover.loadDefaultStopWords("english")
+    df = df.where(F.trim(F.regexp_replace(column, r"\s+", " ")) != "")
+    terms = df.select(key, F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"\b\w\w+\b"), F.lit(0))).alias("term"))
     if stop_words:
         terms = terms.where(~F.col("term").isin(*stop_words))
     frequent = terms.groupBy("term").agg(F.count_distinct(key).alias("df"), F.count("*").alias("n")).where(F.col("df") >= min_df).orderBy(F.desc("n"), "term").limit(most_terms)
@@ -57,9 +66,9 @@ def quartiles(df: DataFrame, group: str, value: str, name: str = "quartile") ->
     Q1 where the value is null, the group has fewer than four values, or two edges are equal.
     """
     x = F.col(value).cast("double")
-    edges = df.groupBy(group).agg(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("_q"), F.min(x).alias("_low"), F.max(x).alias("_high"), F.count(x).alias("_n"))
-    edges = edges.withColumnRenamed(group, "_g")
-    out = df.join(edges, F.col(group).eqNullSafe(F.col("_g")))
+    cuts = exact_quantiles(df, value, [0.0, 0.25, 0.5, 0.75, 1.0], group)
+    edges = cuts.select(F.col(group).alias("_g"), F.slice("q", 2, 3).alias("_q"), F.col("q")[0].alias("_low"), F.col("q")[4].alias("_high"), F.col("n").alias("_n"))
+    out = df.join(edges, F.col(group).eqNullSafe(F.col("_g")), "left")
     q = F.col("_q")
     good = (F.col("_n") >= 4) & (F.col("_low") < q[0]) & (q[0] < q[1]) & (q[1] < q[2]) & (q[2] < F.col("_high"))
     label = F.when(~F.coalesce(good, F.lit(False)) | x.isNull() | (x <= q[0]), "Q1").when(x <= q[1], "Q2").when(x <= q[2], "Q3").otherwise("Q4")
@@ -77,44 +86,55 @@ def allocation(df: DataFrame, group: str, size: int) -> DataFrame:
     return out.select(group, "n", F.greatest(F.lit(0), F.col("share") + extra).cast("long").alias("allocated"))
 
 
-def _values(x) -> set:
-    """The values of a cell that hold one or several; missing ones count for nothing."""
-    return {v for v in (x if hasattr(x, "__iter__") and not isinstance(x, str) else [x]) if v is not None and v == v}
+def _used(df: DataFrame, columns: list[str]) -> Column:
+    """The values of columns that hold one or several, each with its column's number; missing ones count for nothing."""
+    kinds = dict(df.dtypes)
 
+    def values(i: int, c: str) -> Column:
+        many = F.coalesce(F.col(c), F.array()) if kinds[c].startswith("array") else F.array(c)
+        return F.transform(F.filter(many, lambda v: v.isNotNull() & ~F.coalesce(v == float("nan"), F.lit(False)) if "double" in kinds[c] or "float" in kinds[c] else v.isNotNull()), lambda v: F.struct(F.lit(i).alias("c"), v.cast("string").alias("v")))
 
-def _draw(rows: pd.DataFrame, most: int, keys: tuple[str, ...]) -> pd.DataFrame:
-    used: dict[str, set] = {k: set() for k in keys}
-    taken = []
-    for i, row in enumerate(rows.itertuples(index=False)):
-        if len(taken) >= most:
-            break
-        values = {k: _values(getattr(row, k)) for k in keys}
-        if any(values[k] & used[k] for k in keys):
-            continue
-        for k in keys:
-            used[k] |= values[k]
-        taken.append(i)
-    return rows.iloc[taken]
+    return F.array_distinct(F.flatten(F.array(*(values(i, c) for i, c in enumerate(columns)))))
 
 
-def constrained_draw(df: DataFrame, group: str, key: str, quotas: DataFrame, no_repeat: list[str], seed: int = 42, pool: int = 50_000) -> DataFrame:
+def constrained_draw(df: DataFrame, group: str, key: str, quotas: DataFrame, no_repeat: list[str], seed: int = 42) -> DataFrame:
     """Greedy draw in each group in hash order: up to the group's ``allocated`` rows, none of which repeats a value of the columns ``no_repeat``.
 
-    The draw is sequential inside a group.  What it can look at is bounded by ``pool`` rows a group, the first in hash order; a
-    group whose quota is not filled from them is completed by ``suggestions``.
+    The rows that a sequential draw takes, found in parallel rounds: a row is taken once none before it that is still
+    undecided shares a value with it, and then decides all rows that do.  In a random order few rounds are needed.
+    Rows after a group's last wanted one are dropped as soon as that is known.  No task holds a group or the rows of a value.
     """
-    rows = df.join(F.broadcast(quotas.select(group, "allocated")), group)
-    order = F.xxhash64(F.col(key), F.lit(seed))
-    rows = rows.withColumn("_o", order)
-    # the pool's limit is found by a partial top-k in slices, then in the group
-    for by in ([group, F.pmod("_o", F.lit(64))], [group]):
-        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_o", key))).where(F.col("_r") <= pool)
-
-    def draw(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_o", key])
-        return _draw(part, int(part["allocated"].iloc[0]), tuple(no_repeat)).drop(columns=["_o", "_r", "allocated"])
-
-    return rows.groupBy(group).applyInPandas(draw, df.schema)
+    order = F.struct(F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(key).alias("k"), F.monotonically_increasing_id().alias("i"))
+    rows = df.withColumn("_n", F.lit(1)).join(quotas.select(F.col(group).alias("_q"), F.col("allocated").alias("_most")).where("allocated > 0"), F.col(group).eqNullSafe(F.col("_q")))
+    rows = written(rows.drop("_q", "_n").withColumn("_o", order).withColumn("_v", _used(df, no_repeat)), "draw-rows")
+    left = rows.select(F.struct(F.col(group).alias("g")).alias("g"), "_most", F.col("_o").alias("o"), F.col("_v").alias("vs"))
+    taken = None
+    while True:
+        each = left.select("g", "o", F.explode("vs").alias("v"))
+        first = each.groupBy("g", "v").agg(F.min("o").alias("o"))
+        wins = first.groupBy("g", "o").agg(F.count("*").alias("wins"))
+        new = left.join(wins, ["g", "o"], "left").where(F.coalesce("wins", F.lit(0)) == F.size("vs")).select("g", "_most", "o", "vs")
+        new = written(new, "draw-taken")
+        taken = new.drop("vs") if taken is None else taken.unionByName(new.drop("vs"))
+        gone = each.join(new.select("g", F.explode("vs").alias("v")), ["g", "v"], "left_semi").select("g", "o").distinct()
+        rank = F.row_number().over(Window.partitionBy("g").orderBy("o"))
+        last = taken.withColumn("r", rank).where(F.col("r") == F.col("_most")).select("g", F.col("o").alias("last"))
+        left = left.join(new.select("g", "o"), ["g", "o"], "left_anti").join(gone, ["g", "o"], "left_anti")
+        left = left.join(last, "g", "left").where(F.col("last").isNull() | (F.col("o") < F.col("last"))).drop("last")
+        left = written(left, "draw-left")
+        if left.isEmpty():
+            break
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("o"))
+    taken = taken.withColumn("r", rank).where(F.col("r") <= F.col("_most")).select(F.col("o").alias("_o"))
+    return rows.join(taken, "_o", "left_semi").select(df.columns)
+
+
+def sample_with_suggestions(df: DataFrame, group: str, key: str, size: int, no_repeat: list[str], seed: int = 42) -> DataFrame:
+    """Allocation, draw and, where the draw falls short, suggestions: the rows with ``role`` 'sampled' or 'suggested'."""
+    drawn = written(constrained_draw(df, group, key, allocation(df, group, size), no_repeat, seed), "draw-sample")
+    short = size - drawn.count()
+    out = drawn.withColumn("role", F.lit("sampled"))
+    return out.unionByName(suggestions(df, drawn, short, no_repeat, key, seed + 1).withColumn("role", F.lit("suggested"))) if short > 0 else out
 
 
 def suggestions(rest: DataFrame, taken: DataFrame, shortage: int, no_repeat: list[str], key: str, seed: int = 43) -> DataFrame:

@@ -50,15 +50,34 @@ def title_tfidf(spark, sf_dir):
     return sampling.tfidf(table(spark, sf_dir, "part"), "p_partkey", "p_name").select("p_partkey", "term", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""
-WITH {_TFIDF}, f AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf, n FROM df, n WHERE df >= 2),
+#: Words that the titles of the query below leave out.
+_STOP_WORDS = ["the", "of", "and", "in", "for"]
+
+
+@query(rf"""
+WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 11 = 1 THEN '  ' WHEN p_partkey % 11 = 2 THEN 'the ' || p_name || ' of the ' || p_type ELSE p_name END AS title FROM part),
+k AS (SELECT * FROM t WHERE trim(title) <> ''), n AS (SELECT count(*) AS n FROM k),
+w AS (SELECT p_partkey, unnest(regexp_extract_all(lower(title), '\b\w\w+\b')) AS term FROM k),
+tf AS (SELECT p_partkey, term, count(*) AS tf FROM w WHERE term NOT IN ({", ".join(f"'{x}'" for x in _STOP_WORDS)}) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+f AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf, n FROM df, n WHERE df >= 2),
 r AS (SELECT p_partkey, term, tf * idf AS w, n FROM tf JOIN f USING (term)), u AS (SELECT p_partkey, term, w / sqrt(sum(w * w) OVER (PARTITION BY p_partkey)) AS w, n FROM r),
 c AS (SELECT term, sum(w) / max(n) AS c FROM u GROUP BY 1), l AS (SELECT sqrt(sum(c * c)) AS len FROM c),
 d AS (SELECT p_partkey, sum(w * c) AS dot FROM u JOIN c USING (term) GROUP BY 1)
-SELECT p_partkey, round(1 - coalesce(dot / len, 0), 6) AS distance FROM (SELECT DISTINCT p_partkey FROM part) LEFT JOIN d USING (p_partkey), l
+SELECT p_partkey, round(1 - coalesce(dot / len, 0), 6) AS distance FROM k LEFT JOIN d USING (p_partkey), l
 """)
 def title_diversity(spark, sf_dir):
-    return sampling.diversity(table(spark, sf_dir, "part"), "p_partkey", "p_name").select("p_partkey", F.round("distance", 6).alias("distance"))
+    """Titles that are missing, blank or have stop words, too."""
+    rest = F.col("p_partkey") % 11
+    title = F.when(rest == 0, F.lit(None)).when(rest == 1, F.lit("  ")).when(rest == 2, F.concat(F.lit("the "), "p_name", F.lit(" of the "), "p_type")).otherwise(F.col("p_name"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", title.alias("title"))
+    return sampling.diversity(parts, "p_partkey", "title", stop_words=_STOP_WORDS).select("p_partkey", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def sample_with_suggestions(spark, sf_dir):
+    """More rows are wanted than the draw can find without a repeated segment and balance, so that suggestions follow."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", F.floor("c_acctbal").alias("balance"))
+    return sampling.sample_with_suggestions(customers, "c_nationkey", "c_custkey", 150, ["c_mktsegment", "balance"])
 
 
 @query()

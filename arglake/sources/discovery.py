@@ -15,6 +15,16 @@ SHOTS = ("zero-shot", "one-shot", "few-shot")
 PIPELINES = {"pipeline2": ("are",), "pipeline3": ("adur",), "both": ("are", "adur")}
 
 
+def _bare(path):
+    """A path without scheme, machine and repeated or last slashes."""
+    return F.regexp_replace(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), r"(?<=/)/+|/+$", "")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def listing(spark: SparkSession, folder: str, pattern: str = "*.json", recursive: bool = False) -> DataFrame:
     """(path, name, folder) of the files under ``folder``, by path; ``folder`` is the name of the file's own one.  A folder that is not there has none."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
@@ -27,7 +37,7 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*.json", recursive
     steps = F.split("path", "/")
     files = files.select("path").select("path", F.element_at(steps, -1).alias("name"), F.element_at(steps, -2).alias("folder"))
     if not recursive:  # a glob reads the folders that it matches, too
-        files = files.where(F.col("folder") == folder.rstrip("/").split("/")[-1])
+        files = files.where(_bare(F.regexp_replace("path", "/[^/]*$", "")) == _bare(F.lit(folder)))
     return files.orderBy("path")
 
 
@@ -72,9 +82,11 @@ def shot_files(spark: SparkSession, folders: dict[str, str], shot: str = "all")
 
 
 def named_files(spark: SparkSession, names: list[str] | None = None, folder: str | None = None) -> DataFrame:
-    """The files named, or the JSON files of a folder."""
+    """The files named, or the JSON files of a folder, which must be there."""
     if names:
         return _union(spark, [spark.createDataFrame([(n, n.split("/")[-1], n.rstrip("/").split("/")[-2] if "/" in n else "")], _SCHEMA) for n in names])
+    if folder and not exists(spark, folder):
+        raise FileNotFoundError(f"input folder not found: {folder}")
     return listing(spark, folder) if folder else spark.createDataFrame([], _SCHEMA)
 
 

@@ -66,6 +66,12 @@ def test_discovery(spark, tmp_path):
         discovery.shot_files(spark, {}, "zero-shot")
     assert names(discovery.named_files(spark, folder=f"{base}/zero")) == ["z.json"]
     assert names(discovery.named_files(spark, ["/x/y.json"])) == ["y.json"] and names(discovery.named_files(spark)) == []
+    with pytest.raises(FileNotFoundError):
+        discovery.named_files(spark, folder=f"{base}/not-there")
+    (tmp_path / "a" / "a").mkdir(parents=True)
+    (tmp_path / "a" / "a" / "deep.json").write_text("[]")
+    (tmp_path / "a" / "own.json").write_text("[]")
+    assert names(discovery.listing(spark, f"{base}/a/")) == names(discovery.named_files(spark, folder=f"{tmp_path}/a")) == ["own.json"]
     (tmp_path / "ids_1.csv").write_text("identifier\nOLD\n")
     (tmp_path / "ids_2.csv").write_text("identifier,x\nA,1\n ,2\nB,3\n")
     found = discovery.input_list(spark, None, None, base)
