@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arglake.operators.runlog import last_of_each
+from arglake.streaming.keyed_table import KeyedTable
 
 
 def stream_table(spark: SparkSession, path: str, files_per_batch: int = 16, glob: str | None = None) -> DataFrame:
@@ -41,32 +40,19 @@ def save_each(outputs: DataFrame, path: str, checkpoint: str, every: str | None
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def _version(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{path}/version={number}") if number >= 0 else None
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return None
-
-
-def upsert_each(outputs: DataFrame, path: str, checkpoint: str, key: str, order: str):
-    """A table with one row a key, the last by ``order`` (of equals any): each batch writes a version of it, made of the one
-    before and the batch.  A replayed batch overwrites its version; ``latest`` reads the last."""
+def upsert_each(outputs: DataFrame, path: str, checkpoint: str, key: str, order: str, shards: int = 64):
+    """A table with one row a key, the last by ``order`` (of equals the one that came last): each batch is a commit of a
+    ``KeyedTable``, which rewrites the shards of its keys only; a replayed batch changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        before = _version(batch.sparkSession, path, number - 1)
-        rows = batch if before is None else before.unionByName(batch)
-        last_of_each(rows, key, order).write.mode("overwrite").parquet(f"{path}/version={number}")
+        KeyedTable(batch.sparkSession, path, key, order, shards).upsert(batch, number)
 
     return outputs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The last version that ``upsert_each`` has completed."""
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{path}/version=*").select("path")
-    number = done.agg(F.max(F.regexp_extract("path", r"version=(\d+)", 1).cast("int"))).first()[0]
-    return spark.read.parquet(f"{path}/version={number}")
+    """The rows of the last batch that ``upsert_each`` has committed."""
+    return KeyedTable(spark, path, "", "").read()
 
 
 def drain(result: DataFrame, name: str, mode: str = "complete") -> DataFrame:
