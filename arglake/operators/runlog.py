@@ -64,9 +64,9 @@ def checkpoints(outputs: DataFrame, by: str, order: str, fields: list[str]) -> D
     return packed.select(by, "num_outputs", F.to_json(F.struct(F.col(by).alias("strategy"), "num_outputs", "outputs")).alias("json"))
 
 
-def failures(log: DataFrame, key: str = "filename", when: str = "ts", error: str = "error") -> DataFrame:
-    """(key, attempts, first_seen, last_seen, last_error) of an append-only table of failures."""
-    return log.groupBy(key).agg(F.count("*").alias("attempts"), F.min(when).alias("first_seen"), F.max(when).alias("last_seen"), F.max_by(error, when).alias("last_error"))
+def failures(log: DataFrame, key: str = "filename", when: str = "ts", error: str = "error", order: str | None = None) -> DataFrame:
+    """(key, attempts, first_seen, last_seen, last_error) of an append-only table of failures; the last by ``order``, else by time."""
+    return log.groupBy(key).agg(F.count("*").alias("attempts"), F.min(when).alias("first_seen"), F.max(when).alias("last_seen"), F.max_by(error, order or when).alias("last_error"))
 
 
 def status_counts(results: DataFrame, status: str = "status") -> DataFrame:

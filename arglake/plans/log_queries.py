@@ -47,9 +47,7 @@ SELECT user_id, count(*) AS attempts, min(ts) AS first_seen, max(ts) AS last_see
 """)
 def failure_upsert(spark, sf_dir):
     log = table(spark, sf_dir, "events").where("event_type = 'error'")
-    out = runlog.failures(log, "user_id", "ts", "props").drop("last_error")
-    last = log.groupBy("user_id").agg(F.max_by("props", "event_id").alias("last_error"))
-    return out.join(last, "user_id")
+    return runlog.failures(log, "user_id", "ts", "props", "event_id")
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
