@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from arglake.operators import inference, prompts, retrieval
 from arglake.plans.registry import Registry
 from arglake.session import table
+from arglake.work import shared_dir
 
 query = Registry()
 
 
-@query("""
+_NEAREST = """
 SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6) AS score,
        row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), v.vec_id) AS rank
 FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10
-""")
+"""
+
+
+@query(_NEAREST)
 def vector_topk_l2(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return retrieval.top_k(vectors, queries, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(_NEAREST)
+def vector_index_search(spark, sf_dir):
+    """The same from an index of two additions, the second of which replaces wrong vectors of the first, that is then compacted."""
+    path = f"{shared_dir(spark)}/arglake/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = retrieval.VectorIndex(spark, path)
+    index.add(vectors.select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.reverse("embedding")).otherwise(F.col("embedding")).alias("embedding")))
+    index.add(vectors.where("vec_id % 3 = 0"))
+    index.compact()
+    found = index.search(vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""
+WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n = 0 THEN 0 WHEN n <= 80 THEN 1 ELSE 1 + ceil((n - 80) / 68)::BIGINT END)) AS i FROM w)
+SELECT doc_id AS id, i::INT AS chunk_index, least(80, n - 68 * i)::INT AS tokens FROM c
+""")
+def token_chunks(spark, sf_dir):
+    """Chunks of 80 words, 12 of them shared; the tests hold chunks of a tokenizer's tokens against brute force."""
+    return retrieval.token_chunks(table(spark, sf_dir, "documents"), size=80, overlap=12).select("id", "chunk_index", "tokens")
+
+
 @query("""
 WITH c AS (SELECT list(m ORDER BY i) AS c FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) t(i) GROUP BY i))
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 6) AS similarity FROM embeddings, c
