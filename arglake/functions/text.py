@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arglake.functions import similarity
+from arglake.functions.mojibake import repaired
 from arglake.functions.similarity import fuzzy_span
 from arglake.session import arrow_function
 
@@ -229,23 +230,8 @@ def clean_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 @arrow_function("string")
 def fix_mojibake(texts: pd.Series) -> pd.Series:
-    """UTF-8 that was read as Latin-1 or Windows-1252, decoded again while that works."""
-
-    def fix(t):
-        for _ in range(3):
-            if t is None or not re.search("[\u00c2\u00c3\u00e2][\u0080-\u00bf\u2018-\u2122]", t):
-                return t
-            for code in ("cp1252", "latin-1"):
-                try:
-                    t = t.encode(code).decode("utf-8")
-                    break
-                except UnicodeError:
-                    continue
-            else:
-                return t
-        return t
-
-    return texts.map(fix, na_action="ignore")
+    """Texts in which UTF-8 was read by a one-byte code, in parts or several times, as they were."""
+    return texts.map(repaired, na_action="ignore")
 
 
 # --- spans and similarity -------------------------------------------------------------------------

@@ -121,9 +121,12 @@ def clean_document(spark, sf_dir):
     return T.clean_documents(table(spark, sf_dir, "documents"), separator="\n")
 
 
-@query()
+@query("SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 3 THEN ' Schön – Schön' ELSE ' café' END AS p_name FROM part")
 def mojibake_fix(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", T.fix_mojibake("p_name").alias("p_name"))
+    """Names with a word that is whole, was decoded wrongly once or twice, or in part."""
+    rest = F.col("p_partkey") % 4
+    garbled = F.when(rest == 0, " café").when(rest == 1, " cafÃ©").when(rest == 2, " cafÃƒÂ©").otherwise(" SchÃ¶n – SchÃƒÂ¶n")
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", garbled).alias("p_name")).select("p_partkey", T.fix_mojibake("p_name").alias("p_name"))
 
 
 @query(r"""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from arglake.functions import similarity
 from arglake.functions import text as T
+from arglake.functions.mojibake import repaired
 
 
 def one(spark, value, f, ddl="x string"):
@@ -129,6 +130,26 @@ def test_batched_ratios():
     assert similarity.lcs_lengths(["".join(many)], ["".join(many[::2])]).tolist() == [200]
 
 
+def test_mojibake():
+    def garbled(text, code, times):
+        undefined = {b for b in range(128, 256) if not bytes([b]).decode(code, "ignore")}
+        for _ in range(times):
+            text = "".join(chr(b) if b in undefined else bytes([b]).decode(code) for b in text.encode())
+        return text
+
+    good = ["Schön", "naïve café", "“quoted” – it’s", "漢字テスト", "Ελληνικά", "emoji 😀 here", "Mañana señor ção", "à la carte", "Łódź żółć", "plain", "É ê ë", "±5°C × 2 ÷ 3 © § ¶", "√2 ≤ π", "L’Âge d’or", "SÃO PAULO – Ã", "MAÇÃ” e"]
+    for text in good:
+        assert repaired(text) == text
+    for text in good[:11]:
+        for code in ("latin-1", "cp1252", "cp1250", "mac-roman"):
+            for times in (1, 2, 3):
+                assert repaired(garbled(text, code, times)) == text, (text, code, times)
+        assert repaired(garbled("Schön", "cp1252", 1) + " und " + text) == "Schön und " + text  # mixed
+    assert repaired("Ã la carte") == "à la carte"  # the no-break space was lost
+    assert repaired("SchÃ¶n \ufffd Ã©tÃ©") == "Schön \ufffd été" and repaired("x Ã¶ ÃƒÂ¶") == "x ö ö"
+    assert repaired(None) is None and repaired("") == ""
+
+
 def test_small_functions(spark):
     assert one(spark, 3725.5, T.hms, "x double") == "1h 2m 5s"
     assert one(spark, "```json\n{}\n```", T.strip_code_fence) == "{}"
