@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arglake.functions.text import col, contains_any, multi_values, token_count, word_count
 from arglake.operators.quantiles import medians
@@ -223,3 +224,17 @@ def compare_samples(frame: DataFrame, sample: DataFrame, authors: str, categorie
         return df.agg(F.lit(name).alias("set"), F.count_distinct(key).alias("papers"), F.round(F.avg(F.size(authors)), 6).alias("authors_per_paper"), F.round(F.avg(F.size(categories)), 6).alias("categories_per_paper"))
 
     return row(frame, "frame").unionByName(row(sample, "sample"))
+
+
+def flattened(df: DataFrame) -> DataFrame:
+    """All columns as text, names trimmed: null as nothing, lists of plain values by semicolons, other nested values as JSON."""
+
+    def text(f: T.StructField) -> Column:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.ArrayType | T.MapType | T.StructType):
+            c = F.when(F.exists(c, lambda x: x.isNull()), F.to_json(c)).otherwise(F.array_join(c.cast("array<string>"), ";"))
+        elif isinstance(kind, T.ArrayType | T.MapType | T.StructType):
+            c = F.to_json(c)
+        return F.coalesce(c.cast("string"), F.lit("")).alias(f.name.strip())
+
+    return df.select(*map(text, df.schema.fields))

@@ -5,28 +5,49 @@ Outputs are (id, text, prompt_info struct<strategy, shot_type, ...>), as ``reade
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arglake.operators import maps, metrics
 from arglake.sources import discovery, readers
+from arglake.work import written
 
 #: Scores of an evaluated output.
 SCORES = ["precision", "recall", "f1", "support_f1", "attack_f1", "macro_f1", "adu_rmse", "rel_rmse", "combined_rmse", "scaled_rmse", "ged", "similarity", "combined_score"]
 
 
-def evaluate_outputs(outputs: DataFrame, gold_nodes: DataFrame, gold_edges: DataFrame, threshold: float = metrics.THRESHOLD) -> DataFrame:
+def _parsed(once: DataFrame, saved: str | None) -> DataFrame:
+    """``once`` with its parsed map ``m``; with ``saved``, a Parquet folder, maps that are there are reused and new ones added to it."""
+    if saved is None:
+        return once.withColumn("m", maps.parse_maps("text"))
+    spark = once.sparkSession
+    try:
+        known = spark.read.parquet(saved)
+    except AnalysisException as missing:
+        if not any(x in str(missing) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+            raise
+        known = None
+    new = once.select("h", "text").dropDuplicates(["h"])
+    if known is not None:
+        new = new.join(known.select("h"), "h", "left_anti")
+    new.select("h", maps.parse_maps("text").alias("m")).write.mode("append").parquet(saved)
+    return once.join(spark.read.parquet(saved).dropDuplicates(["h"]), "h")
+
+
+def evaluate_outputs(outputs: DataFrame, gold_nodes: DataFrame, gold_edges: DataFrame, threshold: float = metrics.THRESHOLD, saved_maps: str | None = None) -> DataFrame:
     """(output, paper_id, strategy, shot_type, parse_success, parse_error, <scores>): a row for each output, repeated ones too.
 
     ``gold_nodes`` and ``gold_edges`` have the paper in ``map_id``.  An output that cannot be parsed, or whose paper has
-    no gold map, has no scores; a missing id, strategy or shot type is 'unknown'.
+    no gold map, has no scores; a missing id, strategy or shot type is 'unknown'.  Parsed maps are kept in the folder
+    ``saved_maps``, and those of outputs that were parsed before are taken from there.
     """
     known = lambda c: F.coalesce(c, F.lit("unknown"))
     name = F.xxhash64("id", "text", F.to_json("prompt_info"))
     rows = outputs.select(name.alias("h"), known(F.col("id")).alias("paper_id"), known(F.col("prompt_info.strategy")).alias("strategy"), known(F.col("prompt_info.shot_type")).alias("shot_type"), F.coalesce("text", F.lit("")).alias("text"))
     # Equal outputs are parsed and scored once; every one of them has its row in the result.
     once = rows.groupBy("h", "paper_id", "strategy", "shot_type", "text").agg(F.count("*").cast("int").alias("times"))
-    parsed = once.withColumn("m", maps.parse_maps("text")).select("h", "paper_id", "strategy", "shot_type", "times", "m.*").withColumn("id", F.col("h").cast("string"))
+    parsed = _parsed(once, saved_maps).select("h", "paper_id", "strategy", "shot_type", "times", "m.*").withColumn("id", F.col("h").cast("string"))
     good = parsed.where("error is null")
     pred_nodes, pred_edges = maps.nodes_of(good), maps.edges_of(good)
     papers = good.select(F.col("id").alias("output"), F.col("paper_id").alias("map_id"))
@@ -51,6 +72,28 @@ def totals(results: DataFrame) -> DataFrame:
     return results.agg(n.alias("total_papers"), good.alias("successful_parses"), (n - good).alias("failed_parses"), F.when(n > 0, good / n).otherwise(0.0).alias("parse_success_rate"))
 
 
+def _breakdown(summary_rows: DataFrame, by: str, other: str) -> Column:
+    scores = [c for c in summary_rows.columns if c.startswith(("avg_", "std_"))]
+    entry = F.struct(F.col(by).alias("key"), F.struct("n", *scores).alias("value"))
+    return F.map_from_entries(F.filter(F.collect_list(F.when(F.col(by).isNotNull() & F.col(other).isNull(), entry)), lambda x: x.isNotNull()))
+
+
+def report(results: DataFrame) -> DataFrame:
+    """The report's one row: counts and rate of ``totals``, ``aggregate`` scores, and maps of scores by strategy and by shot type."""
+    rows = summary(results)
+    scores = [c for c in rows.columns if c.startswith(("avg_", "std_"))]
+    whole = F.max(F.when(F.col("strategy").isNull() & F.col("shot_type").isNull(), F.struct("n", *scores)))
+    parts = rows.agg(whole.alias("aggregate"), _breakdown(rows, "strategy", "shot_type").alias("by_strategy"), _breakdown(rows, "shot_type", "strategy").alias("by_shot_type"))
+    return totals(results).join(F.broadcast(parts))  # a row each
+
+
+def write_report(results: DataFrame, path: str) -> None:
+    """``results`` as JSON under ``path``: a row for each paper in ``papers``, then the report's one row in ``summary``, which a whole report has."""
+    kept = written(results, "evaluation")
+    kept.write.mode("overwrite").json(f"{path}/papers", ignoreNullFields=False)
+    report(kept).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+
+
 def outputs_of(spark: SparkSession, files: DataFrame) -> DataFrame:
     """The outputs of listed files, in any of their three layouts; a file that is listed twice is read twice.
 

@@ -169,3 +169,34 @@ def test_metrics_of_the_same_map_twice(spark):
     outputs = spark.createDataFrame([("p1", json.dumps(MAP), None)] * 2, "id string, text string, prompt_info struct<strategy:string,shot_type:string>")
     got = evaluation.evaluate_outputs(outputs, nodes, edges, metrics.THRESHOLD).collect()
     assert len(got) == 2 and all(r.combined_score == 0.875 and r.strategy == "unknown" for r in got)
+
+
+def test_report_and_saved_maps(spark, tmp_path):
+    nodes, edges = gold(spark)
+    told = [("p1", json.dumps(MAP), ("standard", "zero-shot")), ("p1", json.dumps(MAP), ("cot", "few-shot")), ("p1", "no map", ("cot", "zero-shot"))]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, text string, prompt_info struct<strategy:string,shot_type:string>")
+    saved = f"file://{tmp_path}/maps"
+    first = evaluation.evaluate_outputs(frame(told), nodes, edges, saved_maps=saved)
+    n = spark.read.parquet(saved).count()
+    assert n == 3
+    more = [*told, ("p2", json.dumps(MAP), ("cot", "zero-shot"))]
+    again = evaluation.evaluate_outputs(frame(more), nodes, edges, saved_maps=saved)
+    assert spark.read.parquet(saved).count() == 4  # only the new output was parsed
+    plain = evaluation.evaluate_outputs(frame(more), nodes, edges)
+    assert sorted(map(str, again.collect())) == sorted(map(str, plain.collect()))
+    assert first.count() == 3
+    evaluation.write_report(again, f"file://{tmp_path}/report")
+    (told,) = spark.read.json(f"file://{tmp_path}/report/summary").collect()
+    assert (told.total_papers, told.successful_parses, told.failed_parses, told.parse_success_rate) == (4, 3, 1, 0.75)
+    assert told.aggregate.n == 3 and told.by_strategy.standard.avg_f1 == 1 and told.by_strategy.cot.n == 2 and told.by_shot_type["few-shot"].avg_f1 == 1
+    assert spark.read.json(f"file://{tmp_path}/report/papers").count() == 4
+    evaluation.write_report(again.where("false"), f"file://{tmp_path}/empty")
+    assert spark.read.json(f"file://{tmp_path}/empty/summary").first().total_papers == 0
+
+
+def test_flattened(spark):
+    from arglake.operators import catalog
+
+    df = spark.createDataFrame([(1, ["a", "b"], {"k": [1]}, None, [1.5, 2.0]), (2, ["a", None], None, "x", [])], "` id ` int, tags array<string>, m map<string,array<int>>, t string, x array<double>")
+    assert [tuple(r) for r in catalog.flattened(df).collect()] == [("1", "a;b", '{"k":[1]}', "", "1.5;2.0"), ("2", '["a",null]', "", "x", "")]
+    assert catalog.flattened(df).columns == ["id", "tags", "m", "t", "x"]
