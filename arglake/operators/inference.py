@@ -9,7 +9,6 @@ import hashlib
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

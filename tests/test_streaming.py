@@ -1,7 +1,6 @@
 """Keyed tables and generation jobs: replays, crashes, restarts."""
 
 import os
-import time
 
 import pytest
 from pyspark.sql import functions as F
