@@ -190,7 +190,7 @@ def _scan(sample: list[tuple[str, bytes]], width: int, kind: str, most: int) ->
                 names, ids, raw = (c.to_pylist() for c in b.columns)
                 entries = matrix(raw, width, kind)
                 for q, (own, _) in enumerate(sample):
-                    new = [(s, i, raw[e]) for s, i, e in best_of(entries, ids, queries[q], most + len(ids[0])) if names[e] != own]
+                    new = [(s, i, raw[e]) for s, i, e in best_of(entries, ids, queries[q], 2 * most + 1) if names[e] != own]
                     kept[q] = sorted(kept[q] + new)[:most]
         rows = [(q, i, -s, r) for q, found in enumerate(kept) for s, i, r in found]
         if rows:
