@@ -181,12 +181,6 @@ def best_fuzzy_matches(spark, sf_dir):
     return metrics.best_matches(metrics.similarities(gold, pred, metrics.THRESHOLD)).select("map_id", "gold", "pred")
 
 
-@query()
-def adu_f1(spark, sf_dir):
-    gold, _, pred, _ = _gold_pred(spark, sf_dir)
-    return metrics.node_f1(gold, pred, metrics.similarities(gold, pred, metrics.THRESHOLD))
-
-
 _RELATIONS = f"""
 WITH {_GRAPH}, k AS (SELECT map_id, id, text, pos FROM n WHERE price <= 40000),
 m AS (SELECT g.map_id, g.id AS gold, g.pos, k.id AS pred FROM n g JOIN k ON g.map_id = k.map_id AND g.text = k.text QUALIFY row_number() OVER (PARTITION BY g.map_id, g.id ORDER BY k.pos) = 1),
@@ -200,6 +194,23 @@ c AS (SELECT map_id, coalesce(sum((g AND coalesce(p, false))::INT), 0) AS s_hit,
   FROM (SELECT DISTINCT map_id FROM e) LEFT JOIN j USING (map_id) GROUP BY 1)
 """
 
+_SIZES = """, ga AS (SELECT map_id, count(*) AS ga FROM n GROUP BY 1), pa AS (SELECT map_id, count(*) AS pa FROM k GROUP BY 1), gr AS (SELECT map_id, count(*) AS gr FROM e GROUP BY 1), pr AS (SELECT map_id, count(*) AS pr FROM pe GROUP BY 1),
+x AS (SELECT map_id, ga, coalesce(pa, 0) AS pa, coalesce(gr, 0) AS gr, coalesce(pr, 0) AS pr FROM ga LEFT JOIN pa USING (map_id) LEFT JOIN gr USING (map_id) LEFT JOIN pr USING (map_id))"""
+
+
+@query(_RELATIONS + _SIZES + " SELECT map_id, pa AS matched, CASE WHEN pa > 0 THEN 1.0 ELSE 0 END::DOUBLE AS precision, round(pa / ga, 6) AS recall, round(2 * pa / (ga + pa), 6) AS f1 FROM x")
+def adu_f1_of_equal_texts(spark, sf_dir):
+    """Node scores where only equal texts match: every predicted node has its own gold node."""
+    gold, _, pred, _ = _gold_pred(spark, sf_dir)
+    got = metrics.node_f1(gold, pred, metrics.similarities(gold, pred, 1.0), 1.0)
+    return got.select("map_id", "matched", "precision", F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"))
+
+
+@query()
+def adu_f1(spark, sf_dir):
+    gold, _, pred, _ = _gold_pred(spark, sf_dir)
+    return metrics.node_f1(gold, pred, metrics.similarities(gold, pred, metrics.THRESHOLD))
+
 
 @query(_RELATIONS + "SELECT map_id, round(CASE WHEN 2 * s_hit + s_off > 0 THEN 2.0 * s_hit / (2 * s_hit + s_off) ELSE 0 END, 6) AS support_f1, round(CASE WHEN 2 * a_hit + a_off > 0 THEN 2.0 * a_hit / (2 * a_hit + a_off) ELSE 0 END, 6) AS attack_f1 FROM c")
 def relation_f1(spark, sf_dir):
@@ -232,9 +243,7 @@ def count_rmse(spark, sf_dir):
     return _counts(spark, sf_dir).select("map_id", "adu_rmse", "rel_rmse", F.round("combined_rmse", 6).alias("combined_rmse"), F.round("scaled_rmse", 6).alias("scaled_rmse"))
 
 
-@query(_RELATIONS + """
-, ga AS (SELECT map_id, count(*) AS ga FROM n GROUP BY 1), pa AS (SELECT map_id, count(*) AS pa FROM k GROUP BY 1), gr AS (SELECT map_id, count(*) AS gr FROM e GROUP BY 1), pr AS (SELECT map_id, count(*) AS pr FROM pe GROUP BY 1),
-x AS (SELECT map_id, ga, coalesce(pa, 0) AS pa, coalesce(gr, 0) AS gr, coalesce(pr, 0) AS pr FROM ga LEFT JOIN pa USING (map_id) LEFT JOIN gr USING (map_id) LEFT JOIN pr USING (map_id)),
+@query(_RELATIONS + _SIZES + """,
 y AS (SELECT x.*, sqrt(((ga - pa) * (ga - pa) + (gr - pr) * (gr - pr)) / 2) AS off, coalesce((CASE WHEN 2 * s_hit + s_off > 0 THEN 2.0 * s_hit / (2 * s_hit + s_off) ELSE 0 END + CASE WHEN 2 * a_hit + a_off > 0 THEN 2.0 * a_hit / (2 * a_hit + a_off) ELSE 0 END) / 2, 0) AS macro FROM x LEFT JOIN c USING (map_id)),
 z AS (SELECT *, 2.0 * pa / (ga + pa) AS f1, 1 - exp(-off / greatest(1.0, (ga + gr) / 2)) AS scaled, ga - pa + gr - pr AS ged, 1 - (ga - pa + gr - pr) / (ga + pa + gr + pr) AS similarity FROM y)
 SELECT map_id, round(f1, 6) AS f1, round(macro, 6) AS macro_f1, round(scaled, 6) AS scaled_rmse, ged::DOUBLE AS ged, round(similarity, 6) AS similarity, round((f1 + macro + (1 - scaled) + similarity) / 4, 6) AS score FROM z
@@ -269,13 +278,14 @@ def parse_success_rate(spark, sf_dir):
     return metrics.success_rate(told.select(maps.parse_responses("t")["error"].isNull().alias("parse_success")))
 
 
-@query()
+@query(_RELATIONS + _SIZES + " SELECT map_id, (ga - pa + gr - pr)::DOUBLE AS ged, (ga - pa + gr - pr)::DOUBLE AS ged_low, round(1 - (ga - pa + gr - pr) / (ga + pa + gr + pr), 6) AS similarity FROM x")
 def graph_edit_distance(spark, sf_dir):
+    """Maps that lack some of their nodes: whatever nodes are like, no edit is cheaper than a node or an edge less each."""
     gold, ge, pred, pe = _gold_pred(spark, sf_dir)
     keep = ["map_id", "pos", "id", "text"]
     both = gold.select(keep).withColumn("side", F.lit("gold")).unionByName(pred.select(keep).withColumn("side", F.lit("pred")))
     links = ge.withColumn("side", F.lit("gold")).unionByName(pe.withColumn("side", F.lit("pred")))
-    return metrics.edit_similarity(both, links)
+    return metrics.edit_similarity(both, links).withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
