@@ -11,8 +11,8 @@ found almost only in toxic texts and often enough that chance does not explain i
 MAX_LABELLED labelled rows are used, chosen by a hash of their id; everything else covers all rows.
 
 Edge cases: null counts as empty, and an empty text gets the score of no match; rows without a label
-(or a null one) are not learned from; without labelled rows the built-in terms and curve are used; an
-empty table gives an empty result; labels, language, source and id are no inputs of a score.
+(or a null one) are not learned from; no terms are built in, so without labelled rows only
+a caller's own terms count and nothing is found if there are none; an empty table gives an empty result; labels, language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,10 +47,6 @@ HOMOGLYPHS = {
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "l", "+": "t"}
 #: One letter stands for both where a digit may mean either.
 SAME = {"l": "i"}
-#: Built-in terms (whole words) and their weights.
-SEED = {"idiot": 3.0, "idiots": 3.0, "moron": 3.0, "morons": 3.0, "stupid": 2.0, "scum": 3.0, "loser": 2.0, "losers": 2.0, "worthless": 2.0, "pathetic": 2.0, "disgusting": 2.0, "trash": 1.5, "clown": 1.5}
-#: Phrases inside which a term does not count.
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bag", "trash collection", "take out the trash", "clown fish", "circus clown", "rodeo clown", "sore loser rule")
 
 
 def _table() -> dict[int, str]:
@@ -253,8 +249,9 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(map(float, w))
 
 
-def learn(docs: DataFrame, labels: DataFrame, training, most: int = MAX_LABELLED) -> Lexicon:
-    """A lexicon learned from the labelled rows for which ``training`` (a column of ``labels``) holds."""
+def learn(docs: DataFrame, labels: DataFrame, training, most: int = MAX_LABELLED, terms: dict[str, float] | None = None, exceptions: Iterable[str] = ()) -> Lexicon:
+    """A lexicon learned from the labelled rows for which ``training`` (a column of ``labels``) holds; a caller's own ``terms`` (whole
+    words and their weights) and ``exceptions`` (phrases) come before it.  None are built in."""
     rows = labelled_rows(docs, labels, training, most)
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
@@ -262,8 +259,8 @@ def learn(docs: DataFrame, labels: DataFrame, training, most: int = MAX_LABELLED
     counts = frequent.join(_counted(rows.where("toxic = 0"), _terms_of).select("term", F.col("n").alias("n0")), "term", "left")
     found = counts.select("term", "n", F.coalesce("n0", F.lit(0)).alias("n0")).where(_may_be_chosen(n_toxic, n_clean)).collect()
     chosen = choose_terms({r.term: r.n for r in found}, {r.term: r.n0 for r in found}, n_toxic, n_clean)
-    words_ = {fold(t): w for t, w in SEED.items()} | {t[:-1]: w for t, w in chosen.items() if t[-1] == " "}
-    lexicon = Lexicon(words_, {t[:-1]: w for t, w in chosen.items() if t[-1] == "-"}, EXCEPTIONS)
+    words_ = {fold(t): w for t, w in (terms or {}).items()} | {t[:-1]: w for t, w in chosen.items() if t[-1] == " "}
+    lexicon = Lexicon(words_, {t[:-1]: w for t, w in chosen.items() if t[-1] == "-"}, tuple(exceptions))
     lexicon.exceptions += tuple(_learned_exceptions(rows, lexicon))
     sample = rows.select("toxic", "text").mapInArrow(_featured(lexicon), "x double, y double, toxic int").collect()  # numbers of at most about ``most`` rows
     if n_toxic >= 5 and n_clean >= 5:
