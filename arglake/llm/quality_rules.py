@@ -10,7 +10,8 @@ sketch is the sum of its groups', the corpus' that of all.
 Quartiles of a sketch give the group's fences, REACH spreads beyond them; a document outside any fence
 of its group is not kept.  The spread is the distance of the quartiles, and for shares at least what
 UNIT occurrences make in a short text of the group (the upper quartile of an occurrence over the denominator): less than
-that cannot be told from chance.  No cutoff is fixed.  Small groups lean on their language and languages on the corpus:
+that cannot be told from chance.  A share is at most 1, so its fence bends: of the room between the quartile and 1 it takes
+reach / sqrt(room^2 + reach^2), which is nearly the reach itself where that is small and never all of the room.  No cutoff is fixed.  Small groups lean on their language and languages on the corpus:
 quartiles are averaged with those of the coarser sketch, which counts as PRIOR documents.
 
 Edge cases: a null or empty text has no words and fails the base rule; null ``lang`` or ``source`` is a
@@ -158,9 +159,11 @@ def thresholds(rows: DataFrame) -> DataFrame:
         spread = value[r]["q3"] - value[r]["q1"]
         if not step:
             fences.append((value[r]["q1"] - REACH * spread).alias(f"{r}_low"))
+            fences.append((value[r]["q3"] + REACH * spread).alias(f"{r}_high"))
         else:
-            spread = F.greatest(spread, UNIT * value[f"{r}_unit"]["q3"])
-        fences.append((value[r]["q3"] + REACH * spread).alias(f"{r}_high"))
+            reach = REACH * F.greatest(spread, UNIT * value[f"{r}_unit"]["q3"])
+            room = 1 - value[r]["q3"]
+            fences.append((value[r]["q3"] + room * reach / F.sqrt(room * room + reach * reach)).alias(f"{r}_high"))
     return of_group.groupBy("lang", "source").agg(*fences)
 
 

@@ -87,7 +87,7 @@ def test_large_and_mixed_pages_take_seconds():
 
 def test_folding_and_matches():
     assert len(toxicity.fold("İdIоT1 ß Ｘ")) == len("İdIоT1 ß Ｘ")
-    m = toxicity.Lexicon({toxicity.fold(w): 2.0 for w in ("idiot", "clown")}, {toxicity.fold("lowei"): 3.0}, toxicity.EXCEPTIONS).matcher()
+    m = toxicity.Lexicon({toxicity.fold(w): 2.0 for w in ("idiot", "clown")}, {toxicity.fold("lowei"): 3.0}, ("clown fish",)).matcher()
     for t in ("IDIOT", "1d10t", "іdiоt", "an idiot.", "ｉｄｉｏｔ", "cl0wn!", "loweischaft", "(idiot)"):
         assert m.matches(t), t
     for t in ("", "idiotic", "xidiot", "clown fish", "a clown fish swims", "slowei", "100 %"):
@@ -132,7 +132,9 @@ def test_toxicity_learns(spark):
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "you idiot", "x"), (2, "fine", "x")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r.doc_id: r.predicted for r in toxicity.toxicity(d, none).collect()} == {1: 1, 2: 0}
+    assert {r.doc_id: r.predicted for r in toxicity.toxicity(d, none).collect()} == {1: 0, 2: 0}  # no term is built in
+    own = toxicity.learn(d, none, toxicity.training_rows(), terms={"idiot": 3.0, "fine": 3.0}, exceptions=["fine"])
+    assert [r.doc_id for r in toxicity.clean_rows(d, own).collect()] == [2]
     assert toxicity.toxicity(d.limit(0), none).collect() == []
     spans = toxicity.score(d, toxicity.Lexicon({"idiot": 3.0})).where("doc_id = 1").first().spans
     assert [(s.start, s.end) for s in spans] == [(4, 9)]
@@ -212,7 +214,8 @@ def brute_kept(rows):
             spread = q3 - q1
             if r != "mean":
                 spread = max(spread, 2 * leaning(group, lambda c: share(step, c[b]))[1])
-            fences[group, r] = (q1 - 6 * spread if r == "mean" else -1, q3 + 6 * spread)
+            reach, room = 6 * spread, 1 - q3
+            fences[group, r] = (q1 - reach, q3 + reach) if r == "mean" else (-1, q3 + room * reach / math.hypot(room, reach))
     out = []
     for c, f in zip(counted, failed):
         inside = all((x := fences.get((c[:2], r))) is None or x[0] <= share(c[a], c[b]) <= x[1] for r, (a, b, _) in numerators.items())
@@ -250,6 +253,29 @@ def test_quality_fences_differ_by_group_on_the_tables(spark):
         assert len({x[name] for x in fences}) > 0.8 * len(fences)
 
 
+def test_every_fence_of_the_tables_can_fire(spark):
+    """Each group of the tables would reject a text that is as bad as can be in one ratio; the share fences are below what the base rule takes, or below 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(5)
+    plain = lambda n: [f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('lmnrs')}{r.choice('aeiou')}{k % 10}{k // 10}" for k in range(n)]
+    bad = {
+        "mean_word_chars": " ".join("x".join(plain(3)) * 2 for _ in range(60)),
+        "symbol_share": " ".join(w + "##" for w in plain(80)),
+        "dup_line_share": " ".join(plain(300)) + "\nagain" * 120,
+        "repeat_share": " ".join(plain(66) + [*"stuvwxyzab"] * 6),
+    }
+    groups = [(x.lang, x.source) for x in docs.groupBy("lang", "source").count().where("count >= 20").collect()]
+    rows = [(-1 - 10 * i - k, t, *g) for i, g in enumerate(groups[:10]) for k, t in enumerate(bad.values())]
+    both = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    fired: dict[str, set] = {name: set() for name in bad}
+    for x in quality_rules.judge(both).where("doc_id < 0").collect():
+        for name in bad:
+            if not x.base_failed and x[name] > x[f"{name}_high"]:
+                assert not x.kept
+                fired[name].add((x.lang, x.source))
+    assert all(fired.values()), {k: len(v) for k, v in fired.items()}
+
+
 def test_sketches_merge(spark):
     r = np.random.default_rng(1)
     values = r.lognormal(0, 1, 4000)
