@@ -55,7 +55,7 @@ HELD_PAIRS = 600_000
 #: Occurrences of a shingle among the sets of a buffer from which on its pairs are spread over all tasks.
 HOT = 64
 #: Sets to a pivot; pivots of a region, at most; sets of its own with which a cell is joined.
-CELL, PIVOTS, JOINED = 192, 256, 512
+CELL, PIVOTS, JOINED = 12, 96, 512
 #: Rows of a slice of a region, and of a cell's visitors; levels of pivots.
 SLICE, VISITORS, LEVELS = 256, 2048, 6
 #: How much farther than its nearest pivot a set's own may be.
