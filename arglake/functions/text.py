@@ -133,14 +133,16 @@ def stripped(c) -> Column:
 _YEAR = r"[1-3][0-9]{3}"
 
 
+def _heads(t: Column) -> Column:
+    tokens = F.split(t, " ")
+    dated = F.coalesce(F.get(tokens, 1), F.lit("")).rlike(_YEAR)
+    return t.startswith("©") | ((t.startswith("r") | (F.get(tokens, 0) == "copyright")) & dated)
+
+
 def drop_header(c) -> Column:
     """Lines of under 50 characters become empty if they begin with a copyright sign, or with ``r...`` or the word
     ``copyright`` (as written) before a token that holds four digits like a year's."""
-    t = stripped(c)
-    tokens = F.split(t, " ")
-    dated = F.coalesce(F.get(tokens, 1), F.lit("")).rlike(_YEAR)
-    head = t.startswith("©") | ((t.startswith("r") | (F.get(tokens, 0) == "copyright")) & dated)
-    return F.when((F.length(col(c)) < 50) & head, F.lit("")).otherwise(col(c))
+    return F.when((F.length(col(c)) < 50) & _heads(stripped(c)), F.lit("")).otherwise(col(c))
 
 
 def squeeze_spaces(c) -> Column:
@@ -181,22 +183,21 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-# Accents that conversion leaves behind a letter, the letters that take each, and the letters they make.
+# Letters with the accent that conversion leaves behind them, and the letters they make.
 ACCENTS = {
-    "\u00b4": ("aeiouAEIOU", "áéíóúÁÉÍÓÚ"),
-    "\u00a8": ("aeiouAEIOU", "äëïöüÄËÏÖÜ"),
-    "^": ("aeiouAEIOU", "âêîôûÂÊÎÔÛ"),
-    "`": ("aeiouAEIOU", "àèìòùÀÈÌÒÙ"),
-    "~": ("aonAON", "ãõñÃÕÑ"),
-}
-_COMPOSED = {letter + accent: made for accent, (letters, composed) in ACCENTS.items() for letter, made in zip(letters, composed)}
-_LONE = re.compile("|".join(re.escape(x) for x in _COMPOSED))
+    "a\u00b4": "á", "e\u00b4": "é", "i\u00b4": "í", "o\u00b4": "ó", "u\u00b4": "ú", "A\u00b4": "Á", "E\u00b4": "É", "I\u00b4": "Í", "O\u00b4": "Ó", "U\u00b4": "Ú",
+    "a\u00a8": "ä", "e\u00a8": "ë", "i\u00a8": "ï", "o\u00a8": "ö", "u\u00a8": "ü", "A\u00a8": "Ä", "E\u00a8": "Ë", "I\u00a8": "Ï", "O\u00a8": "Ö", "U\u00a8": "Ü",
+    "a^": "â", "e^": "ê", "i^": "î", "o^": "ô", "u^": "û", "A^": "Â", "E^": "Ê", "I^": "Î", "O^": "Ô", "U^": "Û",
+    "a`": "à", "e`": "è", "i`": "ì", "o`": "ò", "u`": "ù", "A`": "À", "E`": "È", "I`": "Ì", "O`": "Ò", "U`": "Ù",
+    "a~": "ã", "o~": "õ", "n~": "ñ", "A~": "Ã", "O~": "Õ", "N~": "Ñ",
+}
+_LONE = re.compile("|".join(re.escape(x) for x in ACCENTS))
 _MARKS = re.compile("[\u0300-\u036f\u00a8\u02c0-\u02df]")
 
 
 def compose_accents(text: str) -> str:
     """A letter and the accent behind it become one letter; combining marks and spacing modifiers that are left go."""
-    return _MARKS.sub("", _LONE.sub(lambda m: _COMPOSED[m[0]], text))
+    return _MARKS.sub("", _LONE.sub(lambda m: ACCENTS[m[0]], text))
 
 
 @arrow_function("string")
@@ -210,17 +211,23 @@ def _normalised(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: compose_accents(unicodedata.normalize("NFKC", t)), na_action="ignore")
 
 
-def clean_paragraph(c) -> Column:
-    """T2-T4 of a paragraph; to null where T5-T7 drop it, else T8 and T9."""
-    t = squeeze_spaces(drop_header(newlines_to_spaces(c)))
-    keep = (F.length(t) >= 2) & (cid_share(t) <= 0.1) & (letter_share(t) >= 0.4)
-    return F.when(keep, remove_cids(strip_edge_digits(t)))
+def clean_paragraphs(paragraphs) -> Column:
+    """T2-T4 of each paragraph of an array, T5-T7 drop some, T8 and T9 of the others.
+
+    Each step is an array of its own: inside one function of an element nothing is shared, so that what a later step names
+    twice would be computed twice.
+    """
+    lines = F.transform(col(paragraphs), lambda p: newlines_to_spaces(p))
+    bare = F.transform(lines, lambda p: F.struct(p.alias("p"), F.when(F.length(p) < 50, stripped(p)).alias("t")))
+    squeezed = F.transform(bare, lambda x: squeeze_spaces(F.when(_heads(x["t"]), F.lit("")).otherwise(x["p"])))
+    kept = F.filter(squeezed, lambda t: (F.length(t) >= 2) & (cid_share(t) <= 0.1) & (letter_share(t) >= 0.4))
+    return F.transform(kept, lambda t: remove_cids(strip_edge_digits(t)))
 
 
 def clean_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", separator: str = "\n\n") -> DataFrame:
     """(id, text): the cleaned text, paragraphs joined by blank lines; one Arrow function (NFKC and accents) for each document, the rest built in."""
-    paragraphs = F.transform(F.split(dehyphenate(F.coalesce(F.col(text_column), F.lit(""))), separator), lambda p: clean_paragraph(p))
-    joined = F.array_join(F.filter(F.transform(paragraphs, lambda p: plain_characters(p)), lambda p: p.isNotNull()), "\n\n")
+    paragraphs = clean_paragraphs(F.split(dehyphenate(F.coalesce(F.col(text_column), F.lit(""))), separator))
+    joined = F.array_join(F.transform(paragraphs, lambda p: plain_characters(p)), "\n\n")
     cleaned = docs.select(F.col(id_column), _normalised(joined).alias("text"))
     return cleaned.select(id_column, F.array_join(F.filter(F.split("text", "\n\n"), lambda p: p != ""), "\n\n").alias("text"))
 

@@ -19,9 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _work_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/arglake/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in the shared folder, read back: lineage ends there, and what comes after does not compute it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/arglake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application: call it once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
