@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pairs whose rows are held in arrays at once (elements of the widest).
 CELLS = 1 << 22
@@ -125,6 +129,34 @@ def ratios(a: list[str | None], b: list[str | None], least: float = 0.0) -> np.n
     return out
 
 
+def scores_of_lists(a: pa.Array, b: pa.Array, least: float = 0.0, strip: bool = False) -> Iterator[np.ndarray]:
+    """For each row, the ``ratios`` of all texts of its list in ``a`` with all of its list in ``b``, in the order of the first.
+
+    Equal pairs of a block's texts, of up to CELLS pairs or one row, are compared once.
+    """
+    n, m = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+    ends = np.cumsum(n * m)
+    start = 0
+    while start < len(n):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CELLS, "right")))
+        flat = [x.slice(start, end - start).flatten() for x in (a, b)]
+        known: dict[str | None, int] = {}
+        codes = []
+        for x in flat:
+            coded = x.dictionary_encode(null_encoding="encode")
+            own = [(t or "").strip() if strip else t for t in coded.dictionary.to_pylist()]
+            codes.append(np.array([known.setdefault(t, len(known)) for t in own], np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.empty(0, np.int64))
+        wide = np.repeat(m[start:end], n[start:end])  # partners of each text of a
+        first = np.repeat(np.cumsum(m[start:end]) - m[start:end], n[start:end])
+        within = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+        pairs, place = np.unique(np.repeat(codes[0], wide) * max(1, len(known)) + codes[1][np.repeat(first, wide) + within], return_inverse=True)
+        texts = list(known)
+        i, j = np.divmod(pairs, max(1, len(texts)))
+        found = ratios([texts[x] for x in i.tolist()], [texts[x] for x in j.tolist()], least)[place]
+        yield from np.split(found, ends[start : end - 1] - (ends[start - 1] if start else 0))
+        start = end
+
+
 # --- a text in a document -------------------------------------------------------------------------
 
 

@@ -303,7 +303,7 @@ def fuzzy_ratio_from(least: float):
 def ratio_bound(a, b) -> Column:
     """An upper bound of the ratio from the lengths alone, to filter before the exact function."""
     la, lb = F.length(a), F.length(b)
-    return 2 * F.least(la, lb) / (la + lb)
+    return F.try_divide(2 * F.least(la, lb), la + lb)
 
 
 def exact_spans(text: str, document: str) -> list[tuple[int, int]]:

@@ -48,11 +48,12 @@ def evaluate_outputs(outputs: DataFrame, gold_nodes: DataFrame, gold_edges: Data
     # Equal outputs are parsed and scored once; every one of them has its row in the result.
     once = rows.groupBy("h", "paper_id", "strategy", "shot_type", "text").agg(F.count("*").cast("int").alias("times"))
     parsed = _parsed(once, saved_maps).select("h", "paper_id", "strategy", "shot_type", "times", "m.*").withColumn("id", F.col("h").cast("string"))
-    good = parsed.where("error is null")
-    pred_nodes, pred_edges = maps.nodes_of(good), maps.edges_of(good)
-    papers = good.select(F.col("id").alias("output"), F.col("paper_id").alias("map_id"))
-    own = lambda g: g.join(papers, "map_id").drop("map_id").withColumnRenamed("output", "map_id")
-    scores = metrics.evaluate(own(gold_nodes), own(gold_edges), pred_nodes, pred_edges, threshold)
+    parsed = written(parsed, "parsed-maps")
+    node = lambda x, i: F.struct(i.cast("long").alias("pos"), x["id"].alias("id"), x["text"].alias("text"), x["quote"].alias("quote"))
+    edge = lambda x, i: F.struct(i.cast("long").alias("pos"), x["src"].alias("src"), x["tgt"].alias("tgt"), x["type"].alias("type"))
+    good = parsed.where("error is null").select(F.col("id"), "paper_id", F.transform("adus", node).alias("pred_nodes"), F.transform("relations", edge).alias("pred_edges"))
+    gold = metrics.sides("paper_id", gold=(gold_nodes, gold_edges))
+    scores = metrics.scored(good.join(gold, "paper_id").withColumnRenamed("id", "map_id"), threshold)
     keep = [c for c in SCORES if c in scores.columns]
     scores = scores.select(F.col("map_id").alias("id"), *keep)
     out = parsed.select("id", "paper_id", "strategy", "shot_type", "times", F.col("error").isNull().alias("parse_success"), F.col("error").alias("parse_error")).join(scores, "id", "left")

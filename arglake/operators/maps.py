@@ -287,7 +287,7 @@ def edges_of(maps: DataFrame) -> DataFrame:
 
 
 def with_known_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    ids = nodes.select("map_id", F.col("id").alias("_i")).distinct()
+    ids = nodes.select("map_id", F.col("id").alias("_i"))
     for end in ("src", "tgt"):
         edges = edges.alias("e").join(ids.alias("n"), (F.col("e.map_id") == F.col("n.map_id")) & (F.col(f"e.{end}") == F.col("n._i")), "left_semi")
     return edges

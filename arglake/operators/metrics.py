@@ -6,12 +6,17 @@ those of the map with the same id.
 
 from __future__ import annotations
 
+import functools
+import json
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arglake.functions.edit_distance import edit_distance
-from arglake.functions.similarity import ratios
+from arglake.functions.similarity import ratios, scores_of_lists
 from arglake.functions.text import fuzzy_ratio, fuzzy_ratio_from, ratio_bound
 from arglake.session import arrow_function
 
@@ -122,49 +127,120 @@ def edge_kind(type_: str | None) -> str:
     return "support" if kind in ("", "unknown") else kind
 
 
+@functools.lru_cache(1 << 16)
+def _distance(n: int, m: int, gold: tuple, pred: tuple, like: bytes, bounds: int | None) -> tuple[int, int]:
+    """``edit_distance`` of graphs of n and m nodes; many maps pose the same problem."""
+    return edit_distance((range(n), gold), (range(m), pred), np.frombuffer(like, bool).reshape(n, m), bounds)
+
+
+@functools.lru_cache(1 << 16)
+def _edits(shape: str, like: bytes, bounds: int | None) -> tuple[float, float, float]:
+    """(ged, ged_low, similarity) of a pair of maps from its shape and the likeness of its nodes; an end that is no node becomes one, which is like no other."""
+    sides = json.loads(shape)
+    sizes, graphs = [], []
+    for ids, links in (sides[:2], sides[2:]):
+        number = {x: i for i, x in enumerate(ids)}
+        last = {(s, t): edge_kind(k) for s, t, k in links if s is not None and t is not None}
+        ends = sorted({e for x in last for e in x} - set(number))
+        number |= {e: len(ids) + i for i, e in enumerate(ends)}
+        sizes.append(len(ids) + len(ends))
+        graphs.append(tuple(sorted((number[s], number[t], k) for (s, t), k in last.items())))
+    n, m = sizes
+    same = np.zeros((n, m), bool)
+    a, b = len(sides[0]), len(sides[2])
+    same[:a, :b] = np.frombuffer(like, bool).reshape(a, b)
+    low, high = _distance(n, m, *graphs, same.tobytes(), bounds)
+    return float(high), float(low), 1 - min(1.0, high / max(1, n + m + len(graphs[0]) + len(graphs[1])))
+
+
+@functools.lru_cache(1 << 16)
+def _matched(shape: str, scores: bytes, threshold: float) -> tuple[int, float, float]:
+    """(matched, support_f1, attack_f1) as of ``node_f1`` and ``relation_f1``, from a pair's shape and the scores of its nodes."""
+    gold, gold_links, pred, pred_links = json.loads(shape)
+    rows = np.frombuffer(scores).reshape(len(gold), len(pred)).tolist()
+    pairs = [(i, s, j) for i, row in enumerate(rows) for j, s in enumerate(row) if s >= threshold]
+    matched = greedy_matches([{"gold_pos": i, "score": s, "pred": pred[j], "pred_pos": j} for i, s, j in pairs])
+    best: dict[int, tuple] = {}
+    for i, s, j in pairs:
+        best[i] = max(best.get(i, (s, -j)), (s, -j))
+    ends = {gold[i] for i in best}
+    back = {pred[-best[i][1]]: gold[i] for i in sorted(best)}
+    moved: dict[tuple, bool | None] = {}
+    for s, t, k in pred_links:
+        if s in back and t in back:
+            moved.setdefault((back[s], back[t]), None if k is None else k == "support")
+    hits, wrong = [0, 0], [0, 0]  # of support, of attack
+    for s, t, k in gold_links:
+        if s in ends and t in ends and k is not None:
+            said = moved.get((s, t))
+            for i, own, hit in ((0, k == "support", said is True), (1, k != "support", said is False)):
+                hits[i] += own and hit
+                wrong[i] += own != hit
+    f1 = [2 * h / (2 * h + w) if 2 * h + w else 0.0 for h, w in zip(hits, wrong)]
+    return matched, f1[0], f1[1]
+
+
+def sides(key: str = "map_id", **parts: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(key, <name>_nodes, <name>_edges of each named (nodes, edges)): a row for each map that has any, in the order of ``pos``.
+
+    One grouping: frames that are parted by map alike stay where they are.
+    """
+    node, edge = "struct<pos:bigint,id:string,text:string,quote:string>", "struct<pos:bigint,src:string,tgt:string,type:string>"
+    kinds = {f"{name}_{part}": kind for name in parts for part, kind in (("nodes", node), ("edges", edge))}
+    every = None
+    for name, (nodes, edges) in parts.items():
+        quote = F.col("quote") if "quote" in nodes.columns else F.lit(None)
+        own = {f"{name}_nodes": (nodes, F.struct("pos", "id", "text", quote)), f"{name}_edges": (edges, F.struct("pos", "src", "tgt", "type"))}
+        for column, (df, value) in own.items():
+            rows = df.select(F.col("map_id").alias(key), *((value if c == column else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()))
+            every = rows if every is None else every.unionByName(rows)
+    return every.groupBy(key).agg(*(F.array_sort(F.collect_list(c)).alias(c) for c in kinds))
+
+
+def _compared(both: DataFrame, threshold: float, bounds: int | None, match: bool) -> DataFrame:
+    """``both``, a row for each pair of maps as ``sides`` gives them, to (map_id, [matched, support_f1, attack_f1,] ged, ged_low, similarity).
+
+    Python gets the texts and, as one JSON text, the rest of a pair: its shape.  A batch's equal pairs of texts are compared
+    once, and equal problems are solved once by a worker.
+    """
+    kind = dict(both.dtypes)["map_id"]
+    part = lambda name: F.coalesce(name, F.array())
+    ids = lambda name: F.transform(part(name), lambda x: x["id"])
+    links = lambda name: F.transform(part(name), lambda x: F.array(x["src"], x["tgt"], x["type"]))
+    texts = lambda name: F.transform(part(name), lambda x: x["text"])
+    told = lambda name: F.transform(part(name), lambda x: F.coalesce(F.nullif(x["text"], F.lit("")), x["quote"]))
+    shape = F.concat(F.lit("["), F.concat_ws(",", *(F.to_json(f(n)) for n, f in (("gold_nodes", ids), ("gold_edges", links), ("pred_nodes", ids), ("pred_edges", links)))), F.lit("]"))
+    columns = ["map_id", shape.alias("shape"), told("gold_nodes").alias("g"), told("pred_nodes").alias("p")]
+    if match:
+        columns += [texts("gold_nodes").alias("a"), texts("pred_nodes").alias("b")]
+
+    def work(batches):
+        for batch in batches:
+            shapes = batch.column(1).to_pylist()
+            found = []
+            like = scores_of_lists(batch.column(2), batch.column(3), threshold, strip=True)
+            own = scores_of_lists(batch.column(4), batch.column(5), threshold) if match else iter(())
+            for x in shapes:
+                edits = _edits(x, (next(like) >= threshold).tobytes(), bounds)
+                found.append((_matched(x, next(own).tobytes(), threshold) if match else ()) + edits)
+            out = [pa.array(c, t) for c, t in zip(zip(*found), types)] if found else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=["map_id", *names])
+
+    names = (["matched", "support_f1", "attack_f1"] if match else []) + ["ged", "ged_low", "similarity"]
+    types = ([pa.int64()] + [pa.float64()] * 2 if match else []) + [pa.float64()] * 3
+    ddl = ", ".join(f"{n} {'long' if n == 'matched' else 'double'}" for n in names)
+    return both.select(*columns).mapInArrow(work, f"map_id {kind}, {ddl}")
+
+
 def edit_similarity(nodes: DataFrame, edges: DataFrame, threshold: float = THRESHOLD, bounds: int | None = 2_000) -> DataFrame:
     """(map_id, ged, ged_low, similarity) from nodes and edges with a column ``side`` ('gold' or 'pred'); of parallel edges the last counts.
 
     The distance is between ``ged_low`` and ``ged``: equal unless the search took ``bounds`` of them.  Texts are stripped; a node without text has its quote (if ``nodes`` has that column); an end of an edge that is no node becomes one
     without text, which is like no other; unknown and empty types are support.
     """
-    kind = dict(nodes.dtypes)["map_id"]
-    if "quote" in nodes.columns:
-        nodes = nodes.withColumn("text", F.coalesce(F.nullif("text", F.lit("")), "quote"))
     edges = edges.where("src is not null and tgt is not null")
-    n = nodes.groupBy("map_id").agg(F.collect_list(F.struct("side", "pos", F.col("id").cast("string").alias("id"), "text")).alias("nodes"))
-    e = edges.groupBy("map_id", "side", "src", "tgt").agg(F.max_by("type", "pos").alias("type"))
-    e = e.groupBy("map_id").agg(F.collect_list(F.struct("side", F.col("src").cast("string").alias("src"), F.col("tgt").cast("string").alias("tgt"), "type")).alias("edges"))
-
-    def graphs(found, rel) -> list[tuple[list, list]]:
-        out = []
-        for side in ("gold", "pred"):
-            own = sorted((x for x in (found if found is not None else ()) if x["side"] == side), key=lambda x: x["pos"])
-            number = {x["id"]: i for i, x in enumerate(own)}
-            links = [] if rel is None else sorted((x["src"], x["tgt"], edge_kind(x["type"])) for x in rel if x["side"] == side)
-            texts = [(x["text"] or "").strip() for x in own]
-            for end in sorted({e for x in links for e in x[:2]} - set(number)):
-                number[end] = len(texts)
-                texts.append("")
-            out.append((texts, [(number[x], number[y], k) for x, y, k in links]))
-        return out
-
-    def work(frames):
-        for f in frames:
-            pairs = [graphs(found, rel) for found, rel in zip(f["nodes"], f["edges"])]
-            # all node pairs of the batch together
-            texts = [(x, y) for (a, _), (b, _) in pairs for x in a for y in b]
-            like = ratios([x for x, _ in texts], [y for _, y in texts], threshold) >= threshold
-            rows, start = [], 0
-            for key, (gold, pred) in zip(f["map_id"], pairs):
-                n, m = len(gold[0]), len(pred[0])
-                low, high = edit_distance(gold, pred, like[start : start + n * m].reshape(n, m), bounds)
-                start += n * m
-                most = max(1, n + m + len(gold[1]) + len(pred[1]))
-                rows.append((key, float(high), float(low), 1 - min(1.0, high / most)))
-            yield pd.DataFrame(rows, columns=["map_id", "ged", "ged_low", "similarity"])
-
-    return n.join(e, "map_id", "full").mapInPandas(work, f"map_id {kind}, ged double, ged_low double, similarity double")
+    of = lambda side: (nodes.where(F.col("side") == side), edges.where(F.col("side") == side))
+    return _compared(sides(gold=of("gold"), pred=of("pred")), threshold, bounds, match=False)
 
 
 # --- aggregates -----------------------------------------------------------------------------------
@@ -190,19 +266,19 @@ def success_rate(df: DataFrame, column: str = "parse_success") -> DataFrame:
 
 def evaluate(gold_nodes: DataFrame, gold_edges: DataFrame, pred_nodes: DataFrame, pred_edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """All scores of each gold map against the predicted map with its id; a map without a prediction has none."""
-    scores = similarities(gold_nodes, pred_nodes, least=threshold)
-    nodes = node_f1(gold_nodes, pred_nodes, scores, threshold)
-    relations = relation_f1(gold_edges, pred_edges, best_matches(scores, threshold))
-
-    def count(df, name):
-        return df.groupBy("map_id").agg(F.count("*").alias(name))
-
-    sizes = count(gold_nodes, "gold_adus")
-    for df, name in ((pred_nodes, "pred_adus"), (gold_edges, "gold_rels"), (pred_edges, "pred_rels")):
-        sizes = sizes.join(count(df, name), "map_id", "left")
-    both = lambda a, b: a.withColumn("side", F.lit("gold")).unionByName(b.withColumn("side", F.lit("pred")), allowMissingColumns=True)
-    keep = lambda n: n.select("map_id", "pos", "id", "text", *(["quote"] if "quote" in n.columns else []))
-    ged = edit_similarity(both(keep(gold_nodes), keep(pred_nodes)), both(gold_edges.select("map_id", "pos", "src", "tgt", "type"), pred_edges.select("map_id", "pos", "src", "tgt", "type")), threshold)
-    out = count_error(sizes.na.fill(0)).join(nodes, "map_id").join(relations, "map_id", "left").join(ged, "map_id", "left").na.fill(0.0)
-    return out.withColumn("combined_score", combined(F.col("f1"), F.col("macro_f1"), F.col("scaled_rmse"), F.col("similarity")))
-
+    return scored(sides(gold=(gold_nodes, gold_edges), pred=(pred_nodes, pred_edges)), threshold)
+
+
+def scored(both: DataFrame, threshold: float = THRESHOLD, bounds: int | None = 2_000) -> DataFrame:
+    """All scores of pairs of maps, a row each: (map_id, gold_nodes, gold_edges, pred_nodes, pred_edges) as ``sides`` gives them; pairs without gold nodes are left out."""
+    size = lambda c: F.greatest(F.size(F.col(c)), F.lit(0)).cast("long")
+    counted = {"gold_adus": "gold_nodes", "pred_adus": "pred_nodes", "gold_rels": "gold_edges", "pred_rels": "pred_edges"}
+    both = both.where(F.col("map_id").isNotNull() & (F.size("gold_nodes") > 0))
+    keyed = both.withColumn("map_id", F.struct("map_id", *(size(c).alias(n) for n, c in counted.items())))
+    out = count_error(_compared(keyed, threshold, bounds, match=True).select("map_id.*", "matched", "support_f1", "attack_f1", "ged", "ged_low", "similarity"))
+    precision = F.when(F.col("pred_adus") > 0, F.col("matched") / F.col("pred_adus")).otherwise(0.0)
+    recall = F.col("matched") / F.col("gold_adus")
+    out = out.withColumns({"precision": precision, "recall": recall, "macro_f1": (F.col("support_f1") + F.col("attack_f1")) / 2})
+    out = out.withColumn("f1", F.when(F.col("matched") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+    names = ["map_id", *counted, "adu_rmse", "rel_rmse", "combined_rmse", "scaled_rmse", "matched", "precision", "recall", "f1", "support_f1", "attack_f1", "macro_f1", "ged", "ged_low", "similarity"]
+    return out.select(*names, combined(F.col("f1"), F.col("macro_f1"), F.col("scaled_rmse"), F.col("similarity")).alias("combined_score"))

@@ -31,6 +31,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_of(df: DataFrame, rows: int = 100_000) -> int:
+    """In how many parts ``df`` has about so many rows each, so that a task's memory does not grow with the table."""
+    return max(1, -(-df.count() // rows))
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application: call it once no result that reads them is needed any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_work_dir(spark))

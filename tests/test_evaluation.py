@@ -1,8 +1,11 @@
 import json
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from arglake.config import Settings
+from arglake.functions import similarity
 from arglake.operators import evaluation, extraction, hooks, inference, metrics, prompts, retrieval, runlog
 from arglake.sources import discovery
 
@@ -200,3 +203,56 @@ def test_flattened(spark):
     df = spark.createDataFrame([(1, ["a", "b"], {"k": [1]}, None, [1.5, 2.0]), (2, ["a", None], None, "x", [])], "` id ` int, tags array<string>, m map<string,array<int>>, t string, x array<double>")
     assert [tuple(r) for r in catalog.flattened(df).collect()] == [("1", "a;b", '{"k":[1]}', "", "1.5;2.0"), ("2", '["a",null]', "", "x", "")]
     assert catalog.flattened(df).columns == ["id", "tags", "m", "t", "x"]
+
+
+def random_maps(spark, seed):
+    rng = np.random.default_rng(seed)
+    nodes, edges = [], []
+    for m in range(40):
+        ids = [f"a{i}" for i in range(int(rng.integers(1, 5)))]
+        for pos, i in enumerate(ids):
+            nodes.append((m, pos, i, [None, "", "red apples fall", "red apples fell ", "blue skies", "green hills"][rng.integers(6)], [None, "blue skies"][rng.integers(2)]))
+        for pos in range(int(rng.integers(0, 5))):
+            src, tgt = (str(rng.choice([*ids, "gone"])) for _ in range(2))
+            edges.append((m, pos, src, tgt, ["support", "attack", "Support", "unknown", None][rng.integers(5)]))
+    return spark.createDataFrame(nodes, "map_id long, pos int, id string, text string, quote string"), spark.createDataFrame(edges, "map_id long, pos int, src string, tgt string, type string")
+
+
+def test_scores_of_a_pair_are_those_of_the_relational_operators(spark):
+    (gold, gold_links), (pred, pred_links) = random_maps(spark, 1), random_maps(spark, 2)
+    pred = pred.where("map_id <> 7")
+    got = {r["map_id"]: r for r in metrics.evaluate(gold, gold_links, pred, pred_links).collect()}
+    scores = metrics.similarities(gold, pred, metrics.THRESHOLD)
+    for r in metrics.node_f1(gold, pred, scores).collect():
+        assert all(got[r["map_id"]][c] == pytest.approx(r[c]) for c in ("matched", "precision", "recall", "f1"))
+    relations = {r["map_id"]: r for r in metrics.relation_f1(gold_links, pred_links, metrics.best_matches(scores)).collect()}
+    assert any(r["support_f1"] for r in relations.values()) and any(r["attack_f1"] for r in relations.values())
+    for m, r in got.items():
+        assert all(r[c] == pytest.approx(relations[m][c] if m in relations else 0.0) for c in ("support_f1", "attack_f1", "macro_f1"))
+    assert sorted(got) == list(range(40)) and got[7]["pred_adus"] == got[7]["matched"] == 0
+
+
+def test_a_pair_goes_to_python_once(spark):
+    (gold, gold_links), (pred, pred_links) = random_maps(spark, 1), random_maps(spark, 2)
+    plan = metrics.evaluate(gold, gold_links, pred, pred_links)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not any(x in plan for x in ("ArrowEvalPython", "MapInPandas", "Join"))
+
+
+def test_equal_problems_are_solved_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(metrics, "edit_distance", lambda *a: calls.append(a) or (0, 0))
+    metrics._distance.cache_clear(), metrics._edits.cache_clear()
+    for ids in (["a", "b"], ["x", "y"], ["a", "b"]):
+        links = [[ids[1], ids[0], "support"]]
+        metrics._edits(json.dumps([ids, links, ids, links]), bytes([1, 0, 0, 1]), 10)
+    assert len(calls) == 1
+    metrics._distance.cache_clear(), metrics._edits.cache_clear()
+
+
+def test_scores_of_lists():
+    rows = [(["abc", None], ["abd", "abc", ""]), ([], ["x"]), (["q"], []), ([" abc "], ["abc"])]
+    a, b = (pa.array([r[i] for r in rows], pa.list_(pa.string())) for i in (0, 1))
+    got = list(similarity.scores_of_lists(a, b))
+    assert [x.tolist() for x in got] == [similarity.ratios([x for x in g for _ in p], [y for _ in g for y in p]).tolist() for g, p in rows]
+    assert list(similarity.scores_of_lists(a, b, 0.7, strip=True))[3].tolist() == [1.0]
+    assert [x.tolist() for x in similarity.scores_of_lists(a.slice(3), b.slice(3), strip=True)] == [[1.0]]
