@@ -209,18 +209,19 @@ def random_maps(spark, seed):
     rng = np.random.default_rng(seed)
     nodes, edges = [], []
     for m in range(40):
-        ids = [f"a{i}" for i in range(int(rng.integers(1, 5)))]
+        ids = [f"a{i}" for i in range(int(rng.integers(1, 6)))]
         for pos, i in enumerate(ids):
-            nodes.append((m, pos, i, [None, "", "red apples fall", "red apples fell ", "blue skies", "green hills"][rng.integers(6)], [None, "blue skies"][rng.integers(2)]))
-        for pos in range(int(rng.integers(0, 5))):
+            nodes.append((m, pos, i, ["red apples fall", "red apples fell ", "blue skies", "green hills", "red apples fall", "green hills", None, ""][rng.integers(8)], [None, "blue skies"][rng.integers(2)]))
+        for pos in range(int(rng.integers(0, 14))):
             src, tgt = (str(rng.choice([*ids, "gone"])) for _ in range(2))
-            edges.append((m, pos, src, tgt, ["support", "attack", "Support", "unknown", None][rng.integers(5)]))
+            edges.append((m, pos, src, tgt, ["support", "attack", "support", "Support", None][rng.integers(5)]))
     return spark.createDataFrame(nodes, "map_id long, pos int, id string, text string, quote string"), spark.createDataFrame(edges, "map_id long, pos int, src string, tgt string, type string")
 
 
 def test_scores_of_a_pair_are_those_of_the_relational_operators(spark):
     (gold, gold_links), (pred, pred_links) = random_maps(spark, 1), random_maps(spark, 2)
     pred = pred.where("map_id <> 7")
+    pred_links = gold_links.where("pos % 3 <> 0").unionByName(pred_links.selectExpr("map_id", "pos + 20 AS pos", "src", "tgt", "type"))
     got = {r["map_id"]: r for r in metrics.evaluate(gold, gold_links, pred, pred_links).collect()}
     scores = metrics.similarities(gold, pred, metrics.THRESHOLD)
     for r in metrics.node_f1(gold, pred, scores).collect():
