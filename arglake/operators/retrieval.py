@@ -60,7 +60,8 @@ def chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 #: Tokens of a chunk and of its overlap with the one before.
 TOKENS, SHARED = 800, 120
-TOKEN_CHUNK = "array<struct<chunk_index:int,text:string,start:int,end:int,fresh:int,tokens:int>>"
+#: Characters whose tokens a task holds at once.
+PASS = 1 << 20
 
 
 def token_offsets(path: str) -> Callable[[], Encoder]:
@@ -104,18 +105,35 @@ def token_spans(offsets: list[tuple[int, int]], length: int, size: int = TOKENS,
 
 def token_chunks(docs: DataFrame, encoder: Callable[[], Encoder] = word_offsets, id_column: str = "doc_id", text_column: str = "text", size: int = TOKENS, overlap: int = SHARED) -> DataFrame:
     """(id, chunk_index, chunk_id, text, start, end, fresh, tokens) by offsets of tokens; a text without tokens has no chunk."""
-    held: list[Encoder] = []
+    kind = dict(docs.dtypes)[id_column]
+    names = ["id", "chunk_index", "text", "start", "end", "fresh", "tokens"]
 
-    @arrow_function(TOKEN_CHUNK)
-    def cut(texts: pd.Series) -> pd.Series:
-        if not held:
-            held.append(encoder())
-        known = [t or "" for t in texts]
-        spans = [token_spans(o, len(t), size, overlap) for t, o in zip(known, held[0](known))]
-        return pd.Series([[{"chunk_index": i, "text": t[a:z], "start": a, "end": z, "fresh": f, "tokens": n} for i, (a, z, f, n) in enumerate(found)] for t, found in zip(known, spans)])
-
-    rows = docs.select(F.col(id_column).alias("id"), F.explode(cut(text_column)).alias("c"))
-    return rows.select("id", "c.chunk_index", F.concat_ws("-", F.col("id").cast("string"), F.col("c.chunk_index").cast("string")).alias("chunk_id"), "c.text", "c.start", "c.end", "c.fresh", "c.tokens")
+    def work(batches):
+        encode = encoder()
+        for batch in batches:
+            for ids, texts in _passes(batch):
+                rows = [(key, i, t[a:z], a, z, f, n) for key, t, o in zip(ids, texts, encode(texts)) for i, (a, z, f, n) in enumerate(token_spans(o, len(t), size, overlap))]
+                if rows:
+                    key, index, text, *numbers = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(key, batch.schema.field(0).type), pa.array(index, pa.int32()), pa.array(text, pa.string()), *(pa.array(c, pa.int32()) for c in numbers)], names=names)
+
+    rows = docs.select(F.col(id_column).alias("id"), text_column).mapInArrow(work, f"id {kind}, chunk_index int, text string, start int, end int, fresh int, tokens int")
+    return rows.select("id", "chunk_index", F.concat_ws("-", F.col("id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text", "start", "end", "fresh", "tokens")
+
+
+def _passes(batch: pa.RecordBatch, characters: int = PASS):
+    """(ids, texts) of a batch of both, in passes of so many characters or one text: tokens and chunks of one pass are held at a time."""
+    ids, texts, held = [], [], 0
+    for key, text in zip(batch.column(0), batch.column(1)):
+        t = text.as_py() or ""
+        if ids and held + len(t) > characters:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+        ids.append(key.as_py())
+        texts.append(t)
+        held += len(t)
+    if ids:
+        yield ids, texts
 
 
 def contexts(chunks: DataFrame, questions: DataFrame, embedder=None, k: int = 10, question_id: str = "question_id", text: str = "question") -> DataFrame:
