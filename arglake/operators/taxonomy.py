@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arglake.work import written
+
 
 def parent_names(categories: DataFrame) -> DataFrame:
     """Categories (category_id, name, parent_ids, primary_parent) with the names of their parents, in order; unknown ones as [Unknown ID: n]."""
@@ -28,20 +30,36 @@ def ordered_names(assignments: DataFrame, categories: DataFrame, key: str = "pap
 def paths(categories: DataFrame, depth: int = 10, separator: str = " > ") -> DataFrame:
     """(category_id, path, depth): the chain of primary parents from the root; stops at unknown parents, cycles and ``depth`` names.
 
-    One self-join a level; the pairs of a level replace those of the one before.
+    One self-join a level, of ids that are someone's parent; ended chains leave it, and at last each category takes the chain
+    of its parent.  ``category_id`` is a key.
     """
     up = categories.select(F.col("category_id").alias("up_id"), F.col("name").alias("up_name"), F.col("primary_parent").alias("up_parent"))
-    now = categories.select("category_id", F.col("primary_parent").alias("next"), F.array("category_id").alias("seen"), F.array("name").alias("names"))
-    for _ in range(depth - 1):
-        found = now.join(up, F.col("next") == F.col("up_id"), "left")
-        go = F.col("up_id").isNotNull() & ~F.array_contains("seen", F.coalesce("up_id", F.col("category_id")))
-        now = found.select(
-            "category_id",
-            F.when(go, F.col("up_parent")).alias("next"),
-            F.when(go, F.array_append("seen", F.col("up_id"))).otherwise(F.col("seen")).alias("seen"),
-            F.when(go, F.array_prepend("names", F.col("up_name"))).otherwise(F.col("names")).alias("names"),
+    parents = up.select(F.col("up_parent").alias("up_id")).where("up_id is not null").distinct()
+    own = written(up.join(parents, "up_id", "left_semi"), "parents")
+    left = own.select(F.col("up_id").alias("first"), F.col("up_parent").alias("next"), F.array("up_id").alias("seen"), F.array("up_name").alias("above"))
+    chains = None
+    for _ in range(depth - 2):
+        ended = left.where("next is null")
+        chains = ended if chains is None else chains.unionByName(ended)
+        found = left.where("next is not null").join(own, F.col("next") == F.col("up_id"), "left")
+        go = F.col("up_id").isNotNull() & ~F.array_contains("seen", F.coalesce("up_id", F.col("first")))
+        left = written(
+            found.select(
+                "first",
+                F.when(go, F.col("up_parent")).alias("next"),
+                F.when(go, F.array_append("seen", F.col("up_id"))).otherwise(F.col("seen")).alias("seen"),
+                F.when(go, F.array_append("above", F.col("up_name"))).otherwise(F.col("above")).alias("above"),
+            ),
+            "chains",
         )
-    return now.select("category_id", F.array_join("names", separator).alias("path"), F.size("names").cast("long").alias("depth"))
+        if left.isEmpty():
+            break
+    chains = written(left if chains is None else chains.unionByName(left), "chains")
+    out = categories.join(chains, F.col("primary_parent") == F.col("first"), "left")
+    place = F.coalesce(F.array_position("seen", F.col("category_id")), F.lit(0))  # of the category itself: a cycle
+    above = F.when(place > 0, place - 1).otherwise(F.greatest(F.coalesce(F.size("above"), F.lit(0)), F.lit(0))).cast("int")
+    names = F.concat(F.reverse(F.slice(F.coalesce("above", F.array().cast("array<string>")), F.lit(1), F.least(above, F.lit(depth - 1)))), F.array("name"))
+    return out.select("category_id", F.array_join(names, separator).alias("path"), F.size(names).cast("long").alias("depth"))
 
 
 def combine(papers: DataFrame, assignments: DataFrame, categories: DataFrame, hierarchy: bool = True) -> DataFrame:
