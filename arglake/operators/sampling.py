@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arglake.functions.text import contains_any
 from arglake.operators.catalog import TOPIC
 from arglake.operators.quantiles import exact_quantiles
-from arglake.work import written
+from arglake.work import parts_of, written
 
 
 def tfidf(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -55,7 +55,8 @@ def clusters(df: DataFrame, key: str, column: str, k: int = 94, seed: int = 42,
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 
-    rows = df.select(key, F.coalesce(F.col(column), F.lit("")).alias("_t"))
+    # a small file may hold many rows, whose vectors KMeans keeps: parts of a bounded number of them
+    rows = df.select(key, F.coalesce(F.col(column), F.lit("")).alias("_t")).repartition(parts_of(df), key)
     steps = [RegexTokenizer(inputCol="_t", outputCol="_w", pattern=r"\W+", minTokenLength=2), HashingTF(inputCol="_w", outputCol="_h", numFeatures=features), IDF(inputCol="_h", outputCol="_i"), Normalizer(inputCol="_i", outputCol="_n"), KMeans(featuresCol="_n", predictionCol="cluster", k=k, seed=seed)]
     return Pipeline(stages=steps).fit(rows).transform(rows).select(key, "cluster")
 
