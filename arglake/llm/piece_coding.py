@@ -30,7 +30,7 @@ from arglake.llm.common import strings
 
 SPACE = "▁"
 #: Units and pairs remembered by a worker.
-UNITS, PAIRS = 700_000, 400_000
+UNITS, PAIRS = 400_000, 200_000
 #: Positions whose pieces are looked up at once.
 BLOCK = 2048
 
