@@ -123,3 +123,22 @@ def test_encode_documents(spark):
         want.append((doc, len(ids), ids, dec, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(dec.encode()).hexdigest()))
     assert [tuple(r) for r in got] == [tuple(r) for r in sorted(want, key=lambda w: str(type(got[0])(*w)) if False else str(got[0].__class__(**dict(zip(got[0].__fields__, w)))))]
     assert piece_coding.encode_documents(docs.limit(0), path).collect() == []
+
+
+def test_words_are_cut_and_remembered(monkeypatch):
+    """Between letters and other characters, exactly, and each part is encoded once however it is joined."""
+    e = piece_coding.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    seen = []
+    whole = e.codes
+    monkeypatch.setattr(e, "codes", lambda unit: (seen.append(unit), whole(unit))[1])
+    for t in ["zuqat zuqat. zuqat,\nzuqat", "zuqat) (zuqat zuqat.\nzuqat"]:
+        assert e.encode(t) == e.model.encode(t) + [2]
+    assert e.parts and seen.count("▁zuqat") == 1 and seen.count("zuqat") == 1 and not any("zuqat" in u.strip("▁") != "zuqat" for u in seen)
+    for units, compounds, pairs in [(6, 3, 5), (300, 50, 100)]:
+        monkeypatch.setattr(piece_coding, "UNITS", units)
+        monkeypatch.setattr(piece_coding, "COMPOUNDS", compounds)
+        monkeypatch.setattr(piece_coding, "PAIRS", pairs)
+        e = piece_coding.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+        for t in [x or "" for x in EDGES] + texts(1500, 6) + ["x².y ²x. ½a", "_a_ 1a2", "word,word.\nword"]:
+            assert e.encode(t) == e.model.encode(t) + [2]
+        assert len(e.words) + len(e.inner) + len(e.older_words) + len(e.older_inner) <= units + 2 and len(e.compounds) <= compounds
