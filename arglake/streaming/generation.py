@@ -4,6 +4,9 @@ A request is (prompt_id, paper_id, system_prompt, user_prompt).  A finished one
 again in the stream or the job is killed and started again on its checkpoint; a failed one is asked for again by a timer
 until its attempts are used up.  A dry run goes the same way without calling the model.  Every batch is a checkpoint, of
 at most ``every`` files of requests.
+
+Keys are dealt into BUCKETS, each a group of the stateful operator with a map of its keys: Python is called for a bucket's
+rows at once, not for each key.
 """
 
 from __future__ import annotations
@@ -22,12 +25,14 @@ from arglake.operators.prompts import render
 KEYS = ["prompt_id", "paper_id"]
 REQUEST = "prompt_id string, paper_id string, system_prompt string, user_prompt string"
 OUTPUT = "prompt_id string, paper_id string, status string, attempt int, text string, error string, dry_run boolean, user_prompt string"
+#: Groups of keys; fixed for a checkpoint.
+BUCKETS = 1024
 #: The provider that keeps this kind of state.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Job(StatefulProcessor):
-    """State of a key: status (open, done or failed), attempts, the prompts while it is open, the last output once it is not."""
+    """State of a bucket: each key's status (open, done or failed), attempts and last output; of open ones the prompts and when they are due."""
 
     def __init__(self, model_factory: Callable[[], Generator], attempts: int, wait_ms: int, dry_run: bool):
         self.model_factory, self.attempts, self.wait_ms, self.dry_run = model_factory, attempts, wait_ms, dry_run
@@ -35,9 +40,11 @@ class _Job(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("request", "status string, attempt int, system_prompt string, user_prompt string, text string")
+        key = "prompt_id string, paper_id string"
+        self.state = handle.getMapState("requests", key, "status string, attempt int, text string")
+        self.open = handle.getMapState("open", key, "due long, system_prompt string, user_prompt string")
 
-    def _ask(self, key, system: str | None, user: str | None, attempt: int, now: int) -> Iterator[pd.DataFrame]:
+    def _ask(self, key: tuple, system: str | None, user: str | None, attempt: int, now: int) -> tuple:
         text = error = None
         if self.dry_run:
             text = ""
@@ -50,27 +57,33 @@ class _Job(StatefulProcessor):
                 error = f"{type(failure).__name__}: {failure}"
         again = error is not None and attempt < self.attempts
         if again:
-            self.state.update(("open", attempt, system, user, None))
+            self.open.updateValue(key, (now + self.wait_ms, system, user))
             self.handle.registerTimer(now + self.wait_ms)
-        else:
-            self.state.update(("failed" if error else "done", attempt, None, None, text))
-        status = "retry" if again else "failed" if error else "done"
-        row = {"prompt_id": [key[0]], "paper_id": [key[1]], "status": [status], "attempt": [attempt], "text": [text], "error": [error], "dry_run": [self.dry_run], "user_prompt": [user]}
-        yield pd.DataFrame(row)
+        elif attempt > 1:
+            self.open.removeKey(key)
+        self.state.updateValue(key, ("open" if again else "failed" if error else "done", attempt, text))
+        return (*key, "retry" if again else "failed" if error else "done", attempt, text, error, self.dry_run, user)
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in OUTPUT.split(", ")])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        now = timerValues.getCurrentProcessingTimeInMs()
         for part in rows:
-            if first is None and len(part):
-                first = part.iloc[0]
-        if first is not None and not self.state.exists():  # repeated requests are one
-            yield from self._ask(key, first["system_prompt"], first["user_prompt"], 1, timerValues.getCurrentProcessingTimeInMs())
+            part = part.astype(object).where(part.notna(), None)
+            new = []
+            for prompt, paper, system, user in zip(*(part[c] for c in [*KEYS, "system_prompt", "user_prompt"])):
+                if not self.state.containsKey((prompt, paper)):  # repeated requests are one
+                    new.append(self._ask((prompt, paper), system, user, 1, now))
+            if new:
+                yield self._frame(new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            status, attempt, system, user, _ = self.state.get()
-            if status == "open":
-                yield from self._ask(key, system, user, attempt + 1, timerValues.getCurrentProcessingTimeInMs())
+        now, until = timerValues.getCurrentProcessingTimeInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        for request in [tuple(k) for k, (due, *_) in self.open.iterator() if due <= until]:
+            _, system, user = self.open.getValue(request)
+            yield self._frame([self._ask(request, system, user, self.state.getValue(request)[1] + 1, now)])
 
     def close(self) -> None:
         self.model = None
@@ -98,7 +111,8 @@ def generated(requests: DataFrame, model_factory: Callable[[], Generator], attem
     to be started with STATE_STORE, as ``run_job`` does.
     """
     job = _Job(model_factory, attempts, int(1000 * wait_seconds), dry_run)
-    return requests.groupBy(*KEYS).transformWithStateInPandas(job, OUTPUT, "append", "ProcessingTime")
+    bucket = F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).cast("int")
+    return requests.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(job, OUTPUT, "append", "ProcessingTime")
 
 
 def request_stream(spark: SparkSession, path: str, every: int = 8) -> DataFrame:

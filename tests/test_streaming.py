@@ -121,3 +121,24 @@ def test_dry_run(spark, tmp_path):
     generation.finish(generation.run_job(generation.request_stream(spark, src), out, cp, no_model, dry_run=True), spark, out)
     (row,) = generation.outputs(spark, out).collect()
     assert (row.status, row.text, row.dry_run) == ("done", "", True)
+
+
+def test_a_call_takes_many_requests(spark, tmp_path, monkeypatch):
+    """Python is called for buckets, whose keys are told apart; nulls are keys too, and all rows come out once."""
+    monkeypatch.setattr(generation, "BUCKETS", 3)
+    src, out, cp = (f"file://{tmp_path}/{x}" for x in ("requests", "out", "cp"))
+    rows = [(f"p{i % 2}", None if i < 2 else str(i), None, f"u{i}") for i in range(300)]
+    spark.createDataFrame(rows + rows[:50], generation.REQUEST).repartition(2).write.parquet(src)
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(generation._Job):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(generation, "_Job", Counted)
+    for _ in range(2):
+        generation.finish(generation.run_job(generation.request_stream(spark, src), out, cp, None, dry_run=True), spark, out)
+    got = [(r.prompt_id, r.paper_id, r.user_prompt, r.status, r.attempt, r.text) for r in generation.outputs(spark, out).collect()]
+    assert sorted(got, key=str) == sorted([(p, d, u, "done", 1, "") for p, d, _, u in rows], key=str)
+    assert 0 < calls.value <= 3
