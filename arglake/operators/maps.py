@@ -133,12 +133,14 @@ _JSON = "struct<ADUs:map<string,struct<type:string,text:string,quote:string,isIm
 
 def parse_strict(df: DataFrame, id_column: str, json_column: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of well-formed maps, JVM-side only; edges with unknown ends are dropped."""
-    parsed = df.select(F.col(id_column).alias("map_id"), F.from_json(json_column, _JSON, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("m")).where(F.col("m._corrupt_record").isNull())
-    nodes = parsed.select("map_id", F.posexplode("m.ADUs").alias("pos", "id", "x")).where("x.text is not null")
+    # No filter comes before the explosions, as it would parse each text once more for each condition.
+    parsed = df.select(F.col(id_column).alias("map_id"), F.from_json(json_column, _JSON, {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("m"))
+    formed = lambda c: F.when(F.col("m._corrupt_record").isNull(), F.col(c))
+    nodes = parsed.select("map_id", F.posexplode_outer(formed("m.ADUs")).alias("pos", "id", "x")).where("x.text is not null")
     kind = F.when(F.col("x.type").isin(*ADU_TYPES), F.col("x.type")).otherwise("Claim")
     nodes = nodes.select("map_id", "pos", "id", kind.alias("type"), F.col("x.text").alias("text"), F.col("x.quote").alias("quote"), F.coalesce(F.lower("x.isImplicit") == "true", F.lit(False)).alias("isImplicit"))
     ids = F.map_keys("m.ADUs")
-    edges = parsed.select("map_id", ids.alias("ids"), F.posexplode("m.relations").alias("pos", "r"))
+    edges = parsed.select("map_id", ids.alias("ids"), F.posexplode_outer(formed("m.relations")).alias("pos", "r"))
     edges = edges.where(F.array_contains("ids", F.col("r.src")) & F.array_contains("ids", F.col("r.tgt")) & F.lower("r.type").isin(*RELATION_TYPES))
     return nodes, edges.select("map_id", F.concat(F.lit("rel-"), (F.col("pos") + 1).cast("string")).alias("id"), F.col("r.src").alias("src"), F.col("r.tgt").alias("tgt"), F.lower("r.type").alias("type"))
 
@@ -155,11 +157,19 @@ def last_json(c) -> Column:
     return F.regexp_extract(c, r"(?s)(\{.*\})", 1)
 
 
-def to_json_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(map_id, json): the schema-shaped text of each map, absent fields left out."""
-    a = nodes.groupBy("map_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", F.struct("type", "text", "quote", "isImplicit").alias("x")))), lambda n: F.struct(n.id, n.x))).alias("ADUs"))
-    r = edges.groupBy("map_id").agg(F.array_sort(F.collect_list(F.struct("src", "tgt", "type"))).alias("relations"))
-    return a.join(r, "map_id", "left").select("map_id", F.to_json(F.struct("ADUs", F.coalesce("relations", F.array()).alias("relations"))).alias("json"))
+def to_json_map(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(map_id, json): the schema-shaped text of each map, absent fields left out.
+
+    Without ``edges``, a node's own relation is in its columns tgt and relation (null: it has none), and one grouping gathers both.
+    """
+    adus = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id", F.struct("type", "text", "quote", "isImplicit").alias("x")))), lambda n: F.struct(n.id, n.x))).alias("ADUs")
+    relations = lambda r: F.array_sort(F.collect_list(r)).alias("relations")
+    if edges is None:
+        own = F.when(F.col("tgt").isNotNull(), F.struct(F.col("id").alias("src"), "tgt", F.col("relation").alias("type")))
+        found = nodes.groupBy("map_id").agg(adus, relations(own))
+    else:
+        found = nodes.groupBy("map_id").agg(adus).join(edges.groupBy("map_id").agg(relations(F.struct("src", "tgt", "type"))), "map_id", "left")
+    return found.select("map_id", F.to_json(F.struct("ADUs", F.coalesce("relations", F.array()).alias("relations"))).alias("json"))
 
 
 # --- labels of classifiers ------------------------------------------------------------------------

@@ -1,10 +1,12 @@
 """What a task holds does not grow with the table."""
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from arglake import work
-from arglake.operators import retrieval, sampling, taxonomy
+from arglake.operators import maps, retrieval, sampling, taxonomy
+from arglake.plans import graph_queries
 
 
 def test_passes_are_bounded():
@@ -34,3 +36,32 @@ def test_clusters_are_found_in_parts(spark, monkeypatch):
 
 def test_parts_grow_with_rows(spark):
     assert [work.parts_of(spark.range(n), 10) for n in (0, 10, 11, 95)] == [1, 1, 2, 10]
+
+
+@pytest.mark.parametrize("name", ["map_parse_json", "map_parse_relations", "map_parse_response", "parse_success_rate", "map_validate"])
+def test_json_maps_are_gathered_once_in_parts(spark, monkeypatch, name):
+    asked = []
+    monkeypatch.setattr(graph_queries, "parts_of", lambda df: asked.append(df.count()) or 7)
+    got = graph_queries.query.queries[name](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(asked) == 1 and plan.count("Relation [l_orderkey") == 1 and plan.count("Join ") == 1  # of part; nodes and relations are not joined
+    assert plan.count("from_json(") <= {"map_parse_json": 2, "map_parse_relations": 3, "map_validate": 5}.get(name, 0)
+    if got.columns[0] == "map_id":
+        assert got.select(F.spark_partition_id()).distinct().count() == 7
+
+
+def test_json_of_nodes_with_their_relations(spark):
+    rows = [(1, 1, "1", "Major Claim", "a", None, None), (1, 2, "2", "Claim", "b", "1", "attack"), (1, 10, "10", "Claim", 'c"', "2", "support"), (2, 1, "1", "Claim", "d", None, None)]
+    nodes = spark.createDataFrame(rows, "map_id long, pos int, id string, type string, text string, tgt string, relation string").withColumns({"quote": F.lit(None).cast("string"), "isImplicit": F.lit(False)})
+    edges = nodes.where("tgt is not null").select("map_id", F.col("id").alias("src"), "tgt", F.col("relation").alias("type"))
+    one, two = ({r["map_id"]: r["json"] for r in maps.to_json_map(*x).collect()} for x in ((nodes,), (nodes, edges)))
+    assert one == two and len(one) == 2 and one[2].endswith('"relations":[]}')
+
+
+def test_strict_parsing_of_broken_texts(spark):
+    good = '{"ADUs": {"1": {"text": "x"}, "2": {"type": "Claim"}}, "relations": [{"src": "1", "tgt": "2", "type": "Support"}, {"src": "1", "tgt": "3", "type": "support"}]}'
+    texts = [good, good[:-3], '{"relations": []}', '{"ADUs": {}}', '{"ADUs": {"1": {"text": "y"}}}', None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, j string")
+    nodes, edges = maps.parse_strict(df, "i", "j")
+    assert [(r["map_id"], r["pos"], r["id"], r["text"]) for r in nodes.orderBy("map_id").collect()] == [(0, 0, "1", "x"), (4, 0, "1", "y")]
+    assert [tuple(r) for r in edges.collect()] == [(0, "rel-1", "1", "2", "support")]
